@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import classify_quality
+from .linededup import dedup_lines
 from .linerules import clean_lines
 from .mixing import mix_sources
+from .ngramjoin import ngram_jaccard_pairs
 from .packing import pack_documents
 from .topk import exact_top_k
 from .urlrules import apply_url_rules
@@ -41,8 +43,10 @@ def url_rules(spark: SparkSession) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents")),
     "op2_pack_documents": lambda s, d: pack_documents(_read(s, d, "documents")),
+    "op5_ngram_jaccard": lambda s, d: ngram_jaccard_pairs(_read(s, d, "documents")),
     "op6_url_rules": lambda s, d: apply_url_rules(_read(s, d, "pages"), url_rules(s)),
     "op7_clean_lines": lambda s, d: clean_lines(_read(s, d, "documents")),
+    "op8_line_dedup": lambda s, d: dedup_lines(_read(s, d, "documents")),
     "op9_exact_top_k": lambda s, d: exact_top_k(_read(s, d, "embeddings")),
     "op10_quality": lambda s, d: classify_quality(_read(s, d, "documents"), _read(s, d, "labels")),
 }

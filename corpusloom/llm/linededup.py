@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .kernels import doc_of, lines, mix, slices, span_hash, text_bytes, trim
-from .shared import U64, HashTable, Scratch, build_table, pick, position, save_arrays, shard_bits, shard_of
+from .shared import U64, HashTable, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: A shingle is a run of so many UTF-8 bytes: one character each in ASCII text.
 SHINGLE = 8
@@ -327,7 +328,7 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> D
             b = b.set_column(at["text"], f"__c{at['text']}", text)
             yield b.append_column("__gone", pa.array(removed)).filter(pa.array((removed == 0) | (removed < solid)))
 
-    out = safe.mapInArrow(rewrite, safe.schema.add("__gone", "bigint"))
+    out = safe.mapInArrow(rewrite, plus(safe.schema, "__gone", T.LongType()))
     chars = f"__c{at['n_chars']}"
     kind = safe.schema[chars].dataType
     out = out.withColumn(chars, F.when(F.col("__gone") > 0, F.length(f"__c{at['text']}").cast(kind)).otherwise(F.col(chars)))

@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .kernels import doc_of, inside, mix, slices, span_hash, text_bytes, tokens, window_hash
-from .shared import U64, HashTable, Scratch, build_table, pick, position, save_arrays, shard_bits, shard_of
+from .shared import U64, HashTable, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: Words per n-gram and the least Jaccard similarity of a pair.
 N, SIMILARITY = 3, 0.5
@@ -380,7 +381,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILA
             b = b.append_column("__again", pa.array(found))
             yield b.filter(pa.array(~found | (v["stay"] == 1)))
 
-    kept = safe.mapInArrow(judge, safe.schema.add("__again", "boolean"))
+    kept = safe.mapInArrow(judge, plus(safe.schema, "__again", T.BooleanType()))
     for done in ("members", "pairs", "verdicts"):
         scratch.drop(done)
     if repeated:  # keepers whose doc_id occurs more than once

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 
@@ -146,6 +147,10 @@ def build_table(df: DataFrame, scratch: Scratch, name: str, bits: int, values: l
     return HashTable(folder, bits, files, values)
 
 
+def plus(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever other columns are there: an exact name first, else one that differs in case only."""
     safe = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])

@@ -12,6 +12,7 @@ from .linerules import clean_lines
 from .mixing import mix_sources
 from .ngramjoin import ngram_jaccard_pairs
 from .packing import pack_documents
+from .suffixes import repeated_passages
 from .topk import exact_top_k
 from .urlrules import apply_url_rules
 
@@ -43,6 +44,7 @@ def url_rules(spark: SparkSession) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents")),
     "op2_pack_documents": lambda s, d: pack_documents(_read(s, d, "documents")),
+    "op4_repeated_passages": lambda s, d: repeated_passages(_read(s, d, "documents")),
     "op5_ngram_jaccard": lambda s, d: ngram_jaccard_pairs(_read(s, d, "documents")),
     "op6_url_rules": lambda s, d: apply_url_rules(_read(s, d, "pages"), url_rules(s)),
     "op7_clean_lines": lambda s, d: clean_lines(_read(s, d, "documents")),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classifier import classify_quality
+from .kneserney import score_documents
 from .linededup import dedup_lines
 from .linerules import clean_lines
 from .mixing import mix_sources
@@ -44,6 +45,7 @@ def url_rules(spark: SparkSession) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents")),
     "op2_pack_documents": lambda s, d: pack_documents(_read(s, d, "documents")),
+    "op3_kneser_ney": lambda s, d: score_documents(_read(s, d, "documents")),
     "op4_repeated_passages": lambda s, d: repeated_passages(_read(s, d, "documents")),
     "op5_ngram_jaccard": lambda s, d: ngram_jaccard_pairs(_read(s, d, "documents")),
     "op6_url_rules": lambda s, d: apply_url_rules(_read(s, d, "pages"), url_rules(s)),

@@ -51,7 +51,10 @@ def ngrams(tokens: Column, n: int) -> Column:
 def tokens(text: Column, ngram_max: int = 2, **how) -> Column:
     """words, followed by their n-grams up to ngram_max."""
     base = words(text, **how)
-    return F.concat(base, *[ngrams(base, n) for n in range(2, ngram_max + 1)]) if ngram_max > 1 else base
+    if ngram_max < 2:
+        return base
+    # as a lambda's argument the words are made once, not again for each n-gram
+    return F.get(F.transform(F.array(base), lambda w: F.concat(w, *[ngrams(w, n) for n in range(2, ngram_max + 1)])), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

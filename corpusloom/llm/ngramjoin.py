@@ -289,15 +289,20 @@ class _Probe:
 
 
 def _similar_sets(docs: DataFrame, scratch: Scratch, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (doc_id, rid, root) with the same n-grams share root; pairs (a, b, similarity) of roots, each once."""
+    """(members, pairs): members (doc_id, rid, root, alike) share root if they share all n-grams of frequency 2 or more and are as
+    large, and that makes them similar; alike is their similarity. pairs (a, b, similarity) of roots, each once."""
     rows = pick(docs, "doc_id", "text")
     grams = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = shard_bits(grams // 6, SHARD_ENTRIES)
     frequency = count_repeated(rows, scratch, n, bits)
     numbered, sets = _ordered_sets(rows, frequency, scratch, n, similarity)
+    # n-grams of frequency 1 are not in the hash: with too many of them equal hashes don't make a pair, and each set is its own root
+    apart = F.col("kept") < F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9)
+    numbered = numbered.withColumn("set_hash", F.when(apart, F.xxhash64("set_hash", "rid")).otherwise(F.col("set_hash")))
     roots = numbered.groupBy("set_hash", "size", "kept").agg(F.min(F.struct("rid", "file", "offset")).alias("r"))
     roots = scratch.table(roots.select("set_hash", "size", "kept", "r.*"), "roots")
-    members = numbered.select("doc_id", "rid", "set_hash", "size", "kept").join(roots.select("set_hash", "size", "kept", F.col("rid").alias("root")), ["set_hash", "size", "kept"]).select("doc_id", "rid", "root")
+    members = numbered.select("doc_id", "rid", "set_hash", "size", "kept").join(roots.select("set_hash", "size", "kept", F.col("rid").alias("root")), ["set_hash", "size", "kept"])
+    members = members.select("doc_id", "rid", "root", (F.col("kept") / (2 * F.col("size") - F.col("kept"))).alias("alike"))
     members = scratch.table(members, "members")
     scratch.drop("frequency")
     entries = roots.agg(F.sum("kept")).first()[0] or 0
@@ -340,9 +345,9 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = N, similarity: float = SIMILAR
     mapped arrays; each set probes it once and verifies each candidate once, with no shuffle of candidates or sets.
     """
     members, pairs = _similar_sets(docs, Scratch(docs.sparkSession, "ngramjoin"), n, similarity)
-    side = lambda m, r: members.select(F.col("doc_id").alias(m), F.col("root").alias(r), F.col("rid").alias(f"{m}_rid"))
+    side = lambda m, r: members.select(F.col("doc_id").alias(m), F.col("root").alias(r), F.col("rid").alias(f"{m}_rid"), F.col("alike").alias(f"{m}_alike"))
     across = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").select("x", "y", "similarity")
-    alike = side("x", "a").join(side("y", "b"), F.col("a") == F.col("b")).where("x_rid < y_rid").select("x", "y", F.lit(1.0).alias("similarity"))
+    alike = side("x", "a").join(side("y", "b"), F.col("a") == F.col("b")).where("x_rid < y_rid").select("x", "y", F.col("x_alike").alias("similarity"))
     swap = F.col("y").isNull() & F.col("x").isNotNull() | (F.col("x") > F.col("y"))
     return across.unionByName(alike).select(
         F.when(swap, F.col("y")).otherwise(F.col("x")).alias("doc_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("doc_b"), F.round("similarity", 6).alias("jaccard")

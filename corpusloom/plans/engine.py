@@ -8,13 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import citations
 from ..functions.text import normalise_lines, query_variants, sentences, step_back, sub_queries
-from ..functions.vectors import DIMENSION, embed_terms
+from ..functions.vectors import DIMENSION, hash_terms
 from ..functions.text import tokens
 from ..operators.fusion import merge_variants
 from ..operators.rerank import compress, drop_redundant, grade_retrieval, keyword_rerank
@@ -56,7 +58,17 @@ def preset(name: str, **changes) -> Settings:
 
 
 def embed_frame(rows: DataFrame, text: str, name: str, dimension: int = DIMENSION) -> DataFrame:
-    return rows.withColumn(name, embed_terms(tokens(F.coalesce(F.col(text), F.lit(""))), dimension))
+    """rows with the hashing embedding of a text column; Arrow batches pass through once."""
+    made = rows.withColumn(name, tokens(F.coalesce(F.col(text), F.lit(""))))
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(name)
+            vectors = [hash_terms(t or [], dimension) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, name, pa.array(vectors, pa.list_(pa.float32())))
+
+    kinds = [T.StructField(name, T.ArrayType(T.FloatType())) if f.name == name else f for f in made.schema.fields]
+    return made.mapInArrow(run, T.StructType(kinds))
 
 
 def hybrid_retriever(docs: DataFrame, alpha: float = 0.45, dimension: int = DIMENSION, keep: DataFrame | None = None) -> Retriever:

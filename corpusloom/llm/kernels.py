@@ -55,7 +55,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 3 << 20):
+def slices(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges of documents of about limit bytes each (one document at least), so temporaries stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -18,7 +18,7 @@ SHINGLE = 8
 BANDS, ROWS = 16, 6
 SIMILARITY = 0.8
 #: Entries that one task of the banding sorts.
-BAND_ENTRIES = 2_000_000
+BAND_ENTRIES = 1_000_000
 _NO_DOC = np.iinfo(np.int64).min
 _PROBES = np.random.default_rng(7).integers(0, BANDS * ROWS, (64, BANDS * ROWS))
 

@@ -11,7 +11,7 @@ _MARK = r"(?i)\[source:\s*([^\]]+)\]"
 
 
 def citations(answer: Column) -> Column:
-    return F.transform(F.regexp_extract_all(answer, F.lit(_MARK), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(answer, F.lit(_MARK), F.lit(1)), lambda x: F.trim(x))
 
 
 def without_citations(answer: Column) -> Column:
@@ -35,7 +35,7 @@ def citation_accuracy(answer: Column, allowed: Column) -> Column:
 
 def unsourced_sentences(answer: Column) -> Column:
     """Sentences without a citation, but for those that say that the answer is not known."""
-    parts = F.filter(F.transform(F.split(answer, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(answer, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
     return F.filter(parts, lambda s: ~F.lower(s).rlike(r"^(je ne sais pas|i don't know|i do not know)") & ~s.rlike(_MARK))
 
 

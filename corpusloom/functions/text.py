@@ -65,7 +65,7 @@ def sentences(text: Column) -> Column:
 
 def sentences_by_capital(text: Column) -> Column:
     """Sentences split where a final mark is followed by a capital or digit; white space inside stays."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+(?=[A-ZÀ-Ÿ0-9])"), F.trim), lambda s: F.length(s) > 1)
+    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+(?=[A-ZÀ-Ÿ0-9])"), lambda x: F.trim(x)), lambda s: F.length(s) > 1)
 
 
 def normalise_lines(text: Column) -> Column:

@@ -43,7 +43,8 @@ def summary_tree(nodes: DataFrame, summarise: Callable[[list[str]], str], embed:
             break
         blocks = max(1, -(-n // block))
 
-        def build(pdf: pd.DataFrame, k: int = k) -> pd.DataFrame:
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            k = int(pdf["level"].iloc[0]) + 1
             pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
             rows = []
             groups = pd.Series(greedy_groups(np.array(pdf["vector"].tolist(), float), size))

@@ -131,7 +131,7 @@ def context(hits: DataFrame) -> DataFrame:
 
 def extractive_answer(ctx: Column, most: int = 1200) -> Column:
     """The first four lines of a context that are no questions."""
-    lines = F.filter(F.transform(F.split(normalise_lines(ctx), "\n"), F.trim), lambda x: (x != "") & ~x.endswith("?"))
+    lines = F.filter(F.transform(F.split(normalise_lines(ctx), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.endswith("?"))
     return F.substring(F.array_join(F.slice(lines, 1, 4), "\n"), 1, most)
 
 

@@ -498,8 +498,8 @@ def _(s, d):
 
 @query(
     "evaluate_generation",
-    f"""WITH t AS ({_tokens_sql('conversations', 'conv_id', 'text', ', turn, role')}), p AS (SELECT a.conv_id, a.turn, a.t AS at, q.t AS qt FROM t a JOIN t q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1 AND q.role = 'user' WHERE a.role = 'assistant')
-    SELECT conv_id, turn, round(CASE WHEN len(at) = 0 THEN 1 WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(at, qt)) / len(list_distinct(at)) END, 6) AS groundedness, round(CASE WHEN len(qt) = 0 THEN 1 ELSE len(list_intersect(at, qt)) / len(list_distinct(qt)) END, 6) AS relevance FROM p""",
+    f"""WITH t AS ({_tokens_sql('conversations', 'conv_id', 'text', ', turn, role')}), p AS (SELECT a.conv_id, a.turn, a.t AS ans, q.t AS qt FROM t a JOIN t q ON a.conv_id = q.conv_id AND q.turn = a.turn - 1 AND q.role = 'user' WHERE a.role = 'assistant')
+    SELECT conv_id, turn, round(CASE WHEN len(ans) = 0 THEN 1 WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(ans, qt)) / len(list_distinct(ans)) END, 6) AS groundedness, round(CASE WHEN len(qt) = 0 THEN 1 ELSE len(list_intersect(ans, qt)) / len(list_distinct(qt)) END, 6) AS relevance FROM p""",
 )
 def _(s, d):
     t = table(s, d, "conversations")

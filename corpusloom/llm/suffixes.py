@@ -34,30 +34,59 @@ def lcp_intervals(lcp: np.ndarray, least: int):
             stack.append((v, left))
 
 
-def maximal_repeats(suffixes: list[np.ndarray], lefts: np.ndarray, least: int):
-    """(length, indexes of all occurrences) of each maximal repeat among suffixes that share a prefix.
+def sorted_suffixes(texts: list[np.ndarray], text: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of the suffixes texts[text[i]][offset[i]:]: the sorted order, and the words that each shares with the one before.
 
-    suffixes: word hashes to the end of the region or document; lefts: the word before each (0 at a document's start).
+    Few suffixes of each text are copied and compared. Many, as in periodic text, are ranked by prefix doubling, whose ranks
+    also give the common prefixes; both ways give the same lcp.
+    """
+    size = np.array([len(t) for t in texts])
+    lcp = np.zeros(len(text), np.int64)
+    if (size[text] - offset).sum() <= 4 * size.sum():
+        suffixes = [texts[t][o:] for t, o in zip(text.tolist(), offset.tolist(), strict=True)]
+        order = sorted(range(len(suffixes)), key=lambda i: suffixes[i].astype(">u4").tobytes())
+        for k in range(1, len(order)):
+            a, b = suffixes[order[k - 1]], suffixes[order[k]]
+            m = min(len(a), len(b))
+            differ = a[:m] != b[:m]
+            at = int(differ.argmax()) if m else 0
+            lcp[k] = at if m and differ[at] else m
+        return np.array(order), lcp
+    # each text ends in a sign of its own, so no common prefix passes an end
+    joined = np.concatenate([np.append(t.astype(np.int64), -1 - k) for k, t in enumerate(texts)])
+    at = (np.cumsum(size + 1) - size - 1)[text] + offset
+    ranks = [np.unique(joined, return_inverse=True)[1].astype(np.int32)]  # ranks[k]: of the 2^k words from each place on
+    while (1 << (len(ranks) - 1)) <= size.max():
+        r, step = ranks[-1], 1 << (len(ranks) - 1)
+        after = np.zeros(len(r), np.int64)
+        after[:-step] = r[step:]
+        ranks.append(np.unique(r * np.int64(len(r)) + after, return_inverse=True)[1].astype(np.int32))
+    order = np.argsort(ranks[-1][at], kind="stable")
+    a, b = at[order[:-1]].copy(), at[order[1:]].copy()
+    for k in range(len(ranks) - 1, -1, -1):
+        same = np.flatnonzero(ranks[k][a] == ranks[k][b])
+        a[same] += 1 << k
+        b[same] += 1 << k
+    lcp[1:] = a - at[order[:-1]]
+    return order, lcp
+
+
+def maximal_repeats(texts: list[np.ndarray], text: np.ndarray, offset: np.ndarray, lefts: np.ndarray, least: int):
+    """(length, indexes of all occurrences) of each maximal repeat among the suffixes texts[text[i]][offset[i]:], which share a prefix.
+
+    texts: word hashes to the end of the region or document; lefts: the word before each suffix (0 at a document's start).
     Sorts the suffixes, computes common prefixes of neighbours, scans the interval tree and keeps the intervals whose
     left extensions differ: two different words before, or a document's start.
     """
-    order = sorted(range(len(suffixes)), key=lambda i: suffixes[i].astype(">u4").tobytes())
-    lcp = np.zeros(len(order), np.int64)
-    for k in range(1, len(order)):
-        a, b = suffixes[order[k - 1]], suffixes[order[k]]
-        m = min(len(a), len(b))
-        differ = a[:m] != b[:m]
-        at = int(differ.argmax()) if m else 0
-        lcp[k] = at if m and differ[at] else m
+    order, lcp = sorted_suffixes(texts, text, offset)
     left = lefts[order]
     # changes[i]: how many of left[1..i] differ from the one before, or are a document's start
     change = np.zeros(len(order), np.int64)
     change[1:] = (left[1:] != left[:-1]) | (left[1:] == _EDGE)
     change = np.cumsum(change)
-    where = np.array(order)
     for length, i, j in lcp_intervals(lcp, least):
         if change[j] > change[i]:
-            yield length, where[i : j + 1]
+            yield length, order[i : j + 1]
 
 
 class _Slice:
@@ -97,24 +126,6 @@ def _anchors(s: _Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
     return low, grams[_slide(np.concatenate([pad, low, pad]), span, np.maximum) == grams]
 
 
-def apart(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, width: int) -> np.ndarray:
-    """Mask of the occurrences that count: of equal windows that overlap in a document, from the left, those that don't begin inside one that counts."""
-    order = np.lexsort((pos, part, doc))
-    keep = np.ones(len(pos), dtype=bool)
-    p, d, x = part[order], doc[order], pos[order]
-    near = np.flatnonzero((p[1:] == p[:-1]) & (d[1:] == d[:-1]) & (x[1:] - x[:-1] < width)) + 1
-    last_index, last_pos = -2, 0
-    for k in near.tolist():
-        if k != last_index + 1:
-            last_pos = int(x[k - 1])
-        last_index = k
-        if x[k] - last_pos < width:
-            keep[order[k]] = False
-        else:
-            last_pos = int(x[k])
-    return keep
-
-
 def _count(rows: DataFrame, folder: str, bits: int, gather, least_diverse: bool) -> HashTable:
     """Counts hashes that gather(slice) yields as (hash, left), and stores those that occur twice or more; with least_diverse only if their lefts differ (or one is a document's start)."""
 
@@ -185,9 +196,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Result, one row per maximal repeat: (repeat_id STRING, words INT, n INT, doc_ids ARRAY<BIGINT>, starts ARRAY<INT>); occurrence
     i is the words starts[i] .. starts[i]+words-1 of doc_ids[i], sorted by doc_id and start. A repeat is a word sequence with
     two occurrences or more, in one document or several; it is maximal if the occurrences do not all go on with the same
-    word, nor all have the same word before (a document's ends count as words of their own). In periodic text, where a
-    window of min_words words overlaps itself, occurrences count from the left without overlap: one that begins inside
-    an equal window that counts does not. Words are separated by ASCII
+    word, nor all have the same word before (a document's ends count as words of their own). Occurrences may overlap, as in
+    periodic text: all are listed, so n words of period p give about n*n/(2*p*p) of them. Words are separated by ASCII
     whitespace and compared as they are.
 
     Defined results: null, empty and short texts have no repeats. Each row is a document: repeated rows repeat all their
@@ -198,10 +208,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same word before it holds no maximal repeat and is never built: what is left are the places where repeats begin. (1)
     Anchors, the least half-window in each window, are counted over all documents. (2) Windows with a repeated anchor are
     counted with the words before them. (3) Their suffixes, cut where the repeated windows end, are grouped, sorted and
-    scanned. Counts are stored as sorted hash arrays in the shared folder, which workers map.
+    scanned; where a window comes again in one region, as in periodic text, its suffixes share one copy of the words. Counts are stored as sorted hash arrays in the shared folder, which workers map.
 
     At scale: passes 1 and 2 shuffle compressed hashes, of about one word in thirteen, and of repeated text only; pass 3 shuffles
-    32-bit words of the suffixes that begin a repeat. Unrepeated text never leaves its task.
+    32-bit words of the suffixes that begin a repeat. Unrepeated text never leaves its task. The result is lazy and reads the
+    counts in the shared folder: listed in full, it can be far larger than its input, so it is not stored there.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
@@ -252,63 +263,87 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 if not hit.any():
                     continue
                 doc = doc_of(s.first)
-                hit[hit] = apart(s.windows[at[hit]], doc[at[hit]], at[hit], min_words)
-                start = at[hit]
                 # a region ends where the run of repeated windows does
                 last = np.append(np.flatnonzero(np.diff(at) != 1), len(at) - 1)
                 split = np.flatnonzero((np.diff(at) == 1) & (doc[at[1:]] != doc[at[:-1]]))
                 last = np.union1d(last, split)
-                end = at[last[np.searchsorted(last, np.flatnonzero(hit))]] + min_words
+                start, region = at[hit], np.searchsorted(last, np.flatnonzero(hit))
+                window = s.windows[start] & ~U64(0xFFFF)
+                order = np.lexsort((start, region, window))
+                start, region, window = start[order], region[order], window[order]
+                new = np.ones(len(start), dtype=bool)
+                new[1:] = (window[1:] != window[:-1]) | (region[1:] != region[:-1])
+                head = np.flatnonzero(new)
+                lists = pa.array(np.append(head, len(start)).astype(np.int32))
+                first, d = start[head], doc[start[head]]
                 # one word beyond the region tells suffixes apart that only the region's end cuts
-                end = np.minimum(end + 1, s.first[doc[start] + 1])
+                end = np.minimum(at[last[region[head]]] + min_words + 1, s.first[d + 1])
                 narrow = (mix(s.words) >> U64(32)).astype(np.uint32)
-                d = doc[start]
-                texts = [narrow[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                texts = [narrow[x:y].tobytes() for x, y in zip(first.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((s.windows[start] & ~U64(0xFFFF)).view(np.int64)), ids.take(pa.array(i + d)), pa.array((start - s.first[d]).astype(np.int32)), pa.array(lefts(s, start).view(np.int64)), pa.array(texts, pa.binary())],
-                    ["part", "doc_id", "start", "before", "words"],
-                )
+                    [
+                        pa.array(window[head].view(np.int64)), ids.take(pa.array(i + d)), pa.array((first - s.first[d]).astype(np.int32)),
+                        pa.ListArray.from_arrays(lists, pa.array((start - s.first[doc[start]]).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(lefts(s, start).view(np.int64))), pa.array(texts, pa.binary()),
+                    ],
+                    ["part", "doc_id", "start", "starts", "before", "words"],
+                )
 
     def tree(batches):
         """Parts come sorted, so each is a run of rows, possibly over several batches."""
 
         def scan(part: list[pa.RecordBatch]):
-            t = pa.Table.from_batches(part)
-            raw = [np.frombuffer(x, np.uint32) for x in t["words"].to_pylist()]
-            ids, starts, before = t["doc_id"].to_pylist(), t["start"].to_numpy(), t["before"].to_numpy().view(U64)
+            t = pa.Table.from_batches(part).combine_chunks()
+            texts = [np.frombuffer(x, np.uint32) for x in t["words"].to_pylist()]
+            listed = t["starts"].combine_chunks()
+            text = np.repeat(np.arange(len(t)), listed.value_lengths().to_numpy())
+            starts, before = listed.flatten().to_numpy(), t["before"].combine_chunks().flatten().to_numpy().view(U64)
+            offset = starts - t["start"].to_numpy()[text]
+            none = t["doc_id"].is_null().to_numpy()[text]
+            ids = t["doc_id"].fill_null(0).to_numpy()[text]
+            order = np.lexsort((starts, ids, ~none))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ids, none, starts = ids[order], none[order], starts[order]
             name = f"{t['part'][0].as_py() & (2**64 - 1):016x}"
-            for k, (length, where) in enumerate(maximal_repeats(raw, before, min_words)):
-                got = sorted(((ids[w], int(starts[w])) for w in where.tolist()), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
-                yield {"repeat_id": f"{name}.{k}", "words": length, "n": len(got), "doc_ids": [g[0] for g in got], "starts": [g[1] for g in got]}
+            for k, (length, where) in enumerate(maximal_repeats(texts, text, offset, before, min_words)):
+                w = np.sort(place[where])
+                yield f"{name}.{k}", length, ids[w], none[w], starts[w]
 
         def flush(rows):
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("repeat_id", pa.string()), ("words", pa.int32()), ("n", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]))
+            names, words, ids, none, starts = zip(*rows, strict=True)
+            n = np.array([len(x) for x in ids], np.int32)
+            lists = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(words, pa.int32()), pa.array(n), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(ids), mask=np.concatenate(none))), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(starts)))],
+                ["repeat_id", "words", "n", "doc_ids", "starts"],
+            )
+
+        def parts():
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                part = b.column("part").to_numpy()
+                edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+                for x, y in zip(edges, edges[1:], strict=False):
+                    if y == x:
+                        continue
+                    if held and held[0].column("part")[0].as_py() != int(part[x]):
+                        yield held
+                        held = []
+                    held.append(b.slice(x, y - x))
+            if held:
+                yield held
 
-        held: list[pa.RecordBatch] = []
         out, weight = [], 0
-        for b in batches:
-            part = b.column("part").to_numpy()
-            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            for x, y in zip(edges, edges[1:], strict=False):
-                if y == x:
-                    continue
-                if held and held[0].column("part")[0].as_py() != int(part[x]):
-                    for r in scan(held):
-                        out.append(r)
-                        weight += r["n"]
-                    held = []
-                held.append(b.slice(x, y - x))
+        for part in parts():
+            for r in scan(part):
+                out.append(r)
+                weight += len(r[2])
                 if weight > 200_000:
                     yield flush(out)
                     out, weight = [], 0
-        if held:
-            out.extend(scan(held))
         if out:
             yield flush(out)
 
-    found = rows.mapInArrow(suffixes, "part bigint, doc_id bigint, start int, before bigint, words binary")
-    parts = found.repartition("part").sortWithinPartitions("part", "doc_id", "start")
-    result = scratch.table(parts.mapInArrow(tree, "repeat_id string, words int, n int, doc_ids array<bigint>, starts array<int>"), "repeats")
-    scratch.drop("anchors")
-    scratch.drop("begins")
-    return result
+    found = rows.mapInArrow(suffixes, "part bigint, doc_id bigint, start int, starts array<int>, before array<bigint>, words binary")
+    by_part = found.repartition("part").sortWithinPartitions("part", "doc_id", "start")
+    return by_part.mapInArrow(tree, "repeat_id string, words int, n int, doc_ids array<bigint>, starts array<int>")

@@ -164,6 +164,35 @@ def test_repeats(spark, edge):
     assert (75, ((0, 20), (4, 5))) in got
 
 
+def brute_repeats(parts, least):
+    """{(words, occurrences)} of all maximal repeats: every run of words that comes twice, with differing words on both sides."""
+    out, length = set(), least
+    while True:
+        at = defaultdict(list)
+        for i, p in enumerate(parts):
+            for s in range(len(p) - length + 1):
+                at[tuple(p[s : s + length])].append((i, s))
+        again = [x for x in at.values() if len(x) > 1]
+        if not again:
+            return out
+        for x in again:
+            before = {parts[i][s - 1] if s else (i, s) for i, s in x}
+            after = {parts[i][s + length] if s + length < len(parts[i]) else (i, s) for i, s in x}
+            if len(before) > 1 and len(after) > 1:
+                out.add((length, tuple(x)))
+        length += 1
+
+
+def test_repeats_of_periodic_text(spark):
+    line, shared = [f"l{i}" for i in range(30)], [f"s{i}" for i in range(400)]
+    rnd = random.Random(8)
+    loose = [[rnd.choice("ab") for _ in range(rnd.randint(1, 6))] * rnd.randint(2, 30) + [rnd.choice("abc") for _ in range(rnd.randint(0, 20))] for _ in range(12)]
+    for parts, least in (([line * 5], 50), ([line * 5 + shared, line * 4 + shared], 50), ([["w"] * 200], 50), (loose, 6)):
+        rows = repeated_passages(docs_of(spark, [" ".join(p) for p in parts]), least).collect()
+        got = [(r.words, tuple(zip(r.doc_ids, r.starts, strict=True))) for r in rows]
+        assert len(set(got)) == len(got) and set(got) == brute_repeats(parts, least)
+
+
 def test_ngram_join(spark, edge):
     pairs = {(r.doc_a, r.doc_b) for r in ngram_jaccard_pairs(edge).collect()}
     assert (1, 1) in pairs and (1, 6) in pairs and not any(x in (2, 3, 4) for p in pairs for x in p)

@@ -13,10 +13,11 @@ from .kernels import doc_of, lines, mix, slices, span_hash, text_bytes, trim
 from .shared import U64, HashTable, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: A shingle is a run of so many UTF-8 bytes: one character each in ASCII text.
-SHINGLE = 8
-#: Bands of the signature and hashes per band. At Jaccard 0.8 a pair meets in some band with probability 0.992.
-BANDS, ROWS = 16, 6
-SIMILARITY = 0.8
+SHINGLE = 5
+#: Bands of the signature and hashes per band. At Jaccard 0.7 a pair meets in some band with probability 0.990.
+BANDS, ROWS = 25, 5
+#: One substituted byte changes SHINGLE shingles: lines of 33 bytes or more stay similar.
+SIMILARITY = 0.7
 #: Entries that one task of the banding sorts.
 BAND_ENTRIES = 1_000_000
 _NO_DOC = np.iinfo(np.int64).min
@@ -29,7 +30,7 @@ def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     line = np.repeat(np.arange(len(starts)), count)
     at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))[at]
+    words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))[at] & U64((1 << 8 * SHINGLE) - 1)
     short = np.flatnonzero(count == 0)
     if len(short):
         line = np.concatenate([line, short])
@@ -289,9 +290,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Removes repeated and near-repeated lines from all documents: (doc_id, text, n_lines, removed), one row per row of docs.
 
     Lines are split at line feeds and compared without ASCII whitespace at either end. Two lines are similar if the
-    Jaccard similarity of their sets of 8-byte shingles (UTF-8) is at least similarity; a line shorter than that is
-    similar to its equals only. Similar lines form components; of each component the first line stays, by doc_id and
-    then by line number. Candidates come from MinHash banding, with a recall above 0.99 at the default threshold, and are
+    Jaccard similarity of their sets of 5-byte shingles (UTF-8) is at least similarity; a line shorter than that is
+    similar to its equals only, and one of less than 33 bytes stays similar through changes near its ends only. Similar lines form components; of each component the first line stays, by doc_id and
+    then by line number. Candidates come from MinHash banding, with a recall of 0.99 at the default threshold, and are
     verified exactly. n_lines counts the lines that are not blank.
 
     Defined results: blank lines are kept, except in a text that loses all its other lines: that text becomes "". Null

@@ -269,6 +269,31 @@ def test_line_dedup(spark, edge):
     assert all(got[i] == x for i, x in enumerate(originals))
 
 
+def test_line_dedup_finds_planted_edits(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    originals, changed = [], []
+    for n in [*range(33, 80), *range(80, 400, 5)] * 2:  # one character
+        x = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+        x, at = f"x{x}x", rnd.randrange(1, n - 1)
+        originals.append(x)
+        changed.append(x[:at] + "#" + x[at + 1 :])
+    small = sum(len(x) < 80 for x in originals)
+    for _ in range(100):  # four words of forty
+        w = [word() for _ in range(40)]
+        originals.append(" ".join(w))
+        for at in rnd.sample(range(40), 4):
+            w[at] = word()
+        changed.append(" ".join(w))
+    n = len(originals)
+    got = {r.doc_id: r.text for r in dedup_lines(docs_of(spark, originals + changed)).collect()}
+    assert all(got[i] == x for i, x in enumerate(originals))
+    found = [got[n + i] == "" for i in range(n)]
+    short = [f for f, x in zip(found, originals, strict=True) if len(x) < 80]
+    assert len(short) == small and sum(short) >= 0.95 * small
+    assert sum(found) >= 0.95 * n and sum(found[-100:]) >= 95
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 16)).astype(np.float32)

@@ -582,6 +582,24 @@ def _(s, d):
     return graph.reachable(o, seeds, 2)
 
 
+@query(
+    "graph_reach_all",
+    """WITH e AS (SELECT 'c' || o_custkey AS s, 'p' || o_orderkey AS o FROM orders), b AS (SELECT s AS a, o AS b FROM e UNION SELECT o, s FROM e), s0 AS (SELECT c_custkey AS query_id, 'c' || c_custkey AS entity FROM customer),
+    s1 AS (SELECT query_id, entity FROM s0 UNION SELECT query_id, b FROM s0 JOIN b ON entity = a), s2 AS (SELECT query_id, entity FROM s1 UNION SELECT query_id, b FROM s1 JOIN b ON entity = a) SELECT DISTINCT query_id, entity FROM s2""",
+)
+def _(s, d):
+    o = table(s, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("s"), F.concat(F.lit("p"), "o_orderkey").alias("o"))
+    seeds = table(s, d, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("entity"))
+    return graph.reachable(o, seeds, 2)
+
+
+@query("graph_hits")
+def _(s, d):
+    docs = table(s, d, "documents")
+    seeds = graph.entity_documents(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("query_id"), "entity")
+    return graph.graph_hits(graph.triples(docs), graph.entity_documents(docs), seeds)
+
+
 def _first_words(parts: list[str]) -> str:
     return " ".join(p[:40] for p in parts)
 

@@ -60,3 +60,25 @@ def test_tokens_without_text(spark):
     rows = spark.createDataFrame([(1, "Le chat noir dort"), (2, ""), (3, None)], "i int, t string").select("i", tokens(F.col("t")).alias("t")).orderBy("i").collect()
     assert rows[0].t == ["chat", "noir", "dort", "chat noir", "noir dort"]
     assert rows[1].t == [] and rows[2].t is None
+
+
+def test_graph_covers_all_seeds(spark):
+    """Every customer is a seed over whole keys, and hits over triples equal a walk by hand."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import graph
+
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert QUERIES["graph_reach_all"](spark, SF).agg(F.countDistinct("query_id")).first()[0] == customers
+    docs = spark.createDataFrame([(1, "Alice Martin met Bob Stone. Bob Stone works with Carol White."), (2, "Carol White met Dan Brown."), (3, "Eve Black met Fay Green."), (4, "nobody here")], "doc_id bigint, text string")
+    triples, named = graph.triples(docs), graph.entity_documents(docs)
+    seeds = spark.createDataFrame([(1, "bob stone"), (2, "eve black"), (3, "unknown")], "query_id bigint, entity string")
+    near = {(r.s, r.o) for r in triples.collect()}
+    for depth in (1, 2):
+        want = set()
+        for q, e in ((1, "bob stone"), (2, "eve black"), (3, "unknown")):
+            seen = {e}
+            for _ in range(depth):
+                seen |= {b for a, b in near if a in seen} | {a for a, b in near if b in seen}
+            want |= {(q, r.doc_id) for r in triples.collect() if r.s in seen or r.o in seen} | {(q, r.doc_id) for r in named.collect() if r.entity == e}
+        assert {(r.query_id, r.doc_id) for r in graph.graph_hits(triples, named, seeds, depth).collect()} == want

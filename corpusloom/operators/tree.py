@@ -12,28 +12,34 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nodes grouped together; the greedy rule is sequential, so levels are cut into blocks of this size by doc_id order.
-BLOCK = 2000
-
 
 def greedy_groups(vectors: np.ndarray, size: int) -> list[int]:
-    """Group of each row: the first free row takes the size - 1 most similar free ones."""
-    sims, group, n = vectors @ vectors.T, np.full(len(vectors), -1), 0
+    """Group of each row: the first free row takes the size - 1 most similar free ones, of equal ones the first."""
+    group, n = np.full(len(vectors), -1), 0
+    at, left = np.arange(len(vectors)), vectors  # rows that were free when they were last gathered
     for i in range(len(vectors)):
         if group[i] >= 0:
             continue
-        free = np.flatnonzero(group < 0)
-        free = free[free != i]
-        near = free[np.argsort(-sims[i, free], kind="stable")[: size - 1]]
-        group[[i, *near]] = n
+        group[i] = n
+        free = group[at] < 0
+        most = min(size - 1, int(free.sum()))
+        if most > 0:
+            sims = np.where(free, left @ vectors[i], -np.inf)
+            least = np.partition(sims, len(sims) - most)[len(sims) - most]
+            above = np.flatnonzero(free & (sims > least))
+            group[at[[*above, *np.flatnonzero(free & (sims == least))[: most - len(above)]]]] = n
+        if 2 * free.sum() < len(at):
+            at = at[group[at] < 0]
+            left = vectors[at]
         n += 1
     return group.tolist()
 
 
-def summary_tree(nodes: DataFrame, summarise: Callable[[list[str]], str], embed: Callable[[str], np.ndarray], size: int = 4, levels: int = 2, block: int = BLOCK) -> DataFrame:
+def summary_tree(nodes: DataFrame, summarise: Callable[[list[str]], str], embed: Callable[[str], np.ndarray], size: int = 4, levels: int = 2) -> DataFrame:
     """(node_id, level, content, vector, child_ids): the nodes (doc_id STRING, content, vector) at level 0 and their summaries above.
 
-    Stops when a level has one node. A level is one grouped step; blocks of its nodes are summarised independently.
+    Stops when a level has one node. Groups are found over a whole level, by node_id: the greedy rule is sequential, so one task
+    holds the level's vectors (not its texts) and does quadratic work. Groups are summarised independently.
     """
     level0 = nodes.select(F.col("doc_id").cast("string").alias("node_id"), F.lit(0).alias("level"), "content", F.col("vector").cast("array<double>").alias("vector"), F.array().cast("array<string>").alias("child_ids"))
     out, last = [level0], level0
@@ -41,20 +47,19 @@ def summary_tree(nodes: DataFrame, summarise: Callable[[list[str]], str], embed:
         n = last.count()
         if n <= 1:
             break
-        blocks = max(1, -(-n // block))
+
+        def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
+            return pd.DataFrame({"node_id": pdf["node_id"], "g": greedy_groups(np.array(pdf["vector"].tolist(), float), size)})
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             k = int(pdf["level"].iloc[0]) + 1
-            pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-            rows = []
-            groups = pd.Series(greedy_groups(np.array(pdf["vector"].tolist(), float), size))
-            for g, part in pdf.groupby(groups):
-                text = summarise(part["content"].tolist())
-                rows.append((f"L{k}-{pdf['b'][0]}-{g}", k, text, np.asarray(embed(text), float).tolist(), part["node_id"].tolist()))
-            return pd.DataFrame(rows, columns=["node_id", "level", "content", "vector", "child_ids"])
+            pdf = pdf.sort_values("node_id", kind="stable")
+            text = summarise(pdf["content"].tolist())
+            return pd.DataFrame([(f"L{k}-{pdf['g'].iloc[0]}", k, text, np.asarray(embed(text), float).tolist(), pdf["node_id"].tolist())], columns=["node_id", "level", "content", "vector", "child_ids"])
 
-        dealt = last.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int"))
-        last = dealt.groupBy("b").applyInPandas(build, "node_id string, level int, content string, vector array<double>, child_ids array<string>")
+        groups = last.select("level", "node_id", "vector").groupBy("level").applyInPandas(assign, "node_id string, g int")
+        last = last.join(groups, "node_id").groupBy("g").applyInPandas(build, "node_id string, level int, content string, vector array<double>, child_ids array<string>")
         out.append(last)
     return reduce(DataFrame.unionByName, out)
 

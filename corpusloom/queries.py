@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -600,8 +602,16 @@ def _(s, d):
     return graph.graph_hits(graph.triples(docs), graph.entity_documents(docs), seeds)
 
 
-def _first_words(parts: list[str]) -> str:
-    return " ".join(p[:40] for p in parts)
+def _central_sentences(parts: list[str]) -> str:
+    """Of each part the sentence that shares most with the words of all parts, for its length; every word is read."""
+    counts = Counter(w for p in parts for w in p.lower().split())
+
+    def weight(sentence: str) -> float:
+        words = set(sentence.lower().split())
+        return sum(counts[w] for w in words) / len(words) ** 0.5
+
+    split = [[x for x in re.split(r"(?<=[.!?])\s+|\n+", p) if x.strip()] for p in parts]
+    return " ".join(max(x, key=weight) for x in split if x)
 
 
 def _embed_one(text: str) -> np.ndarray:
@@ -612,8 +622,9 @@ def _embed_one(text: str) -> np.ndarray:
 
 @query("summary_tree")
 def _(s, d):
-    v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("vector "), F.col("vec_id")).alias("content"), F.col("embedding").alias("vector"))
-    return tree.summary_tree(v, _first_words, _embed_one).select("node_id", "level", "content", "child_ids")
+    embed = F.pandas_udf(lambda texts: texts.map(lambda t: _embed_one(t).tolist()), "array<float>")
+    v = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content")).withColumn("vector", embed("content"))
+    return tree.summary_tree(v, _central_sentences, _embed_one).select("node_id", "level", "content", "child_ids")
 
 
 # engines

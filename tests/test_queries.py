@@ -82,3 +82,31 @@ def test_graph_covers_all_seeds(spark):
                 seen |= {b for a, b in near if a in seen} | {a for a, b in near if b in seen}
             want |= {(q, r.doc_id) for r in triples.collect() if r.s in seen or r.o in seen} | {(q, r.doc_id) for r in named.collect() if r.entity == e}
         assert {(r.query_id, r.doc_id) for r in graph.graph_hits(triples, named, seeds, depth).collect()} == want
+
+
+def test_tree_groups_over_the_whole_level(spark):
+    """2,400 nodes, more than one of the former blocks: each seed takes the nearest free nodes of all."""
+    import numpy as np
+
+    from corpusloom.operators.tree import summary_tree
+
+    x = np.random.default_rng(6).normal(size=(2400, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [f"{i:05d}" for i in range(len(x))]
+    nodes = spark.createDataFrame([(i, f"t{i}", v.tolist()) for i, v in zip(ids, x, strict=True)], "doc_id string, content string, vector array<double>")
+    rows = summary_tree(nodes, " ".join, lambda t: np.ones(4), levels=1).where("level = 1").collect()
+    free, want = list(range(len(x))), set()
+    while free:
+        seed, rest = free[0], free[1:]
+        near = sorted(rest, key=dict(zip(rest, -(x[rest] @ x[seed]), strict=True)).get)[:3]
+        want.add(tuple(ids[i] for i in sorted([seed, *near])))
+        free = [i for i in rest if i not in near]
+    assert {tuple(r.child_ids) for r in rows} == want
+    assert all(r.content == " ".join(f"t{c}" for c in r.child_ids) for r in rows)
+
+
+def test_tree_reads_whole_documents(spark):
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["summary_tree"](spark, SF).collect()
+    assert {r.node_id: r.content for r in rows if r.level == 0} == texts
+    assert sorted(c for r in rows if r.level == 1 for c in r.child_ids) == sorted(texts)

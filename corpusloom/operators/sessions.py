@@ -22,7 +22,7 @@ def exchanges(turns: DataFrame) -> DataFrame:
     return nxt.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def standalone_queries(turns: DataFrame, most: int = 3) -> DataFrame:
+def standalone_queries(turns: DataFrame, most: int = 6) -> DataFrame:
     """(conv_id, turn, query, is_follow_up): each question with what it needs of the exchanges before it. A follow-up gets the last most exchanges, another question the last one in a line."""
     e = exchanges(turns)
     before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-most, -1)

@@ -163,17 +163,17 @@ def corrective(attempts: list[DataFrame], least: float = 0.08) -> DataFrame:
     return hits.join(best, ["query_id", "attempt"])
 
 
-def multi_hop(docs: DataFrame, queries: DataFrame, search: Retriever, hops: int = 2, k: int = 3, snippets: int = 3, most: int = 700) -> DataFrame:
-    """Hits of all hops (query_id, hop, doc_id, score, rank); from the second on, the question carries the best snippets found so far. One batched search per hop."""
+def multi_hop(docs: DataFrame, queries: DataFrame, search: Retriever, hops: int = 2, k: int = 4, snippets: int = 3, most: int = 700) -> DataFrame:
+    """Hits of all hops (query_id, hop, doc_id, score, rank); from the second on, the question carries the last snippets found so far: 360 characters of the two best documents of a hop. One batched search per hop."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     now, out, seen = queries.select("query_id", "query"), None, None
     for hop in range(hops):
         hits = search(now, k).withColumn("hop", F.lit(hop)).select("query_id", "hop", "doc_id", "score", "rank")
         out = hits if out is None else out.unionByName(hits)
-        found = hits.join(text, "doc_id").select("query_id", "hop", "rank", F.substring("content", 1, 240).alias("s"))
+        found = hits.where("rank <= 2").join(text, "doc_id").select("query_id", "hop", "rank", F.substring("content", 1, 360).alias("s"))
         seen = found if seen is None else seen.unionByName(found)
-        turn = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("hop"), "rank"))
-        best = seen.withColumn("t", turn).where(F.col("t") <= snippets).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "s"))), lambda x: x["s"]), " ").alias("e"))
+        turn = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("hop"), F.desc("rank")))
+        best = seen.withColumn("t", turn).where(F.col("t") <= snippets).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("t"), "s"))), lambda x: x["s"]), " ").alias("e"))
         now = queries.join(best, "query_id", "left").select("query_id", F.concat_ws("\nÉléments: ", "query", F.substring("e", 1, most)).alias("query"))
     return out
 

@@ -110,3 +110,26 @@ def test_tree_reads_whole_documents(spark):
     rows = QUERIES["summary_tree"](spark, SF).collect()
     assert {r.node_id: r.content for r in rows if r.level == 0} == texts
     assert sorted(c for r in rows if r.level == 1 for c in r.child_ids) == sorted(texts)
+
+
+def test_windows_of_the_reference(spark):
+    """Words 241 to 360 of the two best documents reach the next hop, four documents come per hop, a follow-up gets six exchanges."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators.sessions import standalone_queries
+    from corpusloom.plans.engine import multi_hop
+
+    docs = spark.createDataFrame([(i, "x" * 300 + f" needle{i} " + "y" * 300) for i in range(1, 7)], "doc_id bigint, text string")
+    asked = []
+
+    def search(q, k):
+        asked.append({r.query for r in q.select("query").collect()})
+        return q.crossJoin(docs.select("doc_id", F.col("doc_id").cast("int").alias("rank"), F.lit(1.0).alias("score"))).where(F.col("rank") <= k).drop("query")
+
+    hits = multi_hop(docs, spark.createDataFrame([(1, "what")], "query_id bigint, query string"), search).collect()
+    assert sorted((r.hop, r.doc_id) for r in hits) == [(h, i) for h in (0, 1) for i in (1, 2, 3, 4)]
+    (second,) = asked[1]
+    assert second.index("needle1") < second.index("needle2") and "needle3" not in second
+    turns = [(1, 2 * i + j, role, f"{'et ' if j == 0 else ''}t{i}") for i in range(9) for j, role in enumerate(("user", "assistant"))]
+    rows = standalone_queries(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).orderBy("turn").collect()
+    assert rows[-1].is_follow_up and [r.query.count("Utilisateur: ") for r in rows] == [0, 1, 2, 3, 4, 5, 6, 6, 6]

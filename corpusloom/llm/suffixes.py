@@ -130,10 +130,10 @@ def _count(rows: DataFrame, folder: str, bits: int, gather, least_diverse: bool)
     """Counts hashes that gather(slice) yields as (hash, left), and stores those that occur twice or more; with least_diverse only if their lefts differ (or one is a document's start)."""
 
     def send(batches):
-        held, sides, size = [], [], 0
+        held, before, size = [], [], 0
 
         def flush():
-            key, left = np.concatenate(held), np.concatenate(sides)
+            key, left = np.concatenate(held), np.concatenate(before)
             if not least_diverse:
                 key = np.sort(key)
                 key, weight = summed(key, np.ones(len(key), np.int64))
@@ -149,22 +149,24 @@ def _count(rows: DataFrame, folder: str, bits: int, gather, least_diverse: bool)
                 variety = np.diff(np.append(head, len(key)))
                 total = np.add.reduceat(count, head)
                 start = np.add.reduceat((left == _EDGE).astype(np.int64), head)
-                # weight: 16 bits of the only left; the low bits say diverse (1), more than one occurrence (2), a start (4)
-                weight = ((left[head] >> U64(48)).astype(np.int64) << 8) | ((variety > 1).astype(np.int64)) | (2 * (total > 1)) | (4 * (start > 0))
-                key = key[head]
+                # weight: diverse (1), more than one occurrence (2), a start (4); side: the only left, if it is needed
+                weight = ((variety > 1).astype(np.int64)) | (2 * (total > 1)) | (4 * (start > 0))
+                key, side = key[head], np.where((variety > 1) | (start > 0), _EDGE, left[head])
             edges = np.searchsorted(shard_of(key, bits), np.arange((1 << bits) + 1))
             full = np.flatnonzero(np.diff(edges))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack_sorted(key[edges[s] : edges[s + 1]] >> U64(16), weight[edges[s] : edges[s + 1]]) for s in full], pa.binary())], ["shard", "blob"])
+            blobs = [pack_sorted(key[edges[s] : edges[s + 1]] >> U64(16), weight[edges[s] : edges[s + 1]]) for s in full]
+            sides = [side[edges[s] : edges[s + 1]].tobytes() if least_diverse else b"" for s in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(sides, pa.binary())], ["shard", "blob", "sides"])
 
         for b in batches:
             for key, left in gather(b):
                 if len(key):
                     held.append(key & ~U64(0xFFFF))
-                    sides.append(left)
+                    before.append(left)
                     size += len(key)
                 if size >= FLUSH:
                     yield flush()
-                    held, sides, size = [], [], 0
+                    held, before, size = [], [], 0
         if size:
             yield flush()
 
@@ -175,18 +177,18 @@ def _count(rows: DataFrame, folder: str, bits: int, gather, least_diverse: bool)
             keys, weight = summed(keys, weight)
             good = keys[weight > 1]
         else:
-            order = np.lexsort((weight >> 8, keys))
-            keys, weight = keys[order], weight[order]
+            side = np.concatenate([np.frombuffer(x, U64) for x in table["sides"].to_pylist()])
+            order = np.lexsort((side, keys))
+            keys, weight, side = keys[order], weight[order], side[order]
             head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            flags = np.bitwise_or.reduceat(weight & 7, head)
-            side = weight >> 8
+            flags = np.bitwise_or.reduceat(weight, head)
             differ = np.zeros(len(keys), np.int64)
             differ[1:] = (side[1:] != side[:-1]) & (keys[1:] == keys[:-1])
             many = (np.diff(np.append(head, len(keys))) > 1) | ((flags & 2) > 0)
             good = keys[head][many & (((flags & 5) > 0) | (np.add.reduceat(differ, head) > 0))]
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [save_arrays(folder, {"key": good << U64(16)})]})
 
-    files = rows.mapInArrow(send, "shard int, blob binary").groupBy("shard").applyInArrow(total, "shard int, file string").collect()
+    files = rows.mapInArrow(send, "shard int, blob binary, sides binary").groupBy("shard").applyInArrow(total, "shard int, file string").collect()
     return HashTable(folder, bits, {r.shard: r.file for r in files}, [])
 
 

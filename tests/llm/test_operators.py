@@ -164,6 +164,21 @@ def test_repeats(spark, edge):
     assert (75, ((0, 20), (4, 5))) in got
 
 
+def test_repeats_with_lefts_that_share_bits(spark):
+    """In two map blocks, two left words whose hashes agree in the top 16 bits still differ."""
+    from corpusloom.llm.kernels import span_hash
+
+    words = [f"k{i}" for i in range(2000)]
+    ends = np.cumsum([len(w) for w in words])
+    top = span_hash(np.frombuffer("".join(words).encode(), np.uint8), ends - [len(w) for w in words], ends) >> np.uint64(48)
+    order = np.argsort(top, kind="stable")
+    same = np.flatnonzero(top[order[1:]] == top[order[:-1]])[0]
+    shared = " ".join(f"m{i}" for i in range(60))
+    a, b = (docs_of(spark, [f"{words[order[k]]} {shared} z{k}"]).coalesce(1) for k in (same, same + 1))
+    rows = repeated_passages(a.unionByName(b)).collect()
+    assert [(r.words, r.n, r.starts) for r in rows] == [(60, 2, [1, 1])]
+
+
 def brute_repeats(parts, least):
     """{(words, occurrences)} of all maximal repeats: every run of words that comes twice, with differing words on both sides."""
     out, length = set(), least

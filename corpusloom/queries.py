@@ -120,6 +120,20 @@ def _(s, d):
     return index.diff(now, before)
 
 
+@query(
+    "manifest_diff_all",
+    """WITH cur AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS now FROM documents),
+    prev AS (SELECT CASE WHEN doc_id % 7 = 2 THEN 'old-' ELSE '' END || doc_id AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS before FROM documents)
+    SELECT path, CASE WHEN now IS NULL THEN 'deleted' WHEN before IS NULL OR now <> before THEN 'changed' ELSE 'unchanged' END AS status FROM cur FULL JOIN prev USING (path)""",
+)
+def _(s, d):
+    """All documents on both sides: a renamed path stands for a deletion and an addition."""
+    t = table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
+    path = F.concat(F.when(F.col("doc_id") % 7 == 2, "old-").otherwise(""), "path").alias("path")
+    before = t.select(path, F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return index.diff(t.select("path", F.sha2("text", 256).alias("sha256")), before)
+
+
 @query("index_statistics", "SELECT count(*) AS documents, count(DISTINCT source) AS files, sum(n_chars)::BIGINT AS total_bytes, 3 AS schema_version FROM documents")
 def _(s, d):
     t = table(s, d, "documents")

@@ -133,3 +133,10 @@ def test_windows_of_the_reference(spark):
     turns = [(1, 2 * i + j, role, f"{'et ' if j == 0 else ''}t{i}") for i in range(9) for j, role in enumerate(("user", "assistant"))]
     rows = standalone_queries(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).orderBy("turn").collect()
     assert rows[-1].is_follow_up and [r.query.count("Utilisateur: ") for r in rows] == [0, 1, 2, 3, 4, 5, 6, 6, 6]
+
+
+def test_manifest_diff_judges_all_documents(spark):
+    ids = {str(r.doc_id) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    rows = QUERIES["manifest_diff_all"](spark, SF).collect()
+    assert {r.path for r in rows if r.status != "deleted"} == ids
+    assert {r.path for r in rows if r.status == "deleted"} == {f"old-{i}" for i in ids if int(i) % 7 == 2}

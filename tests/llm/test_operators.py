@@ -112,6 +112,16 @@ def test_packing(spark, edge):
     assert sorted(100 - np.bincount(bins, lengths).astype(int)) == sorted(room)
 
 
+def test_packing_in_shards(spark):
+    """Shards lose no word and need few more bins than one packing."""
+    rnd = random.Random(4)
+    d = docs_of(spark, ["w " * rnd.randint(1, 100) for _ in range(2000)])
+    whole, parts = (pack_documents(d, 100, n).collect() for n in (250_000, 500))
+    count = lambda rows: sum((Counter(dict(zip(r.doc_ids, r.lengths, strict=True))) for r in rows), Counter())
+    assert count(whole) == count(parts) and all(r.used <= 100 for r in parts)
+    assert len(whole) <= len(parts) <= 1.05 * len(whole)
+
+
 def brute_kneser_ney(texts):
     tri, words = Counter(), []
     for t in texts:

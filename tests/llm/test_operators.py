@@ -184,8 +184,9 @@ def test_repeats_with_lefts_that_share_bits(spark):
     order = np.argsort(top, kind="stable")
     same = np.flatnonzero(top[order[1:]] == top[order[:-1]])[0]
     shared = " ".join(f"m{i}" for i in range(60))
-    a, b = (docs_of(spark, [f"{words[order[k]]} {shared} z{k}"]).coalesce(1) for k in (same, same + 1))
-    rows = repeated_passages(a.unionByName(b)).collect()
+    texts = [(k, f"{words[order[k]]} {shared} z{k}") for k in (int(same), int(same) + 1)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(texts, 2), "doc_id bigint, text string")
+    rows = repeated_passages(docs).collect()
     assert [(r.words, r.n, r.starts) for r in rows] == [(60, 2, [1, 1])]
 
 

@@ -20,13 +20,50 @@ def identifier(name: str) -> str:
     return f"_{clean}" if clean[0].isdigit() else clean
 
 
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _expressions(plan) -> list:
+    found, open_ = [], _each(plan.expressions())
+    while open_:
+        x = open_.pop()
+        found.append(x)
+        open_ += _each(x.children())
+    return found
+
+
+#: Leaves of an analysed plan that read no table.
+_NO_TABLE = {"OneRowRelation", "OneRowRelation$", "LocalRelation", "CTERelationRef", "UnionLoopRef", "Range"}
+
+
 def relations(spark: SparkSession, sql: str) -> set[str]:
-    """Tables that a statement reads, by Spark's own parser; its common table expressions are not among them. Statements that are no queries are an error."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parseQuery(sql)
-    text = plan.toString()
-    named = {x.split(".")[-1].strip(" `") for x in re.findall(r"'UnresolvedRelation \[([^\]]+)\]", text)}
-    ctes = {c.lower() for c in re.findall(r"(?:\bwith\b(?:\s+recursive)?|,)\s*([A-Za-z_]\w*)\s*(?:\([^)]*\))?\s+as\s*\(", sql, flags=re.I)}
-    return {n for n in named if n.lower() not in ctes}
+    """Views that a query reads, by the plan that Spark's own analysis gives, so names are resolved in their scope. It is an error
+    (ValueError) to name a file, or a table by several parts, to read anything but a view, and to call Java by reflection."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parseQuery(sql)
+    for named in re.findall(r"'UnresolvedRelation \[([^\]]+)\]", parsed.toString()):
+        if "," in named or "." in named:
+            raise ValueError(f"only plain table names are allowed, not {named}")
+    used: set[str] = set()
+    open_ = [spark.sql(sql)._jdf.queryExecution().analyzed()]
+    while open_:
+        x = open_.pop()
+        for e in _expressions(x):
+            if "Reflect" in _kind(e):
+                raise ValueError("calls of Java methods are not allowed")
+        open_ += _each(x.subqueries())
+        if _kind(x) == "View":
+            used.add(x.desc().identifier().table())
+            continue
+        below = _each(x.children())
+        if not below and _kind(x) not in _NO_TABLE:
+            raise ValueError(f"only registered tables may be read, not {_kind(x)}")
+        open_ += below
+    return used
 
 
 def validated(spark: SparkSession, sql: str, tables: Iterable[str] | None = None) -> str:
@@ -43,6 +80,8 @@ def validated(spark: SparkSession, sql: str, tables: Iterable[str] | None = None
         raise ValueError("only one statement is allowed")
     try:
         used = relations(spark, clean)
+    except ValueError:
+        raise
     except Exception as e:
         raise ValueError(f"the statement can't be parsed: {str(e).splitlines()[0]}") from e
     if tables is not None and (unknown := sorted(used - set(tables))):

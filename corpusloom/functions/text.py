@@ -16,34 +16,49 @@ STOP_EN = frozenset("a an and are as at be by for from has have in is it its of
 STOPWORDS = STOP_FR | STOP_EN
 
 WORD = r"[\p{L}\p{N}_]+(?:[\-'][\p{L}\p{N}_]+)*"
-_FOLD = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]) == 1 and d[0] != c}
-_LIGATURES = {c: unicodedata.normalize("NFKD", c) for c in "ﬀﬁﬂﬃﬄĳ"}
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+#: Characters whose compatibility decomposition without marks is one other character, and the ligatures, which give several.
+_FOLD = {c: p for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if len(p := _plain(c)) == 1 and p != c}
+_LIGATURES = {c: _plain(c) for c in "ﬀﬁﬂﬃﬄĳ½¼¾™"}
 
 
 def fold(text: Column) -> Column:
-    """Lower case, straight apostrophes and no accents; Latin letters by a table, combining marks removed."""
-    t = F.translate(F.lower(text), "".join(_FOLD), "".join(_FOLD.values()))
+    """Lower case, straight apostrophes and no accents; letters by a table, combining marks removed. Texts of ASCII are lowered only."""
+    low = F.lower(text)
+    t = F.translate(low, "".join(_FOLD) + "’", "".join(_FOLD.values()) + "'")
     for k, v in _LIGATURES.items():
         t = F.replace(t, F.lit(k), F.lit(v))
-    return F.regexp_replace(F.translate(t, "’", "'"), r"\p{M}+", "")
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(t, r"\p{M}+", ""))
 
 
 def words(text: Column, stopwords: frozenset[str] = STOPWORDS, min_length: int = 2, keep_hyphenated: bool = True) -> Column:
     """Index terms of a text in order: folded words; compounds followed by their parts; no stop words, nothing shorter than min_length but digits."""
-    raw = F.transform(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)), lambda x: F.regexp_replace(x, r"^[_\-']+|[_\-']+$", ""))
-    if keep_hyphenated:
-        raw = F.flatten(F.transform(raw, lambda x: F.when(x.rlike("[-']"), F.concat(F.array(x), F.filter(F.split(x, "[-']+"), lambda p: p != ""))).otherwise(F.array(x))))
-        raw = F.transform(raw, lambda x: F.regexp_replace(x, "^_+|_+$", ""))
 
     def keep(x: Column) -> Column:
         ok = (F.length(x) > 0) & ((F.length(x) >= min_length) | x.rlike(r"^\p{Nd}+$"))
         return ok & ~x.isin(sorted(stopwords)) if stopwords else ok
 
-    return F.filter(raw, keep)
+    def of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+        bare = F.transform(found, lambda x: F.regexp_replace(x, r"^[_\-']+|[_\-']+$", ""))
+        if keep_hyphenated:
+            bare = F.flatten(F.transform(bare, lambda x: F.when(x.contains("-") | x.contains("'"), F.concat(F.array(x), F.filter(F.split(x, "[-']+"), lambda p: p != ""))).otherwise(F.array(x))))
+            bare = F.transform(bare, lambda x: F.regexp_replace(x, "^_+|_+$", ""))
+        # only texts with these marks have words to trim or to split
+        marked = t.contains("_") | t.contains("-") | t.contains("'")
+        return F.filter(F.when(marked, bare).otherwise(found), keep)
+
+    # as a lambda's argument the text is folded once
+    return F.get(F.transform(F.array(fold(text)), of), F.lit(0))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by a space."""
+    if n == 2:
+        return F.filter(F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
     count = F.size(tokens) - F.lit(n - 1)
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 

@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 
 from ..functions.text import tokens
 from ..functions.vectors import dot
+from ..sources.store import settled
 
 K1, B = 1.5, 0.75
 #: Vectors per block of an exact search; the shuffle is vectors times blocks of queries.
 BLOCK = 4096
+#: Tables of terms or queries that were counted to have at most so many rows are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", ties: str = "doc_id") -> DataFrame:
@@ -41,35 +44,49 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it was counted to have at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bm25(docs: DataFrame, queries: DataFrame, **how) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with the query. A query's repeated terms count each time.
 
-    Terms that no query holds leave the plan before any shuffle of postings: only their number, the document's
-    length, is kept. Frequencies are combined on the map side.
+    One scan: each document is tokenised once, and terms that no query holds leave the plan before any shuffle; a row
+    without a term carries the document's length. What is left, frequencies of query terms, is written to the shared
+    folder, as both document frequencies and weights need it.
     """
     t = postings(docs, **how)
     q = queries.select("query_id", F.explode(tokens(F.coalesce(F.col("query"), F.lit("")), **how)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    corpus = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = q.select("term").distinct()
-    tf = t.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weighted = tf.withColumn("df", F.count("*").over(W.partitionBy("term"))).crossJoin(F.broadcast(corpus))  # one row
-    length = F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    weight = idf(F.col("n"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length))
-    return weighted.withColumn("w", weight).join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    q = settled(q, "query-terms")
+    wanted = _small(q.select("term").distinct().withColumn("wanted", F.lit(True)))
+    each = t.select("doc_id", "dl", F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
+    each = each.join(wanted, "term", "left").where("wanted or term is null")
+    tf = settled(each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "term-frequencies")
+    n, length = tf.where("term is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
+    average = float(length or 0) / n if n else 0.0
+    found = tf.where("term is not null")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms = _small(settled(q.join(df, "term"), "terms"))
+    relative = F.col("dl") / F.lit(average if average > 0 else 1.0)
+    weight = idf(F.lit(n or 0), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * relative))
+    return found.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * F.col("qtf")), 6).alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, **how) -> DataFrame:
     return top_k(bm25(docs, queries, **how), k)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
-    """Dot products of all query vectors (query_id, query_vector) with all vectors (doc_id, vector) that pass where.
+def dense_scores(vectors: DataFrame, queries: DataFrame, where: Column | None = None, k: int | None = None) -> DataFrame:
+    """Dot products of all query vectors (query_id, query_vector) with all vectors (doc_id, vector) that pass where; with k only those that can be among a query's k best.
 
     Filter first, then score. Both sides are dealt into blocks, and each pair of blocks meets in one group; there a
-    matrix product does the work, so the shuffle carries vectors, never pairs.
+    matrix product does the work and, with k, each query keeps its k best of the block, so pairs don't leave it.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute
+    from pyspark.sql.pandas.types import to_arrow_type
 
     v = vectors if where is None else vectors.where(where)
     n_v, n_q = v.count(), queries.count()
@@ -77,33 +94,42 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, where: Column | None =
     left = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks_q)).cast("int").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks_v - 1))))
     right = v.select("doc_id", F.col("vector").cast("array<double>").alias("v"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks_v)).cast("int").alias("vb")).withColumn("va", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
     kinds = dict(left.dtypes)["query_id"], dict(right.dtypes)["doc_id"]
+    types = to_arrow_type(left.schema["query_id"].dataType), to_arrow_type(right.schema["doc_id"].dataType)
+
+    def best(s: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of each query's k best scores, ties by doc_id; place: rank of each doc_id."""
+        worst = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        i, j = np.nonzero(s >= worst[:, None])
+        order = np.lexsort((place[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        head = np.searchsorted(i, np.arange(len(s)))
+        use = np.arange(len(i)) - head[i] < k
+        return i[use], j[use]
 
-    def product(a, b):
+    def run(a, b):
         if not a.num_rows or not b.num_rows:
-            return None
+            return pa.table({"query_id": pa.array([], types[0]), "doc_id": pa.array([], types[1]), "score": pa.array([], pa.float64())})
         q = np.array(a["qv"].combine_chunks().flatten()).reshape(a.num_rows, -1)
         x = np.array(b["v"].combine_chunks().flatten()).reshape(b.num_rows, -1)
-        s = q @ x.T
-        i, j = np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
-        return pa.table({"query_id": a["query_id"].take(pa.array(i)), "doc_id": b["doc_id"].take(pa.array(j)), "score": pa.array(np.round(s.ravel(), 6))})
-
-    def run(a, b):
-        got = product(a, b)
-        return got if got is not None else pa.table({"query_id": pa.array([], to_arrow(kinds[0])), "doc_id": pa.array([], to_arrow(kinds[1])), "score": pa.array([], pa.float64())})
+        if k is None or k >= len(x):
+            i, j = np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+            score = np.round(q @ x.T, 6).ravel()
+        else:
+            place = np.empty(len(x), np.int64)
+            place[np.array(pa.compute.sort_indices(b["doc_id"]))] = np.arange(len(x))
+            some = []
+            for lo in range(0, len(q), 256):
+                s = np.round(q[lo : lo + 256] @ x.T, 6)
+                i, j = best(s, place)
+                some.append((i + lo, j, s[i, j]))
+            i, j, score = (np.concatenate(p) for p in zip(*some, strict=True))
+        return pa.table({"query_id": a["query_id"].take(pa.array(i)), "doc_id": b["doc_id"].take(pa.array(j)), "score": pa.array(score)})
 
-    to_arrow = _arrow_types()
     return left.groupBy("a", "b").cogroup(right.groupBy("va", "vb")).applyInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
 
 
-def _arrow_types():
-    import pyarrow as pa
-
-    known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return lambda name: known[name]
-
-
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
-    return top_k(dense_scores(vectors, queries, where), k)
+    return top_k(dense_scores(vectors, queries, where, k), k)
 
 
 def inverse_distance(distance: Column) -> Column:
@@ -112,10 +138,11 @@ def inverse_distance(distance: Column) -> Column:
 
 
 def min_max(scored: DataFrame, score: str, by: str = "query_id") -> DataFrame:
-    """score scaled to 0..1 within each query; all 0 where its range is below 1e-12."""
-    w = W.partitionBy(by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return scored.withColumn(score, F.when(high - low < 1e-12, 0.0).otherwise((F.col(score) - low) / (high - low)))
+    """score scaled to 0..1 within each query; all 0 where its range is below 1e-12. Two numbers per query are joined back; scored is made once."""
+    scored = settled(scored, "scores")
+    ends = _small(scored.groupBy(by).agg(F.min(score).alias("__low"), F.max(score).alias("__high")))
+    low, high = F.col("__low"), F.col("__high")
+    return scored.join(ends, by).withColumn(score, F.when(high - low < 1e-12, 0.0).otherwise((F.col(score) - low) / (high - low))).select(*scored.columns)
 
 
 def hybrid_top_k(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float = 0.5, keep: DataFrame | None = None) -> DataFrame:
@@ -124,7 +151,12 @@ def hybrid_top_k(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float
     dense has a row for every query and document; documents without a term match have sparse score 0 and count in its minimum.
     """
     both = dense.withColumnRenamed("score", "dense_score").join(sparse.withColumnRenamed("score", "bm25_score"), ["query_id", "doc_id"], "left").fillna(0.0, ["bm25_score"])
-    both = min_max(min_max(both, "dense_score"), "bm25_score").withColumn("score", F.round(alpha * F.col("dense_score") + (1 - alpha) * F.col("bm25_score"), 6))
+    both = settled(both, "both")
+    span = lambda c: F.max(c) - F.min(c)
+    ends = _small(both.groupBy("query_id").agg(F.min("dense_score").alias("d0"), span("dense_score").alias("d1"), F.min("bm25_score").alias("b0"), span("bm25_score").alias("b1")))
+    scaled = lambda c, least, most: F.when(F.col(most) < 1e-12, 0.0).otherwise((F.col(c) - F.col(least)) / F.col(most))
+    both = both.join(ends, "query_id").withColumn("dense_score", scaled("dense_score", "d0", "d1")).withColumn("bm25_score", scaled("bm25_score", "b0", "b1")).drop("d0", "d1", "b0", "b1")
+    both = both.withColumn("score", F.round(alpha * F.col("dense_score") + (1 - alpha) * F.col("bm25_score"), 6))
     return top_k(both if keep is None else both.join(keep, "doc_id", "left_semi"), k)
 
 
@@ -138,7 +170,7 @@ def nearest_in_text(vectors: DataFrame, queries: DataFrame, texts: DataFrame, k:
 
     vectors: (text_id, vector); texts: (text_id, doc_id, matched). fetch candidates are taken before documents are told apart.
     """
-    hits = top_k(dense_scores(vectors.withColumnRenamed("text_id", "doc_id"), queries), fetch).withColumnRenamed("doc_id", "text_id")
+    hits = dense_top_k(vectors.withColumnRenamed("text_id", "doc_id"), queries, fetch).withColumnRenamed("doc_id", "text_id")
     best = hits.join(texts, "text_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max_by("matched", F.struct("score", F.col("text_id").cast("string"))).alias("matched"))
     return top_k(best, k)
 

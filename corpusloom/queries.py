@@ -17,6 +17,7 @@ from .functions.vectors import cosine, dot
 from .operators import chunkers, evaluate, filters, fusion, graph, rerank, search, sessions, structured, tree
 from .plans import engine
 from .sources import index
+from .sources.store import settled
 from .streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,8 +358,9 @@ def _(s, d):
 
 
 def _lists(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    by_words = rerank.keyword_rerank(_with_text(_ranked(s, d), s, d), 10).select("query_id", "doc_id", F.col("rerank_score").alias("score"), "rank")
-    return {"bm25": _ranked(s, d), "keywords": by_words}
+    ranked = settled(_ranked(s, d), "ranked")
+    by_words = rerank.keyword_rerank(_with_text(ranked, s, d), 10).select("query_id", "doc_id", F.col("rerank_score").alias("score"), "rank")
+    return {"bm25": ranked, "keywords": by_words}
 
 
 _TWO = _KEYWORD + ", l AS (SELECT query_id, doc_id, score, rank, 'bm25' AS list, 0 AS list_no FROM bmk UNION ALL SELECT query_id, doc_id, rerank_score, rank, 'keywords', 1 FROM kwk)"

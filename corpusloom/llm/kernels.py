@@ -6,8 +6,19 @@ a random byte table gives the hash of any span from prefix sums, then a finalise
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
+
+try:
+    # large arrays go back to the system once they are freed, so that idle workers hold little memory
+    _libc = ctypes.CDLL(None)
+    for _option, _value in ((-3, 8 << 20), (-1, 16 << 20), (-8, 2)):  # mmap and trim thresholds, arenas
+        _libc.mallopt(_option, _value)
+except (OSError, AttributeError):  # another C library
+    pass
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -104,15 +115,31 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans without ASCII whitespace at either end (empty if there is nothing else)."""
-    solid = np.flatnonzero(~_WS[data])
-    if not len(solid):
-        return starts, starts.copy()
-    at = np.searchsorted(solid, starts)
-    s = np.where(at < len(solid), solid[np.minimum(at, len(solid) - 1)], ends)
-    back = np.searchsorted(solid, ends) - 1
-    e = np.where(back >= 0, solid[np.maximum(back, 0)] + 1, starts)
-    bare = (s >= ends) | (e <= starts)
-    return np.where(bare, starts, s), np.where(bare, starts, e)
+    starts, ends = starts.copy(), ends.copy()
+    for edge, step, behind in ((starts, 1, 0), (ends, -1, 1)):
+        open_ = np.flatnonzero(starts < ends)
+        for _ in range(64):
+            open_ = open_[_WS[data[edge[open_] - behind]]]
+            if not len(open_):
+                break
+            edge[open_] += step
+            open_ = open_[starts[open_] < ends[open_]]
+        if len(open_):  # long runs of whitespace: by the next byte, or the last, that is none
+            solid = np.flatnonzero(~_WS[data])
+            if step > 0:
+                at = np.searchsorted(solid, starts[open_])
+                ends_at = np.append(solid, len(data))[at]
+                starts[open_] = np.minimum(ends_at, ends[open_])
+            else:
+                at = np.searchsorted(solid, ends[open_]) - 1
+                ends[open_] = np.maximum(np.append(solid + 1, 0)[at], starts[open_])
+    return starts, ends
+
+
+def line_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span, one call of a native hash for each: for spans of tens of bytes and more."""
+    raw = data.tobytes()
+    return np.fromiter((xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), U64, len(starts))
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .kernels import doc_of, lines, mix, slices, span_hash, text_bytes, trim
-from .shared import U64, HashTable, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
+from .kernels import doc_of, line_hash, lines, mix, slices, span_hash, text_bytes, trim
+from .shared import U64, HashTable, Maps, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: A shingle is a run of so many UTF-8 bytes: one character each in ASCII text.
 SHINGLE = 5
@@ -20,35 +20,47 @@ BANDS, ROWS = 25, 5
 SIMILARITY = 0.7
 #: Entries that one task of the banding sorts.
 BAND_ENTRIES = 1_000_000
+#: Pairs that a task verifies, and pairs verified at once.
+CHECK_PAIRS, CHECKED = 200_000, 1000
 _NO_DOC = np.iinfo(np.int64).min
 _PROBES = np.random.default_rng(7).integers(0, BANDS * ROWS, (64, BANDS * ROWS))
 
 
+_MASK = U64((1 << 8 * SHINGLE) - 1)
+_K = BANDS * ROWS
+
+
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, shingle) of every shingle position; a line shorter than a shingle is one shingle, its own hash."""
+    """(line, shingle) of every shingle position; a line shorter than a shingle is one shingle, bits of its own hash."""
     count = np.maximum(ends - starts - SHINGLE + 1, 0)
     line = np.repeat(np.arange(len(starts)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
+    at = np.arange(len(line)) + np.repeat(starts - np.cumsum(count) + count, count)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))[at] & U64((1 << 8 * SHINGLE) - 1)
+    words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))[at] & _MASK
     short = np.flatnonzero(count == 0)
     if len(short):
         line = np.concatenate([line, short])
-        words = np.concatenate([words, span_hash(data, starts[short], ends[short])])
+        words = np.concatenate([words, span_hash(data, starts[short], ends[short]) & _MASK])
     return line, words
 
 
-def band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys. One-permutation MinHash: each shingle's hash falls into one of BANDS * ROWS bins, a bin keeps its least; empty bins copy the bin that a fixed probe sequence finds first."""
-    k = BANDS * ROWS
+def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """((lines, BANDS) keys, sketches, filled). One-permutation MinHash: each shingle's hash falls into one of BANDS * ROWS bins, a bin keeps its least; empty bins copy the bin that a fixed probe sequence finds first.
+
+    The sketch has the last bit of 64 bins: of two lines, (1 + Jaccard) / 2 of these bits agree on average. filled: the bins that were not empty.
+    """
     line, words = _shingles(data, starts, ends)
-    h = mix(words)
-    bins = ((h >> U64(32)) * U64(k)) >> U64(32)
+    h = words * U64(0x9E3779B97F4A7C15)
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    bins = ((h >> U64(40)) * U64(_K)) >> U64(24)
     none = U64(1 << 40)
-    sig = np.full(len(starts) * k, none, dtype=U64)
-    np.minimum.at(sig, line * k + bins.astype(np.int64), h & U64(0xFFFFFFFF))
-    sig = sig.reshape(-1, k)
-    rows, cols = np.nonzero(sig == none)
+    sig = np.full(len(starts) * _K, none, dtype=U64)
+    np.minimum.at(sig, line * _K + bins.view(np.int64), (h >> U64(8)) & U64(0xFFFFFFFF))
+    sig = sig.reshape(-1, _K)
+    empty = sig == none
+    filled = (_K - empty.sum(axis=1)).astype(np.uint8)
+    rows, cols = np.nonzero(empty)
     source = sig.copy()
     for probe in _PROBES:
         if not len(rows):
@@ -59,13 +71,66 @@ def band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         rows, cols = rows[~ok], cols[~ok]
     if len(rows):
         sig[rows, cols] = source[rows].min(axis=1)
-    out = np.empty((len(starts), BANDS), dtype=U64)
-    for b in range(BANDS):
-        key = np.full(len(starts), b * 0x9E3779B97F4A7C15 % 2**64, dtype=U64)
-        for r in range(ROWS):
-            key = mix(key ^ sig[:, b * ROWS + r])
-        out[:, b] = key
-    return out
+    sketch = np.packbits((sig[:, :64] & U64(1)).astype(np.uint8), axis=1).view("<u8").ravel()
+    bands = sig.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15), bands.shape[:2])
+    for r in range(ROWS):
+        key = (key ^ bands[:, :, r]) * U64(0xA24BAED4963EE407)
+        key ^= key >> U64(29)
+    return mix(key), sketch, filled
+
+
+def _least_agreement(similarity: float) -> np.ndarray:
+    """By the number of filled bins, the agreeing sketch bits of two lines below which they are not compared.
+
+    At the threshold similarity the agreement lies 3.7 standard deviations above this, so about one similar pair in 10,000 is
+    not seen in a band. Copies of bins make the bits of short lines depend on one another, which widens the deviation.
+    """
+    p, filled = (1 + similarity) / 2, np.maximum(np.arange(_K + 1), 1)
+    own, copied = 64 * filled / _K, 64 * (1 - filled / _K) / filled
+    spread = own * (1 + 3 * copied + copied**2) + (filled - own) * (copied + copied**2)
+    return np.floor(64 * p - 3.7 * np.sqrt(p * (1 - p) * spread)).astype(np.int64)
+
+
+#: Buckets of up to so many lines have all their pairs compared by sketch; lines of larger ones all go on.
+SMALL_BUCKET = 1024
+
+
+def _comparable(s: np.ndarray, t: np.ndarray, e: np.ndarray, f: np.ndarray, similarity: float, agree: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches, and of filled bins, can belong to similar lines."""
+    low, high = np.minimum(e, f).astype(np.int64), np.maximum(e, f)
+    return (64 - np.bitwise_count(s ^ t).astype(np.int64) >= agree[low]) & (low + 6 >= similarity * high)
+
+
+def _grouped(key: np.ndarray, sketch: np.ndarray, filled: np.ndarray, similarity: float) -> np.ndarray:
+    """For each entry the first of its group: entries of one key, linked by comparable pairs. key is sorted."""
+    n, agree = len(key), _least_agreement(similarity)
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(head, n))
+    label = np.arange(n)
+    large = np.repeat(size > SMALL_BUCKET, size)
+    label[large] = np.repeat(head, size)[large]
+    ends = np.repeat(head + size, size)
+    at, links, d = np.flatnonzero(~large), [], 1
+    while True:
+        at = at[at + d < ends[at]]
+        if not len(at):
+            break
+        good = at[_comparable(sketch[at], sketch[at + d], filled[at], filled[at + d], similarity, agree)]
+        links.append((good, good + d))
+        d += 1
+    if links:
+        i, j = (np.concatenate(x) for x in zip(*links, strict=True))
+        while True:
+            least = np.minimum(label[i], label[j])
+            after = label.copy()
+            np.minimum.at(after, i, least)
+            np.minimum.at(after, j, least)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+    return label
 
 
 def _each_slice(batch: pa.RecordBatch):
@@ -80,7 +145,7 @@ def _each_slice(batch: pa.RecordBatch):
         starts, ends = trim(part, starts, ends)
         full = ends > starts
         starts, ends = starts[full], ends[full]
-        yield part, starts, ends, span_hash(part, starts, ends), number[full], doc[full]
+        yield part, starts, ends, line_hash(part, starts, ends), number[full], doc[full]
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -104,63 +169,87 @@ def _is_first(first: HashTable, h: np.ndarray, doc: np.ndarray, number: np.ndarr
     return (at["doc"] == doc) & (at["line"] == number)
 
 
-def _candidates(rows: DataFrame, first: HashTable, bits: int, bands_of) -> DataFrame:
-    """(band, a, b): in each band's bucket of two lines or more, every line b but the least, with the least as a."""
+#: One entry of the banding: a bucket, a line, its sketch and filled bins.
+_ENTRY = (("key", "<u4"), ("owner", "<u8"), ("sketch", "<u8"), ("filled", "u1"))
+
+
+def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float) -> DataFrame:
+    """(band, a, b, sketch, filled): in each group of a bucket every line b but the least, with the least as a."""
+
+    def send(parts):
+        key, owner, sketch, filled = (np.concatenate(x) for x in zip(*parts, strict=True))
+        shard = shard_of(key, bits)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+        low = (key << U64(bits)) >> U64(32)
+        full = np.flatnonzero(np.diff(edges))
+        blobs = []
+        for s in full:
+            at = order[edges[s] : edges[s + 1]]
+            blobs.append(b"".join(x[at].astype(kind).tobytes() for x, (_, kind) in zip((low, owner, sketch, filled), _ENTRY, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     def keyed(batches):
+        held, n = [], 0
         for b in batches:
-            keys, owners = [], []
             for data, starts, ends, h, number, doc in _each_slice(b):
-                mine = _is_first(first, h, doc, number)
-                k = bands_of(data, starts[mine], ends[mine])
-                keys.append(k.ravel())
-                owners.append(np.repeat(h[mine], k.shape[1]))
-            if not keys:
-                continue
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.argsort(key)
-            key, owner = key[order], owner[order]
-            edges = np.searchsorted(shard_of(key, bits), np.arange((1 << bits) + 1))
-            full = np.flatnonzero(np.diff(edges))
-            blobs = [np.concatenate([key[edges[s] : edges[s + 1]], owner[edges[s] : edges[s + 1]]]).tobytes() for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+                mine = np.flatnonzero(_is_first(first, h, doc, number))
+                if not len(mine):
+                    continue
+                k, sketch, filled = signatures(data, starts[mine], ends[mine])
+                held.append((k.ravel(), np.repeat(h[mine], BANDS), np.repeat(sketch, BANDS), np.repeat(filled, BANDS)))
+                n += k.size
+                if n >= BAND_ENTRIES:
+                    yield send(held)
+                    held, n = [], 0
+        if held:
+            yield send(held)
 
     def bucketed(table):
-        pairs = [np.frombuffer(x, dtype=U64).reshape(2, -1) for x in table["blob"].to_pylist()]
-        both = np.concatenate(pairs, axis=1)
-        both = both[:, np.lexsort((both[1], both[0]))]
+        parts = []
+        for x in table["blob"].to_pylist():
+            n, at, cols = len(x) // 21, 0, []
+            for _, kind in _ENTRY:
+                cols.append(np.frombuffer(x, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            parts.append(cols)
+        key, owner, sketch, filled = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort((key.astype(U64) << U64(32)) | (owner >> U64(32)))
+        key, owner = key[order], owner[order]
         # rows that share a doc_id can send the same entry twice
-        once = np.ones(both.shape[1], dtype=bool)
-        once[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-        key, owner = both[:, once]
-        head = np.ones(len(key), dtype=bool)
-        head[1:] = key[1:] != key[:-1]
-        least = owner[np.flatnonzero(head)][np.cumsum(head) - 1]
-        return pa.table({"band": pa.array(key[~head].view(np.int64)), "a": pa.array(least[~head].view(np.int64)), "b": pa.array(owner[~head].view(np.int64))})
+        once = np.ones(len(key), dtype=bool)
+        once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        same = key[1:] == key[:-1]
+        once &= np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        key, owner, order = key[once], owner[once], order[once]
+        sketch, filled = sketch[order], filled[order]
+        label = _grouped(key, sketch, filled, similarity)
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        band = mix((key[rest].astype(U64) << U64(32)) ^ mix(owner[label[rest]]) ^ U64(int(table["shard"][0].as_py())))
+        return pa.table({"band": pa.array(band.view(np.int64)), "a": pa.array(owner[label[rest]].view(np.int64)), "b": pa.array(owner[rest].view(np.int64)), "sketch": pa.array(sketch[rest].view(np.int64)), "filled": pa.array(filled[rest].astype(np.int32))})
 
     shuffled = rows.mapInArrow(keyed, "shard int, blob binary")
-    return shuffled.groupBy("shard").applyInArrow(bucketed, "band bigint, a bigint, b bigint")
+    return shuffled.groupBy("shard").applyInArrow(bucketed, "band bigint, a bigint, b bigint, sketch bigint, filled int")
 
 
 class _Lines:
     """Texts of the candidate lines: files of bytes in the shared folder, mapped, and where each line is."""
 
     def __init__(self, table: HashTable, folder: str, files: list[str]):
-        self.table, self.folder, self.files, self._open = table, folder, files, {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_open": {}}
+        self.table, self.folder, self.files, self.maps = table, folder, files, Maps()
 
-    def sets(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The sorted distinct shingles of each line."""
+    def sets(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, shingles): the sorted distinct shingles of line i are shingles[edges[i]:edges[i + 1]]."""
         _, at = self.table.find(keys)
-        out = []
-        for f, o, n in zip(at["file"].tolist(), at["offset"].tolist(), at["length"].tolist(), strict=True):
-            if f not in self._open:
-                self._open[f] = np.load(f"{self.folder}/{self.files[f]}.bytes.npy", mmap_mode="r")
-            raw = np.array(self._open[f][o : o + n])
-            out.append(np.unique(_shingles(raw, np.array([0]), np.array([n]))[1]))
-        return out
+        parts: list = [None] * len(keys)
+        for k in np.lexsort((at["offset"], at["file"])).tolist():
+            o = int(at["offset"][k])
+            parts[k] = self.maps.get(f"{self.folder}/{self.files[int(at['file'][k])]}.bytes.npy")[o : o + int(at["length"][k])]
+        ends = np.cumsum(at["length"])
+        line, words = _shingles(np.concatenate(parts), ends - at["length"], ends)
+        both = np.sort((line.astype(U64) << U64(8 * SHINGLE)) | words)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        return np.searchsorted(both >> U64(8 * SHINGLE), np.arange(len(keys) + 1)), both & _MASK
 
 
 def _store(rows: DataFrame, first: HashTable, wanted: HashTable, scratch: Scratch) -> _Lines:
@@ -191,27 +280,29 @@ def _store(rows: DataFrame, first: HashTable, wanted: HashTable, scratch: Scratc
 def _verified(pairs: DataFrame, store: _Lines, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
 
+    def spread(edges: np.ndarray, shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The shingles of the lines at, each with the number of its pair."""
+        n = edges[at + 1] - edges[at]
+        where = np.arange(n.sum()) + np.repeat(edges[at] - np.cumsum(n) + n, n)
+        return (np.repeat(np.arange(len(at), dtype=U64), n) << U64(8 * SHINGLE)) | shingles[where]
+
     def check(batches):
         for batch in batches:
             a, b = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().view(U64)
             order = np.argsort(a, kind="stable")
-            for lo in range(0, len(order), 2000):
-                part = order[lo : lo + 2000]
-                ua, ia = np.unique(a[part], return_inverse=True)
-                ub, ib = np.unique(b[part], return_inverse=True)
-                sa, sb = store.sets(ua), store.sets(ub)
-                good = np.zeros(len(part), dtype=bool)
-                for k, (i, j) in enumerate(zip(ia.tolist(), ib.tolist(), strict=True)):
-                    x, y = sa[i], sb[j]
-                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                        continue
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    common = int((x[at] == y).sum())
-                    good[k] = common >= similarity * (len(x) + len(y) - common)
+            for lo in range(0, len(order), CHECKED):
+                part = order[lo : lo + CHECKED]
+                keys, at = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+                edges, shingles = store.sets(keys)
+                i, j = at[: len(part)], at[len(part) :]
+                n = np.diff(edges)
+                both = np.sort(np.concatenate([spread(edges, shingles, i), spread(edges, shingles, j)]))
+                common = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(8 * SHINGLE)).astype(np.int64), minlength=len(part))
+                good = common >= similarity * (n[i] + n[j] - common)
                 yield pa.RecordBatch.from_arrays([pa.array(a[part][good].view(np.int64)), pa.array(b[part][good].view(np.int64))], ["a", "b"])
 
-    return pairs.select("a", "b").repartition("a").mapInArrow(check, "a bigint, b bigint")
+    tasks = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // CHECK_PAIRS))
+    return pairs.select("a", "b").repartition(tasks, "a").mapInArrow(check, "a bigint, b bigint")
 
 
 class LineKeepers:
@@ -232,18 +323,21 @@ def find_keepers(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARI
     firsts = scratch.table(_firsts(rows), "firsts")
     n = firsts.count()
     first = build_table(firsts, scratch, "first", shard_bits(n), ["doc", "line"])
-    star = scratch.table(_candidates(rows, first, shard_bits(n * BANDS, BAND_ENTRIES), band_keys), "star")
+    star = scratch.table(_candidates(rows, first, shard_bits(n * BANDS, BAND_ENTRIES), similarity), "star")
     touched = star.select(F.col("a").alias("key")).unionByName(star.select(F.col("b").alias("key"))).distinct()
     store = _store(rows, first, build_table(touched, scratch, "touched", shard_bits(n), []), scratch)
-    edges = scratch.table(_verified(star.select("a", "b").distinct(), store, similarity), "edges")
+    edges = scratch.table(_verified(scratch.table(star.select("a", "b").distinct(), "pairs"), store, similarity), "edges")
     known = components(edges, scratch, "near")
     # Buckets that the stars have not joined up: test the pairs across their components too.
     labelled = lambda d, c: d.join(known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     apart = labelled(labelled(star, "a"), "b")
-    members = apart.select("band", F.col("b").alias("x"), F.col("rb").alias("rx"))
+    members = apart.select("band", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("sketch").alias("s"), F.col("filled").alias("e"))
     open_bands = apart.groupBy("band").agg(F.max(F.col("ra") != F.col("rb")).alias("open"), F.count("*").alias("n")).where("open and n > 1").select("band")
     members = members.join(open_bands, "band")
-    across = members.alias("l").join(members.alias("r"), "band").where("l.x < r.x and l.rx != r.rx").select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
+    low, high = F.least("l.e", "r.e"), F.greatest("l.e", "r.e")
+    agree = F.lit(64) - F.bit_count(F.col("l.s").bitwiseXOR(F.col("r.s"))) >= F.element_at(F.array(*[F.lit(int(x)) for x in _least_agreement(similarity)]), low + 1)
+    across = members.alias("l").join(members.alias("r"), "band").where("l.x < r.x and l.rx != r.rx").where((low + 6 >= similarity * high) & agree)
+    across = scratch.table(across.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct(), "across")
     more = scratch.table(_verified(across, store, similarity), "more")
     if more.limit(1).count():
         known = components(edges.unionByName(more), scratch, "all")
@@ -252,7 +346,7 @@ def find_keepers(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARI
     best = placed.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("to"))
     moved = placed.join(best, "root").select("key", "to.doc", "to.line")
     keepers = LineKeepers(first, build_table(moved, scratch, "moved", shard_bits(n), ["doc", "line"]))
-    for done in ("firsts", "star", "touched", "lines", "places", "place", "edges", "more"):
+    for done in ("firsts", "star", "touched", "lines", "places", "place", "pairs", "edges", "across", "more"):
         scratch.drop(done)
     return keepers
 
@@ -271,7 +365,7 @@ def _rewrite(ids: pa.Array, texts: pa.Array, keepers: LineKeepers) -> tuple[pa.A
         ts, te = trim(part, ls, le)
         full = te > ts
         keep = np.ones(len(ls), dtype=bool)
-        keep[full] = keepers.stays(span_hash(part, ts[full], te[full]), doc_ids[i:j][doc[full]], number[full])
+        keep[full] = keepers.stays(line_hash(part, ts[full], te[full]), doc_ids[i:j][doc[full]], number[full])
         removed[i:j] = np.bincount(doc[~keep], minlength=j - i)
         solid[i:j] = np.bincount(doc[full], minlength=j - i)
         raw = part.tobytes()
@@ -293,7 +387,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Jaccard similarity of their sets of 5-byte shingles (UTF-8) is at least similarity; a line shorter than that is
     similar to its equals only, and one of less than 33 bytes stays similar through changes near its ends only. Similar lines form components; of each component the first line stays, by doc_id and
     then by line number. Candidates come from MinHash banding, with a recall of 0.99 at the default threshold, and are
-    verified exactly. n_lines counts the lines that are not blank.
+    verified exactly; of the pairs that meet in a band, those whose sketches of 64 bits differ too much are not (one similar pair in
+    10,000 is lost by that). n_lines counts the lines that are not blank.
 
     Defined results: blank lines are kept, except in a text that loses all its other lines: that text becomes "". Null
     texts stay null. Rows that share a doc_id count as one document with interchangeable rows (null is an id of its own,
@@ -301,8 +396,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     At scale: text itself is never shuffled. Line hashes are aggregated to first occurrences and stored as sorted hash
     arrays in the shared folder, which workers map; band keys of distinct lines are shuffled as binary blocks; only
-    candidate lines have their bytes stored, for verification. In a bucket each line is tested against the least one, and
-    then only pairs across components are, so hot buckets cost their size, not its square, where their lines are alike.
+    candidate lines have their bytes stored, for verification. In a bucket lines are grouped by their sketches, so lines that met
+    by chance go no further. In a group each line is tested against the least one, and then only pairs across components
+    are, so hot buckets cost their size, not its square, where their lines are alike.
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     keepers = find_keepers(docs, scratch, similarity)

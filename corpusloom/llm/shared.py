@@ -11,6 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -82,20 +83,39 @@ def save_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
+class Maps:
+    """Mapped arrays by path, the latest OPEN of them; those not used for longest are let go."""
+
+    OPEN = 1024
+
+    def __init__(self):
+        self._open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def __getstate__(self):
+        return {}
+
+    def __setstate__(self, _):
+        self._open = OrderedDict()
+
+    def get(self, path: str) -> np.ndarray:
+        a = self._open.pop(path, None)
+        if a is None:
+            a = np.load(path, mmap_mode="r")
+            if len(self._open) >= self.OPEN:
+                self._open.popitem(last=False)
+        self._open[path] = a
+        return a
+
+
 class HashTable:
     """Sorted 64-bit keys with value arrays, one set of files per shard, mapped on first use."""
 
     def __init__(self, folder: str, bits: int, files: dict[int, str], values: list[str]):
-        self.folder, self.bits, self.files, self.values, self._open = folder, bits, files, values, {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_open": {}}
+        self.folder, self.bits, self.files, self.values, self.maps = folder, bits, files, values, Maps()
 
     def shard(self, s: int) -> dict[str, np.ndarray] | None:
-        if s not in self._open:
-            name = self.files.get(s)
-            self._open[s] = name and {k: np.load(f"{self.folder}/{name}.{k}.npy", mmap_mode="r") for k in ["key", *self.values]}
-        return self._open[s]
+        name = self.files.get(s)
+        return name and {k: self.maps.get(f"{self.folder}/{name}.{k}.npy") for k in ["key", *self.values]}
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(found, values): a mask over keys, and for each value an array aligned with keys (0 where not found)."""

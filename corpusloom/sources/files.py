@@ -13,6 +13,7 @@ from ..functions.text import html_to_text
 
 TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".csv", ".json", ".jsonl", ".yaml", ".yml", ".xml")
 HTML_SUFFIXES = (".html", ".htm")
+PDF_METADATA = ("title", "author", "subject", "creator", "producer")
 EXCLUDED = (
     ".git/**", ".hg/**", ".svn/**", ".venv/**", "venv/**", "node_modules/**", "__pycache__/**", ".pytest_cache/**", ".mypy_cache/**",
     ".ruff_cache/**", "dist/**", "build/**", ".tox/**", ".idea/**", ".vscode/**", "*.pyc", "*.lock", ".DS_Store",
@@ -68,26 +69,31 @@ def load_documents(spark: SparkSession, path: str, **how) -> DataFrame:
 
 
 def load_pdf_pages(spark: SparkSession, path: str, **how) -> DataFrame:
-    """(doc_id, page, text) of PDF files, a row for each page that is not blank; needs pypdf on the workers."""
+    """(doc_id, page, text, metadata) of PDF files, a row for each page that is not blank; needs pypdf on the workers. metadata has the title, author, subject, creator and producer that are there, as pdf_*. Files that can't be read have no row."""
     files = scan(spark, path, **how).where(has_suffix(F.col("source"), (".pdf",)))
 
     def read(batches):
+        import io
+
         import pypdf  # an optional reader
 
         for pdf in batches:
             rows = []
             for name, raw in zip(pdf["doc_id"], pdf["content"], strict=True):
-                for n, page in enumerate(pypdf.PdfReader(__import__("io").BytesIO(raw)).pages, 1):
-                    text = page.extract_text() or ""
-                    if text.strip():
-                        rows.append((f"{name}-p{n}", n, text))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "text"])
+                try:
+                    reader = pypdf.PdfReader(io.BytesIO(raw))
+                    told = {f"pdf_{k}": str(v) for k in PDF_METADATA if (v := getattr(reader.metadata, k, None))}
+                    pages = [(n, page.extract_text() or "") for n, page in enumerate(reader.pages, 1)]
+                except Exception:  # whatever a broken file makes the reader raise
+                    continue
+                rows += [(f"{name}-p{n}", n, text, told) for n, text in pages if text.strip()]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "text", "metadata"])
 
-    return files.select(stable_id(F.col("source")).alias("doc_id"), "content").mapInPandas(read, "doc_id string, page int, text string")
+    return files.select(stable_id(F.col("source")).alias("doc_id"), "content").mapInPandas(read, "doc_id string, page int, text string, metadata map<string,string>")
 
 
 def load_docx(spark: SparkSession, path: str, **how) -> DataFrame:
-    """(doc_id, text) of DOCX files: paragraphs that are not blank, with a blank line between. Reads the archive's XML, so it needs no other package."""
+    """(doc_id, text) of DOCX files: paragraphs that are not blank, with a blank line between. Reads the archive's XML, so it needs no other package. Files that can't be read have no row."""
     files = scan(spark, path, **how).where(has_suffix(F.col("source"), (".docx",)))
 
     def read(batches):
@@ -99,7 +105,10 @@ def load_docx(spark: SparkSession, path: str, **how) -> DataFrame:
         for pdf in batches:
             rows = []
             for name, raw in zip(pdf["doc_id"], pdf["content"], strict=True):
-                root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
+                try:
+                    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
                 parts = ["".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p")]
                 text = "\n\n".join(p.strip() for p in parts if p.strip())
                 if text:

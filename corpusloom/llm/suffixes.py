@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import doc_of, inside, mix, slices, span_hash, text_bytes, tokens, window_hash
+from .kernels import _powers, doc_of, inside, mix, slices, span_hash, text_bytes, tokens, window_hash
 from .ngramjoin import FLUSH, pack_sorted, summed, unpack_sorted
-from .shared import U64, HashTable, Scratch, pick, save_arrays, shard_bits, shard_of
+from .shared import U64, HashTable, Maps, Scratch, pick, save_arrays, shard_bits, shard_of
 
 #: Least length of a repeat in words.
 MIN_WORDS = 50
@@ -71,22 +71,27 @@ def sorted_suffixes(texts: list[np.ndarray], text: np.ndarray, offset: np.ndarra
     return order, lcp
 
 
-def maximal_repeats(texts: list[np.ndarray], text: np.ndarray, offset: np.ndarray, lefts: np.ndarray, least: int):
-    """(length, indexes of all occurrences) of each maximal repeat among the suffixes texts[text[i]][offset[i]:], which share a prefix.
+def maximal_repeats(texts: list[np.ndarray], text: np.ndarray, offset: np.ndarray, lefts: np.ndarray, copies: np.ndarray, varied: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order, [(length, first, last)]): the sorted suffixes texts[text[i]][offset[i]:], which share a prefix, and the maximal repeats among them as intervals of that order.
 
-    texts: word hashes to the end of the region or document; lefts: the word before each suffix (0 at a document's start).
-    Sorts the suffixes, computes common prefixes of neighbours, scans the interval tree and keeps the intervals whose
-    left extensions differ: two different words before, or a document's start.
+    texts: word hashes to the end of the region; lefts: the word before each suffix (0 at a document's start). Suffix i stands
+    for copies[i] places with the same words to the region's end; varied[i]: the words before these differ, or are starts of
+    several documents. Sorts the suffixes, computes common prefixes of neighbours, scans the interval tree and keeps the
+    intervals whose left extensions differ: two different words before, or a document's start.
     """
     order, lcp = sorted_suffixes(texts, text, offset)
     left = lefts[order]
     # changes[i]: how many of left[1..i] differ from the one before, or are a document's start
     change = np.zeros(len(order), np.int64)
     change[1:] = (left[1:] != left[:-1]) | (left[1:] == _EDGE)
-    change = np.cumsum(change)
-    for length, i, j in lcp_intervals(lcp, least):
-        if change[j] > change[i]:
-            yield length, order[i : j + 1]
+    change, within = np.cumsum(change), np.cumsum(np.append(0, varied[order]))
+    size = np.array([len(t) for t in texts])[text[order]] - offset[order]
+    around = np.maximum(lcp, np.append(lcp[1:], 0))
+    # places that share one suffix are an interval of their own, unless a neighbour goes on beyond them
+    alone = np.flatnonzero((copies[order] > 1) & varied[order] & (size > around) & (size >= least))
+    found = [(int(size[i]), int(i), int(i)) for i in alone]
+    found += [(length, i, j) for length, i, j in lcp_intervals(lcp, least) if change[j] > change[i] or within[j + 1] > within[i]]
+    return order, found
 
 
 class _Slice:
@@ -101,6 +106,14 @@ class _Slice:
         self.ok = inside(self.first, width, len(grams))
 
 
+def run_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run of words starts..ends-1."""
+    p, inv = _powers(len(words))
+    sums = np.zeros(len(words) + 1, dtype=U64)
+    np.cumsum(mix(words) * p[: len(words)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def _slide(a: np.ndarray, span: int, pick_of) -> np.ndarray:
     """pick_of (np.minimum or np.maximum) over each run of span entries, by doubling."""
     reach = 1
@@ -193,28 +206,33 @@ def _count(rows: DataFrame, folder: str, bits: int, gather, least_diverse: bool)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All maximal repeats of at least min_words words, with all their occurrences.
+    """All maximal repeats of at least min_words words, with all their occurrences, as the intervals of a suffix array and its entries.
 
-    Result, one row per maximal repeat: (repeat_id STRING, words INT, n INT, doc_ids ARRAY<BIGINT>, starts ARRAY<INT>); occurrence
-    i is the words starts[i] .. starts[i]+words-1 of doc_ids[i], sorted by doc_id and start. A repeat is a word sequence with
-    two occurrences or more, in one document or several; it is maximal if the occurrences do not all go on with the same
-    word, nor all have the same word before (a document's ends count as words of their own). Occurrences may overlap, as in
-    periodic text: all are listed, so n words of period p give about n*n/(2*p*p) of them. Words are separated by ASCII
-    whitespace and compared as they are.
+    Result: (group_id BIGINT, kind STRING, first INT, last INT, words INT, n BIGINT, doc_id BIGINT, start INT). A row of kind
+    'occurrence' is a place where a maximal repeat begins: word start of document doc_id, with its rank (first = last) in
+    the sorted order of its group; words is the length of the longest maximal repeat there. A row of kind 'repeat' is a
+    maximal repeat: words words with n occurrences, which are the occurrence rows of its group with ranks first..last; its
+    doc_id and start name one of them. So nested repeats share the rows of their occurrences, and the result is linear in
+    the text, where lists for each repeat can be quadratic; repeat_occurrences writes them out.
+
+    A repeat is a word sequence with two occurrences or more, in one document or several; it is maximal if the occurrences do
+    not all go on with the same word, nor all have the same word before (a document's ends count as words of their own).
+    Occurrences may overlap, as in periodic text. Words are separated by ASCII whitespace and compared as they are.
 
     Defined results: null, empty and short texts have no repeats. Each row is a document: repeated rows repeat all their
     words; rows that share a doc_id appear under it more than once. An empty table gives an empty result.
 
     How: all suffixes with a repeat of min_words at their start share their first min_words words, so the suffix array is built
-    in parts, one for each such window, and no interval of the tree crosses parts. A part in which every suffix has the
+    in groups, one for each such window, and no interval of the tree crosses groups. A group in which every suffix has the
     same word before it holds no maximal repeat and is never built: what is left are the places where repeats begin. (1)
     Anchors, the least half-window in each window, are counted over all documents. (2) Windows with a repeated anchor are
-    counted with the words before them. (3) Their suffixes, cut where the repeated windows end, are grouped, sorted and
-    scanned; where a window comes again in one region, as in periodic text, its suffixes share one copy of the words. Counts are stored as sorted hash arrays in the shared folder, which workers map.
+    counted with the words before them. (3) Runs of repeated windows are written to mapped files, once for each distinct run of
+    a task; runs with equal words form a class. (4) The suffixes of classes are grouped, sorted and scanned, with the number
+    of their copies; last, the occurrences of a class are joined to its suffixes.
 
-    At scale: passes 1 and 2 shuffle compressed hashes, of about one word in thirteen, and of repeated text only; pass 3 shuffles
-    32-bit words of the suffixes that begin a repeat. Unrepeated text never leaves its task. The result is lazy and reads the
-    counts in the shared folder: listed in full, it can be far larger than its input, so it is not stored there.
+    At scale: passes 1 and 2 shuffle compressed hashes, of about one word in thirteen, and of repeated text only; pass 4
+    shuffles a fixed number of bytes for each begin of a repeat in distinct text, never words, and copies are counted with
+    map-side combine, so a passage with very many copies is one suffix to its task. Unrepeated text never leaves its task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
@@ -254,9 +272,22 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     begins = _count(rows.select("text"), f"{scratch.path}/begins", bits, window_hashes, True)
 
-    def suffixes(batches):
+    stored = f"{scratch.path}/regions"
+
+    def regions(batches):
+        """The runs of repeated windows that hold the begin of a repeat; their words and begins are written once for each task's distinct runs."""
+        held, rows_out, known, size = [], [], {}, [0, 0]
+
+        def flush():
+            name = save_arrays(stored, {k: np.concatenate([h[i] for h in held]) for i, k in enumerate(("words", "at", "part", "left"))})
+            r = list(zip(*rows_out, strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(r[0], pa.int64()), pa.array(r[1], pa.int64()), *(pa.array(np.array(x, np.int32)) for x in r[2:4]), pa.array(r[4], pa.int64()), pa.array([name] * len(r[0]), pa.string()), *(pa.array(np.array(x, np.int64)) for x in r[5:7]), pa.array(np.array(r[7], np.int32))],
+                ["region", "doc_id", "start", "n", "left", "file", "words_at", "begins_at", "begins"],
+            )
+
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
+            ids = b.column("doc_id").cast(pa.int64()).to_pylist()
             for i, s in each(b):
                 at = repeated(s, anchors)
                 if not len(at):
@@ -265,60 +296,101 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 if not hit.any():
                     continue
                 doc = doc_of(s.first)
-                # a region ends where the run of repeated windows does
-                last = np.append(np.flatnonzero(np.diff(at) != 1), len(at) - 1)
-                split = np.flatnonzero((np.diff(at) == 1) & (doc[at[1:]] != doc[at[:-1]]))
-                last = np.union1d(last, split)
-                start, region = at[hit], np.searchsorted(last, np.flatnonzero(hit))
-                window = s.windows[start] & ~U64(0xFFFF)
-                order = np.lexsort((start, region, window))
-                start, region, window = start[order], region[order], window[order]
-                new = np.ones(len(start), dtype=bool)
-                new[1:] = (window[1:] != window[:-1]) | (region[1:] != region[:-1])
-                head = np.flatnonzero(new)
-                lists = pa.array(np.append(head, len(start)).astype(np.int32))
-                first, d = start[head], doc[start[head]]
-                # one word beyond the region tells suffixes apart that only the region's end cuts
-                end = np.minimum(at[last[region[head]]] + min_words + 1, s.first[d + 1])
-                narrow = (mix(s.words) >> U64(32)).astype(np.uint32)
-                texts = [narrow[x:y].tobytes() for x, y in zip(first.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(window[head].view(np.int64)), ids.take(pa.array(i + d)), pa.array((first - s.first[d]).astype(np.int32)),
-                        pa.ListArray.from_arrays(lists, pa.array((start - s.first[doc[start]]).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(lefts(s, start).view(np.int64))), pa.array(texts, pa.binary()),
-                    ],
-                    ["part", "doc_id", "start", "starts", "before", "words"],
-                )
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])]))
+                tail = np.append(head[1:], len(at))
+                upto = np.concatenate([[0], np.cumsum(hit)])
+                use = upto[tail] > upto[head]
+                head, tail = head[use], tail[use]
+                x, end = at[head], at[tail - 1] + min_words
+                narrow = mix(s.words) >> U64(32)
+                names = run_hash(s.words, x, end).view(np.int64)
+                before = np.where(np.isin(x, s.first), _EDGE, (narrow[np.maximum(x - 1, 0)] << U64(1)) + U64(1)).astype(np.int64)
+                for name, x0, x1, h, t, lf in zip(names.tolist(), x.tolist(), end.tolist(), head.tolist(), tail.tolist(), before.tolist(), strict=True):
+                    if name not in known:
+                        begin = at[h:t][hit[h:t]]
+                        inner = np.where(begin > x0, (narrow[np.maximum(begin - 1, 0)] << U64(1)) + U64(1), U64(0))
+                        held.append((narrow[x0:x1].astype(np.uint32), (begin - x0).astype(np.int32), s.windows[begin] & ~U64(0xFFFF), inner))
+                        known[name] = (size[0], size[1], len(begin))
+                        size[0] += x1 - x0
+                        size[1] += len(begin)
+                    d = int(doc[x0])
+                    rows_out.append((name, ids[i + d], x0 - int(s.first[d]), x1 - x0, lf, *known[name]))
+            if size[0] >= FLUSH:
+                yield flush()
+                held, rows_out, known, size = [], [], {}, [0, 0]
+        if rows_out:
+            yield flush()
+
+    places = scratch.table(rows.mapInArrow(regions, "region bigint, doc_id bigint, start int, n int, left bigint, file string, words_at bigint, begins_at bigint, begins int"), "places")
+    # equal runs of words are one class, however many places have them
+    classes = places.groupBy("region", "n").agg(
+        F.count("*").alias("copies"), F.min("left").alias("left"), F.max("left").alias("left2"), F.sum((F.col("left") == 0).cast("bigint")).alias("edges"),
+        F.min(F.struct("file", "words_at", "begins_at", "begins")).alias("at"), F.min(F.struct("doc_id", "start")).alias("one"),
+    )
+    varied = (F.col("left") != F.col("left2")) | (F.col("edges") > 1)
+    classes = classes.select("region", "n", "copies", "left", varied.alias("varied"), "at.*", F.col("one.doc_id").alias("doc_id"), F.col("one.start").alias("start"))
+
+    def entries(batches):
+        """A row for each begin in each class: the suffixes of which the array is made."""
+        maps = Maps()
+        for b in batches:
+            c = b.to_pydict()
+            turn = sorted(range(b.num_rows), key=lambda k: (c["file"][k], c["begins_at"][k]))
+            part, at, left = [], [], []
+            for k in turn:
+                path, lo = f"{stored}/{c['file'][k]}", c["begins_at"][k]
+                hi = lo + c["begins"][k]
+                part.append(maps.get(f"{path}.part.npy")[lo:hi])
+                at.append(maps.get(f"{path}.at.npy")[lo:hi])
+                left.append(np.array(maps.get(f"{path}.left.npy")[lo:hi]))
+                if len(at[-1]) and at[-1][0] == 0:
+                    left[-1][0] = c["left"][k]
+            n = np.array([len(x) for x in at])
+            if not n.sum():
+                continue
+            at = np.concatenate(at)
+            wide = np.repeat(np.array([c["varied"][k] for k in turn]), n) & (at == 0)
+            again = pa.array(np.repeat(turn, n))
+            of = lambda name: b.column(name).take(again)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(part).view(np.int64)), of("region"), of("n"), pa.array(at), of("copies"), pa.array(np.concatenate(left).view(np.int64)), pa.array(wide), of("file"), of("words_at"), of("doc_id"), of("start")],
+                ["part", "region", "n", "at", "copies", "left", "varied", "file", "words_at", "doc_id", "start"],
+            )
 
     def tree(batches):
         """Parts come sorted, so each is a run of rows, possibly over several batches."""
-
-        def scan(part: list[pa.RecordBatch]):
-            t = pa.Table.from_batches(part).combine_chunks()
-            texts = [np.frombuffer(x, np.uint32) for x in t["words"].to_pylist()]
-            listed = t["starts"].combine_chunks()
-            text = np.repeat(np.arange(len(t)), listed.value_lengths().to_numpy())
-            starts, before = listed.flatten().to_numpy(), t["before"].combine_chunks().flatten().to_numpy().view(U64)
-            offset = starts - t["start"].to_numpy()[text]
-            none = t["doc_id"].is_null().to_numpy()[text]
-            ids = t["doc_id"].fill_null(0).to_numpy()[text]
-            order = np.lexsort((starts, ids, ~none))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            ids, none, starts = ids[order], none[order], starts[order]
-            name = f"{t['part'][0].as_py() & (2**64 - 1):016x}"
-            for k, (length, where) in enumerate(maximal_repeats(texts, text, offset, before, min_words)):
-                w = np.sort(place[where])
-                yield f"{name}.{k}", length, ids[w], none[w], starts[w]
-
-        def flush(rows):
-            names, words, ids, none, starts = zip(*rows, strict=True)
-            n = np.array([len(x) for x in ids], np.int32)
-            lists = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+        maps = Maps()
+
+        def scan(held: list[pa.RecordBatch]):
+            t = pa.Table.from_batches(held).combine_chunks()
+            region, at, n = (t[x].to_numpy() for x in ("region", "at", "n"))
+            copies, left, wide = t["copies"].to_numpy(), t["left"].to_numpy().view(U64), t["varied"].to_numpy()
+            if len(at) == 1 and not wide[0]:
+                return None
+            # one text for each class, from its first suffix on: rows are sorted by class and place
+            head = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (n[1:] != n[:-1])]))
+            files, words_at = t["file"].take(pa.array(head)).to_pylist(), t["words_at"].to_numpy()
+            texts = [maps.get(f"{stored}/{f}.words.npy")[words_at[h] + at[h] : words_at[h] + n[h]] for f, h in zip(files, head.tolist(), strict=True)]
+            text = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))
+            order, found = maximal_repeats(texts, text, at - at[head][text], left, copies, wide, min_words)
+            deepest = np.zeros(len(order), np.int32)
+            found.sort(key=lambda x: -x[0])
+            for length, i, j in found:
+                inside_it = deepest[i : j + 1]
+                inside_it[inside_it == 0] = length
+            total = np.append(0, np.cumsum(copies[order]))
+            length, first, last = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+            used = np.flatnonzero(deepest)
+            rank = np.concatenate([first, used]).astype(np.int32)
+            row = order[rank]
+            flag = np.arange(len(rank)) < len(first)
             return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(words, pa.int32()), pa.array(n), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(ids), mask=np.concatenate(none))), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(starts)))],
-                ["repeat_id", "words", "n", "doc_ids", "starts"],
-            )
+                [
+                    t["part"].combine_chunks().take(pa.array(row)), pa.array(flag), pa.array(rank), pa.array(np.concatenate([last, used]).astype(np.int32)), pa.array(np.concatenate([length, deepest[used]]).astype(np.int32)),
+                    pa.array(np.concatenate([total[last + 1] - total[first], copies[order[used]]])), t["region"].combine_chunks().take(pa.array(row)), t["n"].combine_chunks().take(pa.array(row)), pa.array(at[row]), t["doc_id"].combine_chunks().take(pa.array(row)), pa.array(t["start"].to_numpy()[row] + at[row]),
+                ],
+                ["group_id", "repeat", "first", "last", "words", "n", "region", "size", "at", "doc_id", "start"],
+            )
 
         def parts():
             held: list[pa.RecordBatch] = []
@@ -337,15 +409,30 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         out, weight = [], 0
         for part in parts():
-            for r in scan(part):
-                out.append(r)
-                weight += len(r[2])
-                if weight > 200_000:
-                    yield flush(out)
-                    out, weight = [], 0
+            made = scan(part)
+            if made is not None and made.num_rows:
+                out.append(made)
+                weight += made.num_rows
+            if weight > 50_000:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, weight = [], 0
         if out:
-            yield flush(out)
-
-    found = rows.mapInArrow(suffixes, "part bigint, doc_id bigint, start int, starts array<int>, before array<bigint>, words binary")
-    by_part = found.repartition("part").sortWithinPartitions("part", "doc_id", "start")
-    return by_part.mapInArrow(tree, "repeat_id string, words int, n int, doc_ids array<bigint>, starts array<int>")
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    suffixes = classes.mapInArrow(entries, "part bigint, region bigint, n int, at int, copies bigint, left bigint, varied boolean, file string, words_at bigint, doc_id bigint, start int")
+    suffixes = suffixes.repartition("part").sortWithinPartitions("part", "region", "n", "at")
+    found = scratch.table(suffixes.mapInArrow(tree, "group_id bigint, repeat boolean, first int, last int, words int, n bigint, region bigint, size int, at int, doc_id bigint, start int"), "tree")
+    for done in ("anchors", "begins", "regions"):
+        scratch.drop(done)
+    repeats = found.where("repeat").select("group_id", F.lit("repeat").alias("kind"), "first", "last", "words", "n", "doc_id", "start")
+    where = places.select("region", F.col("n").alias("size"), "doc_id", F.col("start").alias("from"))
+    each_place = found.where("not repeat").drop("doc_id", "start").join(where, ["region", "size"])
+    each_place = each_place.select("group_id", F.lit("occurrence").alias("kind"), "first", "last", "words", F.lit(1).cast("bigint").alias("n"), "doc_id", (F.col("from") + F.col("at")).alias("start"))
+    return repeats.unionByName(each_place)
+
+
+def repeat_occurrences(found: DataFrame) -> DataFrame:
+    """Each repeat of repeated_passages with all its occurrences written out: (group_id, first, last, words, n, doc_id, start), one row per occurrence of each repeat."""
+    r = found.where("kind = 'repeat'").select("group_id", "first", "last", "words", "n")
+    o = found.where("kind = 'occurrence'").select("group_id", F.col("first").alias("rank"), "doc_id", "start")
+    return r.join(o, "group_id").where("rank between first and last").drop("rank")

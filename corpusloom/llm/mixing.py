@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import pick, position
+from .shared import Scratch, pick, position
 
 #: Buckets of the rank key per source; only the bucket that holds the cut is ever sorted.
 CUT_BUCKETS = 4096
@@ -32,11 +32,11 @@ def quotas(per_source: DataFrame, total: Column | int | None, weights: dict[str,
         share = F.sqrt(F.col("n").cast("double")) if temperature == 0.5 else F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:
         share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("src")), F.lit(0.0)) if weights else F.lit(0.0)
+    # shares are whole millionths, so that their sum does not depend on the partitioning
     every = W.partitionBy()
-    want = alive.withColumn("share", share).withColumn("total", F.sum("n").over(every) if total is None else F.lit(total))
-    # added up in one order, so that the last bit does not depend on the partitioning
-    want = want.withColumn("all_shares", F.aggregate(F.sort_array(F.collect_list("share").over(every)), F.lit(0.0), lambda a, x: a + x))
-    want = want.where("share > 0").withColumn("ideal", F.col("total") * F.col("share") / F.col("all_shares"))
+    want = alive.withColumn("share", F.round(share * 1e6).cast("decimal(30,0)"))
+    want = want.withColumn("total", (F.sum("n").over(every) if total is None else F.lit(total)).cast("bigint")).where("share > 0")
+    want = want.withColumn("ideal", F.col("total").cast("double") * F.col("share").cast("double") / F.sum("share").over(every).cast("double"))
     want = want.withColumn("base", F.floor("ideal")).withColumn("rest", F.col("total") - F.sum("base").over(every))
     turn = F.row_number().over(W.orderBy((F.col("ideal") - F.col("base")).desc(), "src"))
     return want.select("src", "n", "mass", (F.col("base") + F.when(turn <= F.col("rest"), 1).otherwise(0)).cast("bigint").alias("quota"))
@@ -60,30 +60,31 @@ def mix_sources(
 
     Defined results: a null source is a source of its own, "(none)" (a real source of that name shares it). A null
     or empty text has m = 1. n_chars is used for the length; where it is null or negative, the text is measured.
-    Rows that repeat a doc_id share U: they tie, and ties go by doc_id, then length; identical rows are
-    interchangeable. An empty table gives an empty result.
+    Rows that repeat a doc_id share U: they tie, and ties go by doc_id, then length, then a hash of the text; identical
+    rows are interchangeable. An empty table gives an empty result.
 
     At scale: statistics are one aggregation per source with map-side combine. The cut is found by counting rank
     keys in buckets per source, and only the bucket that holds it is sorted, so no task ever sees a hot source.
     """
-    spark = docs.sparkSession
-    rows = pick(docs, "doc_id", "source", "n_chars", "text").select(
-        "doc_id",
-        F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("src"),
-        F.coalesce(F.when(F.col("n_chars") >= 0, F.col("n_chars").cast("bigint")), F.length("text").cast("bigint"), F.lit(0).cast("bigint")).alias("len"),
-    )
+    rows = pick(docs, "doc_id", "source", "n_chars", "text")
+    return _drawn(rows, weights, total, temperature, seed).select("doc_id", F.col("src").alias("source"), "certain", "inclusion", "copies")
+
+
+def _drawn(rows: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = 0.5, seed: int = 17) -> DataFrame:
+    """The rows that are drawn, with src, certain, inclusion and copies. rows has doc_id, source, n_chars and text, and may carry others."""
+    scratch = Scratch(rows.sparkSession, "mixing")
+    rows = rows.withColumn("src", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+    rows = rows.withColumn("len", F.coalesce(F.when(F.col("n_chars") >= 0, F.col("n_chars").cast("bigint")), F.length("text").cast("bigint"), F.lit(0).cast("bigint")))
     # the mass is summed as whole millionths: the sum is then the same in any order
     m = F.round(F.sqrt(F.lit(1.0) + F.col("len")) * 1e6).cast("bigint")
     rows = rows.withColumn("m", m)
-    found = quotas(rows.groupBy("src").agg(F.count("*").alias("n"), F.sum("m").alias("mass")), total, weights, temperature).collect()
-    known = spark.createDataFrame([tuple(r) for r in found], "src string, n bigint, mass bigint, quota bigint").select("src", "mass", "quota")
-    side = (lambda d: F.broadcast(d)) if len(found) <= BROADCAST_SOURCES else (lambda d: d)
+    known = scratch.table(quotas(rows.groupBy("src").agg(F.count("*").alias("n"), F.sum("m").alias("mass")), total, weights, temperature).select("src", "mass", "quota"), "quotas")
+    side = (lambda d: F.broadcast(d)) if known.count() <= BROADCAST_SOURCES else (lambda d: d)
     expected = rows.join(side(known), "src").withColumn("lam", F.col("quota").cast("double") * F.col("m").cast("double") / F.col("mass").cast("double"))
-    u = uniform(F.col("doc_id"), seed)
     ranked = (
         expected.withColumn("certain", F.floor("lam"))
         .withColumn("inclusion", F.col("lam") - F.col("certain"))
-        .withColumn("u", u)
+        .withColumn("u", uniform(F.col("doc_id"), seed))
         .withColumn("rank_key", F.when(F.col("inclusion") > 0, F.col("u") / (1.0 - F.col("u")) * ((1.0 - F.col("inclusion")) / F.col("inclusion"))))
         # rank_key / (1 + rank_key) grows with rank_key and lies in (0, 1)
         .withColumn("slot", F.least(F.floor(F.col("rank_key") / (1.0 + F.col("rank_key")) * CUT_BUCKETS), F.lit(CUT_BUCKETS - 1)).cast("int"))
@@ -101,29 +102,24 @@ def mix_sources(
         .groupBy("src")
         .agg(F.max("slot").alias("cut"), F.max_by(F.col("need") - (F.col("upto") - F.col("c")), F.col("slot")).alias("left"))
     )
+    cut = scratch.table(cut, "cut")
     marked = ranked.join(side(cut), "src", "left")
     sure = marked.where("slot is null or cut is null or slot != cut").withColumn("drawn", F.coalesce(F.col("slot") < F.col("cut"), F.lit(False)))
+    # only the rows of the bucket that holds the cut are shuffled and sorted
     edge = marked.where("slot = cut")
-    turn = F.row_number().over(W.partitionBy("src").orderBy("rank_key", "doc_id", "len"))
+    turn = F.row_number().over(W.partitionBy("src").orderBy("rank_key", "doc_id", "len", F.xxhash64("text")))
     edge = edge.withColumn("turn", turn).withColumn("drawn", F.col("turn") <= F.col("left")).drop("turn")
-    chosen = sure.unionByName(edge).withColumn("copies", F.col("certain") + F.col("drawn").cast("bigint")).where("copies > 0")
-    return chosen.select("doc_id", F.col("src").alias("source"), "certain", "inclusion", "copies")
+    return sure.unionByName(edge).withColumn("copies", F.col("certain") + F.col("drawn").cast("bigint")).where("copies > 0")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as mix_sources says.
+    """The documents of the mix with all their columns, each row as often as mix_sources draws it.
 
-    Rows with the same doc_id, source and length are interchangeable, so each takes the mean of their copies,
-    spread by row_number; every draw of mix_sources is one row here.
+    Nulls, ties, repeats and empty tables: as for mix_sources. Every draw is one row here.
     """
-    at = {n: position(docs, n) for n in ("doc_id", "source")}
-    safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
-    picks = mix_sources(docs, **how).groupBy("doc_id", "source").agg(F.collect_list(F.col("copies").cast("int")).alias("__copies"))
-    safe = safe.withColumn("__src", F.coalesce(F.col(f"__c{at['source']}").cast("string"), F.lit(NO_SOURCE)))
-    on = F.col(f"__c{at['doc_id']}").eqNullSafe(F.col("doc_id")) & (F.col("__src") == F.col("source"))
-    joined = safe.join(picks, on)
-    # only rows whose doc_id repeats need a place among their likes
-    place = F.row_number().over(W.partitionBy(f"__c{at['doc_id']}", "__src").orderBy(F.lit(0)))
-    joined = joined.withColumn("__n", F.coalesce(F.try_element_at(F.col("__copies"), place), F.lit(0))).where("__n > 0")
-    out = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return out.select(*[f"__c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+    carried = [f"__c{i}" for i in range(len(docs.columns))]
+    safe = docs.toDF(*carried)
+    for name in ("doc_id", "source", "n_chars", "text"):
+        safe = safe.withColumn(name, F.col(f"__c{position(docs, name)}"))
+    out = _drawn(safe, **how).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return out.select(*carried).toDF(*docs.columns)

@@ -90,34 +90,41 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_pieces: int = SH
     the open sequence that leaves the least room.
 
     Defined results: null, empty and blank texts have no tokens and are in no sequence. Pieces of equal length go
-    by doc_id (null first), then by start; repeated rows are packed once each. An empty table gives an empty result.
+    by doc_id (null first), then by start; repeated rows are packed once each, and bin_id is unique all the same. An empty table
+    gives an empty result.
 
-    At scale: full sequences need no packing and never leave the JVM's explode; rests are spread by a hash over
+    At scale: rows are counted by id and length first, with map-side combine; full sequences need no packing and never leave the
+    JVM's explode; rests are spread by a hash, and repeats of one row evenly, over
     shards of about shard_pieces rows, each packed on its own, so the number of tasks grows with the corpus and a
     task's memory does not. Only (doc_id, start, length) is shuffled, never text.
     """
     word = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
     sized = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size(word).alias("n"))
-    sized = sized.where("n > 0").withColumn("full", F.floor(F.col("n") / capacity).cast("int")).withColumn("rest", F.col("n") % capacity)
-    full = sized.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("k"))
+    # rows with the same id and length are interchangeable: one row with their number
+    sized = sized.where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("c")).withColumn("full", F.floor(F.col("n") / capacity).cast("int")).withColumn("rest", F.col("n") % capacity)
+    full = sized.where("full > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     full = full.select(
-        F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("."), F.col("k")).alias("bin_id"),
+        F.concat_ws(".", F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), F.col("n").cast("string"), F.col("copy").cast("string"), F.col("k").cast("string")).alias("bin_id"),
         F.lit(capacity).alias("used"),
         F.array("doc_id").alias("doc_ids"),
         F.array((F.col("k") * capacity).cast("bigint")).alias("starts"),
         F.array(F.lit(capacity)).alias("lengths"),
     )
-    rests = sized.where("rest > 0").select("doc_id", (F.col("full").cast("bigint") * capacity).alias("start"), F.col("rest").alias("length"))
+    rests = sized.where("rest > 0").select("doc_id", (F.col("full").cast("bigint") * capacity).alias("start"), F.col("rest").alias("length"), "c")
     count = pick(docs, "doc_id").count()
     shards = max(1, -(-count // shard_pieces))
-    rests = rests.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(77)), F.lit(shards)).cast("int"))
+    # repeats are dealt evenly to the shards, beginning at a place by hash
+    home = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "start", "length", F.lit(77))
+    rests = rests.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("c", F.lit(shards)) - 1)))
+    rests = rests.withColumn("shard", F.pmod(home + F.col("turn"), F.lit(shards)).cast("int")).withColumn("c", F.floor((F.col("c") - F.col("turn") - 1) / shards) + 1)
     schema = "bin_id string, used int, doc_ids array<bigint>, starts array<bigint>, lengths array<int>"
 
     def pack(key, table):
         ids = table["doc_id"].to_pandas(integer_object_nulls=True)
         null = ids.isna().to_numpy()
         num = ids.fillna(0).to_numpy().astype(np.int64)
-        start, length = table["start"].to_numpy(), table["length"].to_numpy()
+        times = table["c"].to_numpy()
+        num, null, start, length = (np.repeat(x, times) for x in (num, null, table["start"].to_numpy(), table["length"].to_numpy()))
         order = np.lexsort((start, num, ~null, -length))
         bins, offsets = best_fit_decreasing(length[order], capacity)
         rank = np.lexsort((offsets, bins))

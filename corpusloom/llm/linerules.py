@@ -24,6 +24,11 @@ REPEAT_WORDS, REPEAT_SHARE = 8, 0.34
 MIN_KEPT = 0.5
 
 
+def _bare(line: Column) -> Column:
+    """The line without blanks, tabs and carriage returns at either end."""
+    return F.btrim(line, F.lit(" \t\x0b\f\r"))
+
+
 def line_verdicts(line: Column) -> dict[str, Column]:
     """Rules that fail a line, by name; blank lines fail none. line must be trimmed."""
     words = F.split(line, " ")
@@ -41,7 +46,7 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
 
     Result, one row per document row: (doc_id, text, n_lines, removed, kept_share, keep). text holds the lines that
     passed, unchanged and in order, blank ones included; kept_share is their characters over the characters of all
-    lines (without blanks at either end); keep is kept_share >= min_kept.
+    lines (without ASCII whitespace at either end; a line of such alone is blank); keep is kept_share >= min_kept.
 
     Defined results: a null text counts as empty; texts without any character have kept_share 0 and are rejected.
     Ties and repeated rows don't matter, as each row is judged on its own. An empty table gives an empty result.
@@ -54,13 +59,13 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
     split = safe.select(F.col(f"__c{at['doc_id']}").alias("doc_id"), F.split(text, "\n", -1).alias("all_lines"))
 
     def passes(x: Column) -> Column:
-        t = F.trim(x)
+        t = _bare(x)
         bad = F.lit(False)
         for rule in line_verdicts(t).values():
             bad = bad | rule
         return (t == "") | ~bad
 
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(F.trim(x)))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(_bare(x)))
     kept = split.withColumn("kept_lines", F.filter("all_lines", passes))
     sized = kept.withColumn("n_before", total(F.col("all_lines"))).withColumn("n_after", total(F.col("kept_lines")))
     share = F.when(F.col("n_before") > 0, F.col("n_after") / F.col("n_before")).otherwise(0.0)

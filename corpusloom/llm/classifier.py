@@ -166,7 +166,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
             s = statistics(b.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "y": b.column("y").cast(pa.int32()), "s": pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))})
 
-    got = rows.select("doc_id", "text", "y").mapInArrow(measure, "doc_id bigint, y int, s array<double>").toPandas()
+    got = rows.select("doc_id", "text", "y").mapInArrow(measure, "doc_id bigint, y int, s array<double>")
+    got = got.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("s").alias("s")).toPandas()  # one row for each label drawn, however often the document repeats
     got = got.sort_values("doc_id", kind="stable")
     x = np.stack(got["s"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy(dtype=float))

@@ -14,9 +14,9 @@ from corpusloom.llm.classifier import classify_quality, keep_quality
 from corpusloom.llm.kneserney import discounts, score_documents
 from corpusloom.llm.linededup import dedup_lines, without_repeated_lines
 from corpusloom.llm.mixing import mix_sources, mixed_documents
-from corpusloom.llm.ngramjoin import drop_near_duplicates, ngram_jaccard_pairs
+from corpusloom.llm.ngramjoin import drop_near_duplicates, ngram_jaccard_pairs, similar_documents
 from corpusloom.llm.packing import best_fit_decreasing, pack_documents
-from corpusloom.llm.suffixes import repeated_passages
+from corpusloom.llm.suffixes import repeat_occurrences, repeated_passages
 from corpusloom.llm.topk import exact_top_k
 from corpusloom.llm.urlrules import apply_url_rules, surt
 
@@ -158,20 +158,49 @@ def test_kneser_ney(spark, edge):
     assert got[60].perplexity is None
 
 
+def passages(docs, least=50):
+    """{(words, occurrences)} of repeated_passages, written out; and checks that its rows agree."""
+    found = repeated_passages(docs, least).cache()
+    by = defaultdict(list)
+    for r in repeat_occurrences(found).collect():
+        by[r.group_id, r.first, r.last, r.words, r.n].append((r.doc_id, r.start))
+    rows = found.collect()
+    assert len(by) == sum(r.kind == "repeat" for r in rows)
+    assert all(len(x) == n >= 2 for (_, _, _, _, n), x in by.items())
+    longest = defaultdict(int)
+    for (_, _, _, words, _), x in by.items():
+        for o in x:
+            longest[o] = max(longest[o], words)
+    assert {(r.doc_id, r.start): r.words for r in rows if r.kind == "occurrence"} == longest
+    assert all((r.doc_id, r.start) in by[r.group_id, r.first, r.last, r.words, r.n] for r in rows if r.kind == "repeat")
+    got = [(words, tuple(sorted(x, key=repr))) for (_, _, _, words, _), x in by.items()]
+    assert len(set(got)) == len(got)
+    return set(got)
+
+
 def test_repeats(spark, edge):
-    repeated_passages(edge).collect()
+    rows = repeated_passages(edge).collect()
+    # the word 3000 times, and squares modulo 9973, which come again
+    assert Counter((r.doc_id, r.words, r.n) for r in rows if r.kind == "repeat") == Counter([(7, w, 3001 - w) for w in range(50, 3000)] + [(5, 60_000 - 9973 * k, k + 1) for k in range(1, 7)])
     rnd = random.Random(5)
     fresh = lambda n: [f"q{rnd.randrange(10**9)}" for _ in range(n)]
     shared = fresh(60)
     parts = [[*fresh(30), *shared, *fresh(20)], [*fresh(7), *shared, *fresh(90)], [*shared, *fresh(3), *shared[:40]], fresh(200)]
     parts.append([*fresh(5), *parts[0][20:95], *fresh(4)])
-    rows = repeated_passages(docs_of(spark, [" ".join(p) for p in parts])).collect()
-    for r in rows:
-        spelt = {tuple(parts[i][s : s + r.words]) for i, s in zip(r.doc_ids, r.starts, strict=True)}
-        assert len(spelt) == 1 and r.n == len(r.doc_ids) >= 2
-    got = {(r.words, tuple(zip(r.doc_ids, r.starts, strict=True))) for r in rows}
-    assert (60, ((0, 30), (1, 7), (2, 0), (4, 15))) in got
-    assert (75, ((0, 20), (4, 5))) in got
+    parts += [parts[0], parts[2], parts[2], shared, shared]  # copies
+    texts = [" ".join(p) for p in parts]
+    got = passages(docs_of(spark, texts))
+    assert (75, ((0, 20), (4, 5), (5, 20))) in got
+    assert got == {(w, tuple(sorted(x, key=repr))) for w, x in brute_repeats(parts, 50)}
+    docs = spark.createDataFrame([(None, texts[0], 1), (None, texts[0], 2), (9, texts[1], 3)], "doc_id bigint, text string, TEXT int")
+    assert (110, ((None, 0), (None, 0))) in passages_listed(docs)
+
+
+def passages_listed(docs):
+    by = defaultdict(list)
+    for r in repeat_occurrences(repeated_passages(docs)).collect():
+        by[r.group_id, r.first, r.last, r.words].append((r.doc_id, r.start))
+    return {(k[3], tuple(sorted(x, key=repr))) for k, x in by.items()}
 
 
 def test_repeats_with_lefts_that_share_bits(spark):
@@ -186,8 +215,7 @@ def test_repeats_with_lefts_that_share_bits(spark):
     shared = " ".join(f"m{i}" for i in range(60))
     texts = [(k, f"{words[order[k]]} {shared} z{k}") for k in (int(same), int(same) + 1)]
     docs = spark.createDataFrame(spark.sparkContext.parallelize(texts, 2), "doc_id bigint, text string")
-    rows = repeated_passages(docs).collect()
-    assert [(r.words, r.n, r.starts) for r in rows] == [(60, 2, [1, 1])]
+    assert passages(docs) == {(60, tuple(sorted(((k, 1) for k, _ in texts), key=repr)))}
 
 
 def brute_repeats(parts, least):
@@ -214,9 +242,7 @@ def test_repeats_of_periodic_text(spark):
     rnd = random.Random(8)
     loose = [[rnd.choice("ab") for _ in range(rnd.randint(1, 6))] * rnd.randint(2, 30) + [rnd.choice("abc") for _ in range(rnd.randint(0, 20))] for _ in range(12)]
     for parts, least in (([line * 5], 50), ([line * 5 + shared, line * 4 + shared], 50), ([["w"] * 200], 50), (loose, 6)):
-        rows = repeated_passages(docs_of(spark, [" ".join(p) for p in parts]), least).collect()
-        got = [(r.words, tuple(zip(r.doc_ids, r.starts, strict=True))) for r in rows]
-        assert len(set(got)) == len(got) and set(got) == brute_repeats(parts, least)
+        assert passages(docs_of(spark, [" ".join(p) for p in parts]), least) == {(w, tuple(sorted(x, key=repr))) for w, x in brute_repeats(parts, least)}
 
 
 def test_ngram_join(spark, edge):
@@ -322,18 +348,25 @@ def test_line_dedup_finds_planted_edits(spark):
 
 def test_top_k(spark):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x = rng.normal(size=(300, 40)).astype(np.float32)
     x[7] = x[8]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [1.0]), (None, x[0].tolist()), (903, [float("nan")] * 16)]
-    got = defaultdict(list)
-    for r in exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 10, block=64).collect():
-        got[r.vec_id].append((r["rank"], r.neighbor_id, r.distance))
-    assert set(got) == set(range(300))
+    x[100:130] = x[99]  # ties across blocks
+    rows = [(i, v.tolist(), i) for i, v in enumerate(x)] + [(900, None, 0), (901, [], 0), (902, [1.0], 0), (None, x[0].tolist(), 0), (903, [float("nan")] * 40, 0)]
+    rows += [(5, [9.0] * 40, 0), (1000, [1.0, 2.0], 0), (1001, [1.0, 2.5], 0)]  # a repeated id, vectors of another length
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, VEC_ID int")
     y = x.astype(np.float64)
-    for i in range(300):
-        dist = np.sqrt(((y - y[i]) ** 2).sum(1)).round(9)
-        best = sorted((d, j) for j, d in enumerate(dist.tolist()) if j != i)[:10]
-        assert [(k, j) for k, j, _ in sorted(got[i])] == [(k + 1, j) for k, (_, j) in enumerate(best)]
+    if [9.0] * 40 < x[5].tolist():
+        y[5] = 9.0
+    for every in (1, 50):
+        got = defaultdict(list)
+        for r in exact_top_k(vectors, 10, every, block=64).collect():
+            got[r.vec_id].append((r["rank"], r.neighbor_id, r.distance))
+        assert set(got) == {i for i in [*range(300), 1000, 1001] if i % every == 0}
+        for i in range(0, 300, every):
+            dist = np.sqrt(((y - y[i]) ** 2).sum(1)).round(9)
+            best = sorted((d, j) for j, d in enumerate(dist.tolist()) if j != i)[:10]
+            assert [(k, j) for k, j, _ in sorted(got[i])] == [(k + 1, j) for k, (_, j) in enumerate(best)]
+        assert got[1000] == [(1, 1001, 0.5)]
 
 
 def test_quality(spark, edge):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .kernels import doc_of, line_hash, lines, mix, slices, span_hash, text_bytes, trim
+from .kernels import doc_of, line_hash, lines, mix, slices, text_bytes, trim
 from .shared import U64, HashTable, Maps, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: A shingle is a run of so many UTF-8 bytes: one character each in ASCII text.
@@ -19,7 +19,7 @@ BANDS, ROWS = 25, 5
 #: One substituted byte changes SHINGLE shingles: lines of 33 bytes or more stay similar.
 SIMILARITY = 0.7
 #: Entries that one task of the banding sorts.
-BAND_ENTRIES = 1_000_000
+BAND_ENTRIES = 600_000
 #: Pairs that a task verifies, and pairs verified at once.
 CHECK_PAIRS, CHECKED = 200_000, 1000
 _NO_DOC = np.iinfo(np.int64).min
@@ -40,7 +40,7 @@ def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     short = np.flatnonzero(count == 0)
     if len(short):
         line = np.concatenate([line, short])
-        words = np.concatenate([words, span_hash(data, starts[short], ends[short]) & _MASK])
+        words = np.concatenate([words, line_hash(data, starts[short], ends[short]) & _MASK])
     return line, words
 
 
@@ -111,26 +111,32 @@ def _grouped(key: np.ndarray, sketch: np.ndarray, filled: np.ndarray, similarity
     large = np.repeat(size > SMALL_BUCKET, size)
     label[large] = np.repeat(head, size)[large]
     ends = np.repeat(head + size, size)
-    at, links, d = np.flatnonzero(~large), [], 1
+    at, d = np.flatnonzero(~large), 1
     while True:
         at = at[at + d < ends[at]]
         if not len(at):
             break
         good = at[_comparable(sketch[at], sketch[at + d], filled[at], filled[at + d], similarity, agree)]
-        links.append((good, good + d))
+        _unite(label, good, good + d)
         d += 1
-    if links:
-        i, j = (np.concatenate(x) for x in zip(*links, strict=True))
-        while True:
-            least = np.minimum(label[i], label[j])
-            after = label.copy()
-            np.minimum.at(after, i, least)
-            np.minimum.at(after, j, least)
-            after = after[after]
-            if (after == label).all():
-                break
-            label = after
-    return label
+    return _roots(label, np.arange(n))
+
+
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[at]
+        if (up == at).all():
+            return at
+        at = up
+
+
+def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Union-find over links i - j; the root of a tree is its least entry."""
+    while len(i):
+        i, j = _roots(parent, i), _roots(parent, j)
+        apart = i != j
+        i, j = np.minimum(i[apart], j[apart]), np.maximum(i[apart], j[apart])
+        np.minimum.at(parent, j, i)
 
 
 def _each_slice(batch: pa.RecordBatch):

@@ -42,7 +42,7 @@ def test_packing_of_repeats_in_shards(spark):
     rnd = random.Random(6)
     rows = [(rnd.choice([1, 2, 3, None]), "w " * rnd.choice([3, 50, 120, 250])) for _ in range(400)] + [(i, "w " * rnd.randint(1, 99)) for i in range(10, 200)]
     for shard_pieces in (100_000, 100):
-        made = pack_documents(frame(spark, rows).withColumn("SHARD", F.lit("x")), 100, shard_pieces).collect()
+        made = pack_documents(frame(spark, rows).withColumn("shard", F.lit("x")), 100, shard_pieces).collect()
         assert len({r.bin_id for r in made}) == len(made)
         got = Counter((i, s, n) for r in made for i, s, n in zip(r.doc_ids, r.starts, r.lengths, strict=True))
         want = Counter()
@@ -109,7 +109,7 @@ def test_similar_documents(spark, monkeypatch):
         mine = [x for (a, _), x in near.items() if a == k]
         if mine:
             want[i, min((m for m in members[root[k]] if m is not None), default=None), len(mine), round(max(mine), 6)] += 1
-    d = frame(spark, rows).withColumn("CLASS_ID", F.lit(1))
+    d = frame(spark, rows).withColumn("class_id", F.lit(1)).withColumn("root", F.lit(2))
     for entries in (4_000_000, 200):
         monkeypatch.setattr(ngramjoin, "SHARD_ENTRIES", entries)
         monkeypatch.setattr(ngramjoin, "FLUSH", entries)
@@ -153,7 +153,7 @@ def test_line_rules_by_brute_force(spark):
             or re.search(linerules.SYMBOLS, t) or (not re.search(linerules.TERMINAL.replace("$", r"\Z"), t) and not re.search(linerules.PROSE, t))
         )
 
-    d = frame(spark, list(enumerate(texts))).withColumn("KEEP", F.lit(1))
+    d = frame(spark, list(enumerate(texts))).withColumn("keep", F.lit(1))
     for r in linerules.clean_lines(d).collect():
         lines = (texts[r.doc_id] or "").split("\n")
         kept = [x for x in lines if not x.strip(ws) or not fails(x.strip(ws))]
@@ -258,7 +258,7 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     rows = [(1, "a b c. d e f."), (1, "a b c. d e f."), (2, None), (3, ""), (None, "x y z. w v u."), (None, None), (5, " ".join(f"w{i}" for i in range(5000))), (6, "one\ntwo\nthree")]
     for name, r in (("odd", rows), ("empty", [])):
         at = f"{tmp_path}/{name}"
-        frame(spark, r).withColumn("TEXT", F.lit(1)).withColumn("copies", F.lit("c")).toDF("doc_id", "text", "lang", "source", "n_chars", "__c1", "copies").write.parquet(f"{at}/documents.parquet")
+        frame(spark, r).withColumn("__c1", F.lit(1)).withColumn("copies", F.lit("c")).withColumn("src", F.lit("x")).write.parquet(f"{at}/documents.parquet")
         labels.write.parquet(f"{at}/labels.parquet")
         packed = run(spark, at).collect()
         assert all(r.used == sum(r.lengths) for r in packed) and bool(packed) == bool(r)

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import citations as cite
+from .functions import models
 from .functions import text as tx
 from .functions.routing import route
 from .functions.vectors import cosine, dot
 from .operators import chunkers, evaluate, filters, fusion, graph, rerank, search, sessions, structured, tree
-from .plans import engine
+from .plans import engine, federated, loops
 from .sources import index
 from .sources.store import settled
 from .streaming import logs
@@ -91,7 +92,17 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
-@query("html_sections")
+_HEADING = "(?is)<h([1-6])\\b[^>]*>(.*?)</h[1-6]>"
+
+
+@query(
+    "html_sections",
+    f"""WITH p AS (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '{_HEADING}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM pages),
+    h AS (SELECT page_id, i - 2 AS section, p[i] AS h FROM (SELECT page_id, p, unnest(range(2, len(p) + 1)) AS i FROM p WHERE len(p) > 1)),
+    t AS (SELECT page_id, section::INT AS section, regexp_extract(h, '{_HEADING}', 1)::INT AS level, {_HTML.format(x=f"regexp_extract(h, '{_HEADING}', 2)")} AS title, {_HTML.format(x="h")} AS content FROM h)
+    SELECT page_id, section, level, CASE WHEN title = '' THEN 'section' ELSE title END AS title, content FROM t WHERE content <> ''
+    UNION ALL SELECT page_id, 0, 0, 'document', {_HTML.format(x="p[1]")} FROM p WHERE len(p) = 1 AND {_HTML.format(x="p[1]")} <> ''""",
+)
 def _(s, d):
     return chunkers.html_sections(table(s, d, "pages"))
 
@@ -184,9 +195,24 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("query_variants")
+def _distinct_sql(items: str) -> str:
+    clean = f"list_filter(list_transform({items}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda y: y <> '')"
+    return f"list_filter({clean}, lambda z, i: list_position(list_transform({clean}, lambda v: lower(v)), lower(z)) = i)"
+
+
+_FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_VARIANTS = _distinct_sql(f"[text, trim(regexp_replace({_FLAT}, '(?i)\\b(quel|quelle|quels|quelles|comment|pourquoi|est-ce que|what|how|why|which)\\b', '', 'g')), array_to_string(list_slice(regexp_extract_all(lower({_FLAT}), '[\\p{{L}}\\p{{N}}_]+'), 1, 12), ' ')]")
+_WIDER = _distinct_sql("[text, 'contexte général ' || array_to_string(list_slice(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), 1, 10), ' ')]")
+
+
+@query("query_variants", f"SELECT item_id AS query_id, array_to_string(list_slice({_VARIANTS}, 1, 4), '|') AS variants, array_to_string({_WIDER}, '|') AS step_back FROM benchmark")
+def _(s, d):
+    return questions(s, d).select("query_id", F.array_join(tx.query_variants(F.col("query")), "|").alias("variants"), F.array_join(tx.step_back(F.col("query")), "|").alias("step_back"))
+
+
+@query("query_parts")
 def _(s, d):
-    return questions(s, d).select("query_id", tx.query_variants(F.col("query")).alias("variants"), tx.step_back(F.col("query")).alias("step_back"), tx.sub_queries(F.col("query")).alias("parts"))
+    return questions(s, d).select("query_id", F.array_join(tx.sub_queries(F.col("query")), "|").alias("parts"))
 
 
 @query("routes")
@@ -228,7 +254,15 @@ def _(s, d):
     return t.select("doc_id", "i", "first", "last", F.md5(F.col("window").cast("binary")).alias("digest"))
 
 
-@query("token_windows")
+@query(
+    "token_windows",
+    """WITH d AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, regexp_extract_all(text, '\\s+') AS s, CASE WHEN regexp_matches(text, '^\\s') THEN 1 ELSE 0 END AS l FROM documents),
+    t AS (SELECT doc_id, text, len(w) AS n, i, length(w[i]) AS c, CASE WHEN i - 1 + l > 0 THEN length(s[i - 1 + l]) ELSE 0 END AS g FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    p AS (SELECT doc_id, text, n, i, c, (sum(c + g) OVER (PARTITION BY doc_id ORDER BY i) - c)::INT AS a FROM t),
+    b AS (SELECT doc_id, text, n, (i - 1) // 210 AS k, a FROM p WHERE (i - 1) % 210 = 0)
+    SELECT b.doc_id, b.k::INT AS chunk_index, substr(b.text, b.a + 1, e.a + e.c - b.a) AS content, b.a AS "start", (e.a + e.c)::INT AS "end", b.doc_id || '#tok-' || b.k AS chunk_id
+    FROM b JOIN p e ON e.doc_id = b.doc_id AND e.i = least(b.k * 210 + 250, b.n)""",
+)
 def _(s, d):
     return chunkers.token_windows(table(s, d, "documents"))
 
@@ -423,12 +457,31 @@ def _(s, d):
     return rerank.drop_redundant(_with_text(_ranked(s, d), s, d))
 
 
-@query("compress")
+_COVER = "len(list_intersect(z.t, q.t)) / len(list_distinct(q.t))"
+
+
+@query(
+    "compress",
+    f"""WITH {_BM25}, r AS (SELECT query_id, doc_id FROM bmk WHERE rank <= 5),
+    s AS (SELECT doc_id, s[i] AS s, i FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT.format(x='text')} AS s FROM documents WHERE doc_id IN (SELECT doc_id FROM r)))),
+    z AS ({_tokens_sql('(SELECT *, row_number() OVER () AS sid FROM s)', 'sid', 's', ', doc_id, s, i')}), qt AS ({_tokens_sql('benchmark', 'item_id', 'text')}),
+    cc AS (SELECT query_id, r.doc_id, s, i, row_number() OVER (PARTITION BY query_id, r.doc_id ORDER BY CASE WHEN len(q.t) > 0 THEN {_COVER} ELSE 0 END DESC, i) AS p FROM r JOIN z USING (doc_id) JOIN qt q ON q.item_id = query_id WHERE length(s) >= 20),
+    b AS (SELECT query_id, doc_id, string_agg(s, ' ' ORDER BY i) AS t FROM cc WHERE p <= 3 GROUP BY ALL)
+    SELECT query_id, doc_id, substr(coalesce(t, text), 1, 900) AS compressed, length(text)::INT AS original_chars, length(substr(coalesce(t, text), 1, 900))::INT AS compressed_chars FROM r JOIN documents USING (doc_id) LEFT JOIN b USING (query_id, doc_id)""",
+)
 def _(s, d):
     return rerank.compress(_with_text(_ranked(s, d, 5), s, d)).select("query_id", "doc_id", "compressed", "original_chars", "compressed_chars")
 
 
-@query("grade_retrieval")
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[A-Za-zÀ-ÖØ-öø-ÿ0-9_]{{3,}}'), lambda w: w NOT IN ('the','and','for','with','that','this','what','which','who','how','est','une','des','les','dans','pour','que','qui','quoi','comment','quelle','quel','quels','quelles','sur','avec','aux','du','de','la','le')))"
+
+
+@query(
+    "grade_retrieval",
+    f"""WITH {_BM25}, g AS (SELECT query_id, {_TERMS.format(x="any_value(b.text)")} AS q, flatten(list({_TERMS.format(x="d0.text")})) AS t, max(score) AS best FROM bmk JOIN benchmark b ON b.item_id = query_id JOIN documents d0 ON d0.doc_id = bmk.doc_id WHERE rank <= 5 GROUP BY query_id),
+    s AS (SELECT query_id, q, round(CASE WHEN len(q) = 0 THEN 1 ELSE greatest(len(list_intersect(q, t)) / len(q), least(greatest(best, 0), 1) * 0.5) END, 6) AS score FROM g)
+    SELECT query_id, score, score >= 0.08 AS passed, CASE WHEN len(q) = 0 THEN 'empty_query_terms' WHEN score >= 0.08 THEN 'lexical_overlap' ELSE 'low_overlap' END AS reason FROM s""",
+)
 def _(s, d):
     return rerank.grade_retrieval(_with_text(_ranked(s, d, 5), s, d))
 
@@ -565,7 +618,17 @@ def _(s, d):
     return sessions.exchanges(table(s, d, "conversations"))
 
 
-@query("standalone_queries")
+_FOLLOW = "^(" + "|".join(tx.FOLLOW_UP) + ")"
+
+
+@query(
+    "standalone_queries",
+    f"""WITH x AS (SELECT conv_id, turn, text AS question, coalesce(answer, '') AS a FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'),
+    h AS (SELECT *, list('Utilisateur: ' || question || chr(10) || 'Assistant: ' || substr(a, 1, 500)) OVER v AS h, last_value(question) OVER v AS lq, last_value(a) OVER v AS la FROM x WINDOW v AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT *, len(list_filter(string_split_regex(lower(trim(question)), '\\s+'), lambda w: w <> '')) <= 8 OR regexp_matches(lower(trim(question)), '{_FOLLOW}') OR regexp_matches(lower(trim(question)), ' ce document| ce contrat| cette clause| above| previous') AS is_follow_up FROM h)
+    SELECT conv_id, turn, is_follow_up, CASE WHEN h IS NULL OR len(h) = 0 THEN question WHEN is_follow_up THEN array_to_string(h, chr(10)) || chr(10) || 'Question de suivi: ' || question
+    ELSE 'Contexte conversationnel récent: utilisateur=' || lq || '; assistant=' || substr(la, 1, 300) || chr(10) || 'Question: ' || question END AS query FROM f""",
+)
 def _(s, d):
     return sessions.standalone_queries(table(s, d, "conversations"))
 
@@ -663,6 +726,50 @@ def _(s, d):
     return engine.multi_hop(docs, questions(s, d), lambda q, k: search.bm25_top_k(docs, q, k))
 
 
+# loops with a scripted model: its answers depend on what the prompt holds
+
+
+def _search(s: SparkSession, d: str) -> Callable[[DataFrame, int], DataFrame]:
+    return lambda q, k: search.bm25_top_k(table(s, d, "documents"), q, k)
+
+
+@query(
+    "adaptive_retrieval",
+    f"""WITH {_BM25}, g AS (SELECT item_id AS query_id, CASE WHEN contains(text, 'ei') THEN 'NO_RETRIEVE' ELSE 'RETRIEVE' END AS gate_decision, text AS used_query FROM benchmark)
+    SELECT query_id, doc_id, score, rank, gate_decision, used_query FROM bmk JOIN g USING (query_id) WHERE rank <= 5 AND gate_decision <> 'NO_RETRIEVE'""",
+)
+def _(s, d):
+    return loops.adaptive_retrieval(_search(s, d), questions(s, d), models.scripted_model({"ei": "NO_RETRIEVE"}, "RETRIEVE"))
+
+
+@query(
+    "routed_retrieval",
+    f"""WITH {_BM25}{_KEYWORD}, ch AS (SELECT item_id AS query_id, contains(text, 'ou') AS k FROM benchmark)
+    SELECT query_id, doc_id, score, rank, 'bm25' AS route_used FROM bmk JOIN ch USING (query_id) WHERE NOT k AND rank <= 5 UNION ALL SELECT query_id, doc_id, rerank_score, rank, 'keywords' FROM kwk JOIN ch USING (query_id) WHERE k AND rank <= 5""",
+)
+def _(s, d):
+    def choose(prompt):
+        return F.when(F.regexp_extract(prompt, "(?s)^Question : (.*)\\n\\nRoutes", 1).contains("ou"), "keywords").otherwise("bm25")
+
+    two = _lists(s, d)
+    routes = {n: federated.of_hits(h.select("query_id", "doc_id", "score", "rank")) for n, h in two.items()}
+    return loops.routed_retrieval(routes, questions(s, d), models.scripted_model({"Question : ": "bm25"}) if False else (lambda p: F.when(F.regexp_extract(p, "(?s)^Question : (.*)\n\nRoutes", 1).contains("ou"), "keywords").otherwise("bm25")), {"bm25": "by terms", "keywords": "by overlap"})
+
+
+@query(
+    "relevance_filter",
+    f"""WITH {_BM25}, n AS (SELECT query_id, doc_id, score, CASE WHEN contains(d0.text, 'ção') OR n_chars % 3 = 0 THEN NULL WHEN contains(d0.text, 'the') THEN 'pertinent' ELSE 'partiellement pertinent' END AS label FROM bmk JOIN documents d0 USING (doc_id) WHERE rank <= 10)
+    SELECT * FROM (SELECT query_id, doc_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY CASE label WHEN 'pertinent' THEN 0 ELSE 1 END, score DESC, doc_id) AS rank FROM n WHERE label IS NOT NULL) WHERE rank <= 5""",
+)
+def _(s, d):
+    def note(prompt):
+        text = F.regexp_extract(prompt, "(?s)\n\nDocument :\n(.*)\n\nDonne la pertinence", 1)
+        label = F.when(text.contains("ção") | (F.length(text) % 3 == 0), "non pertinent").when(text.contains("the"), "pertinent").otherwise("partiel")
+        return F.concat(F.lit("Pertinence: "), label)
+
+    return loops.relevance_filter(_search(s, d), table(s, d, "documents"), questions(s, d), note).drop("note")
+
+
 # streaming
 
 

@@ -6,110 +6,147 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .shared import pick
+from .shared import Scratch, pick, save_arrays
 
-#: Vectors per block; a pair of blocks is one task's unit of work.
+#: Vectors per stored block.
 BLOCK = 8192
+#: Every row whose id is divisible by this is a query.
+EVERY = 50
+#: Queries of one task: at least and at most.
+QUERIES = 64, 2048
 #: Queries that share one accumulation, and dimensions added between two prunings.
 GROUP, STEP = 64, 16
 
 
-def block_top_k(queries: np.ndarray, columns: np.ndarray, k: int, same: np.ndarray | None = None, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest columns (squared L2, float64) of each query: (query, column, distance) triples, a few beyond k where they tie.
+def _slack(worst: float) -> float:
+    """A squared distance up to which a candidate can still equal worst once both are rounded to nine decimals."""
+    return worst + 1e-8 * (1 + worst)
 
-    columns: vertical layout, one row per dimension. Distances grow dimension block by block. After each, a
-    candidate's distance lies between partial + (|q'| - |x'|)^2 and partial + (|q'| + |x'|)^2, with q' and x' the
-    dimensions still to come; candidates whose lower bound exceeds the k-th smallest upper bound are dropped and the
-    survivors compacted. same: for each query the column that is the query itself and must be left out (-1: none).
+
+class Nearest:
+    """The k nearest columns of each query so far; blocks are added one after another, and what is known prunes the next.
+
+    Within a block distances grow dimension block by block over its vertical layout. After each, a candidate's squared
+    distance lies between partial + (|q'| - |x'|)^2 and partial + (|q'| + |x'|)^2, with q' and x' the dimensions still to come;
+    candidates whose lower bound exceeds the k-th smallest upper bound, or the k-th distance of the blocks before, are dropped
+    and the survivors compacted.
     """
-    d, n = columns.shape
-    rest_x = np.sqrt(np.maximum(np.cumsum((columns**2)[::-1], axis=0)[::-1], 0))  # row i: norm over dimensions i..
-    rest_q = np.sqrt(np.maximum(np.cumsum((queries**2)[:, ::-1], axis=1)[:, ::-1], 0))
-    out = [], [], []
-    for lo in range(0, len(queries), GROUP):
-        q = queries[lo : lo + GROUP]
-        # the first block of dimensions for the group at once, then each query on its own survivors
-        first = columns[:step]
-        part = (q[:, :step] ** 2).sum(1)[:, None] + (first**2).sum(0)[None, :] - 2 * (q[:, :step] @ first)
-        for i in range(len(q)):
-            acc, alive, at = np.maximum(part[i], 0), None, min(step, d)
-            if same is not None and same[lo + i] >= 0:
-                acc[same[lo + i]] = np.inf
-            while at < d:
-                rq = rest_q[lo + i, at]
-                rx = rest_x[at] if alive is None else rest_x[at][alive]
-                if len(acc) > k:
-                    worst = np.partition(acc + (rq + rx) ** 2, k - 1)[k - 1]
-                    keep = np.flatnonzero(acc + (rq - rx) ** 2 <= worst * (1 + 1e-9) + 1e-12)
-                    acc, alive = acc[keep], keep if alive is None else alive[keep]
-                elif alive is None:
-                    alive = np.arange(n)
-                upto = min(d, at + step)
-                block = columns[at:upto][:, alive] if alive is not None else columns[at:upto]
-                acc = acc + ((block - q[i, at:upto, None]) ** 2).sum(0)
-                at = upto
-            alive = np.arange(n) if alive is None else alive
-            # exact distances of the survivors, added in one order so that equal vectors tie
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, step: int = STEP):
+        self.q, self.ids, self.k, self.step = queries, ids, k, step
+        self.rest = np.sqrt(np.maximum(np.cumsum((queries**2)[:, ::-1], axis=1)[:, ::-1], 0))
+        self.distance, self.neighbor = [np.zeros(0)] * len(queries), [np.zeros(0, np.int64)] * len(queries)
+        self.bound = np.full(len(queries), np.inf)
+
+    def add(self, columns: np.ndarray, ids: np.ndarray, rest: np.ndarray) -> None:
+        """columns (d, n): one row per dimension; ids of the n vectors, sorted; rest (d, n): norms over dimensions i and on."""
+        d, n = columns.shape
+        own = np.searchsorted(ids, self.ids)
+        own[(own == n) | (ids[np.minimum(own, n - 1)] != self.ids)] = -1
+        for lo in range(0, len(self.q), GROUP):
+            q = self.q[lo : lo + GROUP]
+            # the first block of dimensions for the group at once, then each query on its own survivors
+            first = columns[: self.step]
+            part = (q[:, : self.step] ** 2).sum(1)[:, None] + (first**2).sum(0)[None, :] - 2 * (q[:, : self.step] @ first)
+            for i in range(len(q)):
+                self._one(lo + i, np.maximum(part[i], 0), columns, ids, rest, int(own[lo + i]))
+
+    def _one(self, i: int, acc: np.ndarray, columns: np.ndarray, ids: np.ndarray, rest: np.ndarray, own: int) -> None:
+        d, k, q, at = len(columns), self.k, self.q[i], min(self.step, len(columns))
+        alive = np.arange(len(ids))
+        if own >= 0:
+            alive = np.delete(alive, own)
+            acc = acc[alive]
+        while at < d and len(alive):
+            rq, rx = self.rest[i, at], rest[at][alive]
+            worst = self.bound[i]
             if len(acc) > k:
-                worst = np.partition(acc, k - 1)[k - 1]
-                near = acc <= worst * (1 + 1e-9) + 1e-12
-                acc, alive = acc[near], alive[near]
-            real = np.isfinite(acc)
-            alive = alive[real]
-            exact = ((columns[:, alive] - q[i][:, None]) ** 2).sum(0)
-            out[0].append(np.full(len(alive), lo + i))
-            out[1].append(alive)
-            out[2].append(exact)
-    cat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-    return cat[0].astype(np.int64), cat[1].astype(np.int64), cat[2].astype(np.float64)
-
-
-def exact_top_k(vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """For each vector its k nearest other vectors by L2 distance: (vec_id, neighbor_id, rank, distance).
-
-    Every row is a query. Rank 1 is the nearest; equal distances (to nine decimals) go by neighbor_id. A row is not its
-    own neighbour, but another row with the same values is, at distance 0.
-
-    Defined results: rows whose vector is null, empty, of another length than most or holds a null or a value that is
-    not finite are left out, as queries and as neighbours; so are rows with a null vec_id. Rows with the same vec_id
-    count as one vector, that with the least values. With fewer than k others, all are returned. An empty
-    table gives an empty result.
-
-    At scale: both sides are cut into blocks by a hash of vec_id; each pair of blocks is one group, so a task holds two
-    blocks whatever the table's size, nothing is broadcast, and the shuffle is vectors times blocks. An exact
-    all-pairs search is quadratic in work; the bounds cut dimensions, not pairs.
+                worst = min(worst, np.partition(acc + (rq + rx) ** 2, k - 1)[k - 1])
+            if worst < np.inf:
+                keep = np.flatnonzero(acc + (rq - rx) ** 2 <= _slack(worst))
+                acc, alive = acc[keep], alive[keep]
+            upto = min(d, at + self.step)
+            acc = acc + ((columns[at:upto][:, alive] - q[at:upto, None]) ** 2).sum(0)
+            at = upto
+        # exact distances of the survivors, added in one order so that equal vectors tie
+        exact = ((columns[:, alive] - q[:, None]) ** 2).sum(0)
+        near = np.concatenate([self.distance[i], np.sqrt(exact).round(9)])
+        who = np.concatenate([self.neighbor[i], ids[alive]])
+        best = np.lexsort((who, near))[:k]
+        self.distance[i], self.neighbor[i] = near[best], who[best]
+        if len(best) == k:
+            self.bound[i] = near[best[-1]] ** 2
+
+
+def exact_top_k(vectors: DataFrame, k: int = 10, every: int = EVERY, block: int = BLOCK) -> DataFrame:
+    """The k nearest other vectors by L2 distance, among all rows, of each row whose id is divisible by every: (vec_id, neighbor_id, rank, distance).
+
+    Rank 1 is the nearest; equal distances (to nine decimals) go by neighbor_id; distance has six decimals. A row is not its own
+    neighbour, but another row with the same values is, at distance 0. Vectors are compared with those of their own length.
+
+    Defined results: rows whose vector is null, empty or holds a null or a value that is not finite are left out, as queries
+    and as neighbours; so are rows with a null vec_id. Rows with the same vec_id count as one vector, that with the least values.
+    With fewer than k others, all are returned. An empty table gives an empty result.
+
+    At scale: vectors are shuffled once, into blocks that are stored column by column in the shared folder. A task holds some
+    queries and walks all blocks of their length as mapped files, one in memory at a time, each pruned by the k-th distances of those before; its
+    queries are then done, so candidates are never shuffled and nothing is broadcast. Exact search is work in proportion to
+    queries times vectors; the bounds cut dimensions, not pairs.
     """
     spark = vectors.sparkSession
     rows = pick(vectors, "vec_id", "embedding").where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()
-    schema = "vec_id bigint, neighbor_id bigint, distance double"
-    if not sizes:
-        return spark.createDataFrame([], "vec_id bigint, neighbor_id bigint, rank int, distance double")
-    d, n = sizes[0]["d"], sizes[0]["count"]
-    blocks = max(1, -(-n // block))
-    rows = rows.where(F.size("v") == d).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("c", other)
-    right = rows.select(F.col("vec_id").alias("x_id"), F.col("v").alias("x"), F.col("b").alias("x_c"), other.alias("x_b"))
-
-    def search(key, a, b):
-        if not a.num_rows or not b.num_rows:  # a block that the hash left empty
-            return pa.table({"vec_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        q = a["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-        x = b["x"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-        qi, xi = a["vec_id"].to_numpy(), b["x_id"].to_numpy()
-        same = None
-        if key[0].as_py() == key[1].as_py():
-            order = np.argsort(xi)
-            same = order[np.searchsorted(xi[order], qi)]
-        i, j, dist = block_top_k(q, np.ascontiguousarray(x.T), k, same)
-        return pa.table({"vec_id": pa.array(qi[i], pa.int64()), "neighbor_id": pa.array(xi[j], pa.int64()), "distance": pa.array(dist, pa.float64())})
-
-    found = left.groupBy("b", "c").cogroup(right.groupBy("x_b", "x_c")).applyInArrow(search, schema)
-    found = found.withColumn("distance", F.round(F.sqrt("distance"), 9))
-    turn = F.row_number().over(W.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", turn).where(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", F.round("distance", 6).alias("distance"))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+    scratch = Scratch(spark, "topk")
+    rows = scratch.table(rows, "vectors")
+    n_of = {r["d"]: (r["n"], r["q"] or 0) for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("bigint")).alias("q")).collect()}
+    folder = f"{scratch.path}/blocks"
+
+    def by_length(f) -> F.Column:
+        made = F.lit(1)
+        for d, (n, q) in n_of.items():
+            made = F.when(F.col("d") == d, f(n, q)).otherwise(made)
+        return made
+
+    def store(key, table):
+        d = key[0].as_py()
+        x, ids = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, d), table["vec_id"].to_numpy()
+        order = np.argsort(ids)
+        columns = np.ascontiguousarray(x[order].T)
+        rest = np.sqrt(np.maximum(np.cumsum((columns**2)[::-1], axis=0)[::-1], 0))[::STEP]
+        return pa.table({"d": pa.array([d], pa.int32()), "file": [save_arrays(folder, {"columns": columns, "ids": ids[order], "rest": rest})]})
+
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), by_length(lambda n, _: -(-n // block))))
+    files: dict[int, list[str]] = {}
+    for r in placed.groupBy("d", "block").applyInArrow(store, "d int, file string").collect():  # one row per block
+        files.setdefault(r["d"], []).append(r["file"])
+
+    def search(key, table):
+        d = key[0].as_py()
+        ids = table["vec_id"].to_numpy()
+        found = Nearest(table["v"].combine_chunks().flatten().to_numpy().reshape(-1, d), ids, k)
+        for f in files[d]:
+            rest = np.load(f"{folder}/{f}.rest.npy", mmap_mode="r")
+            found.add(np.load(f"{folder}/{f}.columns.npy", mmap_mode="r"), np.load(f"{folder}/{f}.ids.npy"), _Every(rest))
+        n = np.array([len(x) for x in found.distance])
+        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+        return pa.table({"vec_id": pa.array(np.repeat(ids, n), pa.int64()), "neighbor_id": pa.array(np.concatenate(found.neighbor), pa.int64()), "rank": pa.array(rank.astype(np.int32)), "distance": pa.array(np.concatenate(found.distance).round(6))})
+
+    cores = spark.sparkContext.defaultParallelism
+    per = by_length(lambda _, q: -(-q // min(QUERIES[1], max(QUERIES[0], -(-q // (4 * cores))))) or 1)
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), per))
+    out = scratch.table(asked.groupBy("d", "part").applyInArrow(search, "vec_id bigint, neighbor_id bigint, rank int, distance double"), "found")
+    for done in ("blocks", "vectors"):
+        scratch.drop(done)
+    return out
+
+
+class _Every:
+    """Norms of the rest at each STEP dimensions, asked for by dimension."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+
+    def __getitem__(self, at: int) -> np.ndarray:
+        return self.rows[at // STEP]

@@ -34,7 +34,8 @@ def index_stream(spark: SparkSession, path: str, checkpoint: str, handle: Callab
 
 def event_windows(events: DataFrame, width: str = "1 day", watermark: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) of tumbling windows over events (ts, event_type, value), batch or stream."""
-    kept = events.withWatermark("ts", watermark) if events.isStreaming else events
+    # a watermark needs an instant; times without a zone are taken in the session's
+    kept = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if events.isStreaming else events
     counted = kept.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10000).cast("bigint")).alias("t"))
     return counted.select(F.col("w.start").alias("start"), "event_type", "n", F.round(F.col("t") / 10000, 4).alias("total"))
 

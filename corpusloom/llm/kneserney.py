@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .kernels import mix, slices, span_hash, text_bytes, tokens
 from .ngramjoin import pack_sorted, summed, unpack_sorted
-from .shared import U64, Scratch, pick, save_arrays, shard_bits, shard_of
+from .shared import U64, Maps, Scratch, pick, save_arrays, shard_bits, shard_of
 
 #: Trigram entries that one task merges, and that a map task gathers before it sends them.
 SHARD_ENTRIES, FLUSH = 1_500_000, 3_000_000
@@ -28,52 +28,136 @@ def triple_key(xy: np.ndarray, z: np.ndarray) -> np.ndarray:
     return mix(xy * _B + z)
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, w, first): the words of all documents with the two before each."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(w, first): the words of all documents and, for each document, the number of its first."""
     starts, ends, first = tokens(data, offsets)
-    w = span_hash(data, starts, ends) & _WORD
+    return span_hash(data, starts, ends) & _WORD, first
+
+
+def two_before(w: np.ndarray, first: np.ndarray, start) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): the two words before each; start stands for those before a document."""
     v, u = np.empty_like(w), np.empty_like(w)
     v[1:], u[2:] = w[:-1], w[:-2]
     heads = first[:-1][np.diff(first) > 0]
     seconds = first[:-1][np.diff(first) > 1] + 1
-    v[heads], u[heads], u[seconds] = _START, _START, _START
-    return u, v, w, first
+    v[heads], u[heads], u[seconds] = start, start, start
+    return u, v
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def _encode(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Entries as ids in a dictionary of their words, by falling frequency, byte plane by byte plane, compressed."""
-    words, ids, count = np.unique(np.concatenate([u, v, w]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(words), np.int64)
-    order = np.argsort(-count, kind="stable")
-    rank[order] = np.arange(len(words))
-    ids = rank[ids].astype("<u4").reshape(3, -1)
-    order_ids = np.lexsort((ids[2], ids[0], ids[1]))
-    ids, c = np.ascontiguousarray(ids[:, order_ids]), c[order_ids]
-    names = words[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    width = 2 if len(words) <= 1 << 16 else 3 if len(words) <= 1 << 24 else 4
-    planes = ids.view(np.uint8).reshape(3, -1, 4)[:, :, :width].transpose(0, 2, 1).tobytes()
-    body = names + planes + c.astype("<u4").tobytes()
-    return np.array([len(words), len(u), width, len(body)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def _decode(blob: bytes) -> list[np.ndarray]:
-    m, n, width, size = np.frombuffer(blob[:32], np.int64)
-    body = np.frombuffer(pa.decompress(blob[32:], decompressed_size=int(size), codec="zstd"), np.uint8)
-    names = np.zeros((m, 8), np.uint8)
-    names[:, :6] = body[: 6 * m].reshape(m, 6)
-    words = names.view("<u8").ravel()
-    ids = np.zeros((3, n, 4), np.uint8)
-    ids[:, :, :width] = body[6 * m : 6 * m + 3 * n * width].reshape(3, width, n).transpose(0, 2, 1)
-    ids = ids.view("<u4")[:, :, 0]
-    return [words[ids[0]], words[ids[1]], words[ids[2]], np.frombuffer(body[6 * m + 3 * n * width :].tobytes(), "<u4").astype(np.int64)]
+def _bytes_of(values: np.ndarray) -> bytes:
+    """Non-negative integers as one byte each; those of 255 or more follow, with their places."""
+    wide = np.flatnonzero(values > 254)
+    return np.int64(len(wide)).tobytes() + np.minimum(values, 255).astype(np.uint8).tobytes() + wide.astype("<u4").tobytes() + values[wide].astype("<u4").tobytes()
+
+
+def _bytes_to(body: np.ndarray, at: int, n: int) -> tuple[np.ndarray, int]:
+    """(values, where they end) of _bytes_of."""
+    m = int(np.frombuffer(body[at : at + 8].tobytes(), np.int64)[0])
+    out = body[at + 8 : at + 8 + n].astype(np.int64)
+    at += 8 + n
+    if m:
+        out[np.frombuffer(body[at : at + 4 * m].tobytes(), "<u4")] = np.frombuffer(body[at + 4 * m : at + 8 * m].tobytes(), "<u4")
+    return out, at + 8 * m
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low width bytes of whole numbers, byte plane by byte plane."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(body: np.ndarray, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = body[at : at + n * width].reshape(width, n).T
+    return out.view("<u8")[:, 0], at + n * width
+
+
+def _encode(names: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """Entries u v w (ids into names, which are sorted) with counts c, compressed.
+
+    Sorted by v, u, w: each v once, as the gap to the one before, with the length of its run; u as steps within a run. Words
+    that u and w name more than once have codes by falling frequency; the others have code 0 and follow in order of use.
+    """
+    times = np.bincount(np.concatenate([u, w]), minlength=len(names))
+    often = np.flatnonzero(times > 1)
+    often = often[np.argsort(-times[often], kind="stable")]
+    code = np.zeros(len(names), np.int64)
+    code[often] = np.arange(1, len(often) + 1)
+    order = _order(v, code[u], code[w], len(names) + 1)
+    u, v, w, c = u[order], v[order], w[order], c[order]
+    uc, wc = code[u], code[w]
+    head = _runs(v)
+    step = np.diff(uc, prepend=0)
+    step[head] = uc[head]
+    width = 2 if len(often) < 1 << 16 else 4
+    body = _planes(np.diff(names[v[head]], prepend=U64(0)), 6) + _bytes_of(np.diff(np.append(head, len(v))))
+    body += _planes(names[np.concatenate([often, u[uc == 0], w[wc == 0]])], 6) + _planes(wc, width) + _planes(step, width) + _bytes_of(c)
+    return np.array([len(often), len(u), len(head), int((uc == 0).sum()), int((wc == 0).sum()), width, len(body)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _decode(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(names, [u, v, w, counts]): ids into names, in which a word may be more than once."""
+    m, n, runs, u_once, w_once, width, size = np.frombuffer(blob[:56], np.int64).tolist()
+    body = np.frombuffer(pa.decompress(blob[56:], decompressed_size=size, codec="zstd"), np.uint8)
+    gaps, at = _from_planes(body, 0, runs, 6)
+    run, at = _bytes_to(body, at, runs)
+    names, at = _from_planes(body, at, m + u_once + w_once, 6)
+    wc, at = _from_planes(body, at, n, width)
+    step, at = _from_planes(body, at, n, width)
+    c, _ = _bytes_to(body, at, n)
+    step = step.astype(np.int64)
+    sums, head = np.cumsum(step), np.cumsum(run) - run
+    u, w = sums - np.repeat(sums[head] - step[head], run) - 1, wc.astype(np.int64) - 1
+    u[u < 0] = np.arange(m, m + u_once)
+    w[w < 0] = np.arange(m + u_once, m + u_once + w_once)
+    return np.concatenate([names, np.cumsum(gaps)]), [u, np.repeat(np.arange(len(names), len(names) + runs), run), w, c]
+
+
+def _encode_part(names: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """_encode over the words that are there only."""
+    there, ids = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+    u, v, w = ids.reshape(3, -1)
+    return _encode(names[there], u, v, w, c)
+
+
+def _encode_words(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    """Pairs of word hashes as entries v v w."""
+    names, ids = np.unique(np.concatenate([v, w]), return_inverse=True)
+    v, w = ids.reshape(2, -1)
+    return _encode(names, v, v, w, c)
+
+
+def _order(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> np.ndarray:
+    """The order by (a, b, c), all below top; one sort of packed keys where they fit 64 bits."""
+    bits = max(1, int(top - 1).bit_length()) if top > 1 else 1
+    if 3 * bits <= 63:
+        return np.argsort((a << (2 * bits)) | (b << bits) | c, kind="stable")
+    return np.lexsort((c, b, a))
+
+
+def _gathered(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(names, [u, v, w, counts]) of several decoded blobs, with one id per word and the counts of equal entries added up."""
+    names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+    u, v, w = (np.concatenate([at[edges[k] : edges[k + 1]][p[1][i]] for k, p in enumerate(parts)]) for i in range(3))
+    c = np.concatenate([p[1][3] for p in parts])
+    order = _order(v, u, w, len(names))
+    u, v, w, c = u[order], v[order], w[order], c[order]
+    new = np.ones(len(u), dtype=bool)
+    new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    head = np.flatnonzero(new)
+    return names, [u[head], v[head], w[head], np.add.reduceat(c, head)]
+
+
+#: Bits of a packed key beside the code of its values; the code 7 sends to a list of exceptions.
+_LOW_BITS, _RARE = 29, 7
 
 
 def _table(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of one table: sorted keys as 16 bits of index and 32 stored bits, values (n, k) through a dictionary."""
+    """Arrays of one table: sorted keys as 16 bits of index and 29 stored bits, 3 bits of code for the commonest values (n, k), and the places of the others."""
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     index = np.searchsorted(keys >> U64(48), np.arange((1 << 16) + 1, dtype=U64)).astype(np.uint32)
@@ -82,29 +166,33 @@ def _table(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndar
     for k in range(values.shape[1]):
         code = (code << (60 // values.shape[1])) | values[:, k]
     code[~small] = -1 - np.flatnonzero(~small)
-    _, at, idx = np.unique(code, return_index=True, return_inverse=True)
+    _, at, idx, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    turn = np.argsort(-times, kind="stable")
+    rank = np.empty(len(turn), np.int64)
+    rank[turn] = np.arange(len(turn))
+    idx, at = rank[idx], at[turn]
+    rare = np.flatnonzero(idx >= _RARE)
     kind = np.uint8 if len(at) <= 1 << 8 else np.uint16 if len(at) <= 1 << 16 else np.uint32
-    return {f"{name}.index": index, f"{name}.low": ((keys >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32), f"{name}.idx": idx.astype(kind), f"{name}.dict": values[at]}
+    low = (((keys >> U64(48 - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)) << U64(3)) | np.minimum(idx, _RARE).astype(U64)
+    return {f"{name}.index": index, f"{name}.low": low.astype(np.uint32), f"{name}.rare": rare.astype(np.uint32), f"{name}.idx": idx[rare].astype(kind), f"{name}.dict": values[at]}
 
 
 class _Mapped:
     """Tables of one shard in mapped files."""
 
-    def __init__(self, path: str):
-        self.path, self.arrays = path, {}
+    def __init__(self, path: str, maps: Maps):
+        self.path, self.maps = path, maps
 
     def get(self, name: str) -> np.ndarray:
-        if name not in self.arrays:
-            self.arrays[name] = np.load(f"{self.path}.{name}.npy", mmap_mode="r")
-        return self.arrays[name]
+        return self.maps.get(f"{self.path}.{name}.npy")
 
     def find(self, table: str, keys: np.ndarray) -> np.ndarray:
         """(n, k) values; a row of zeros where the key is not there."""
-        low, index, idx, values = (self.get(f"{table}.{x}") for x in ("low", "index", "idx", "dict"))
+        low, index, rare, idx, values = (self.get(f"{table}.{x}") for x in ("low", "index", "rare", "idx", "dict"))
         out = np.zeros((len(keys), values.shape[1]), np.int64)
         if not len(low):
             return out
-        bucket, want = (keys >> U64(48)).astype(np.int64), ((keys >> U64(16)) & U64(0xFFFFFFFF)).astype(np.uint32)
+        bucket, want = (keys >> U64(48)).astype(np.int64), ((keys >> U64(48 - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)).astype(np.uint32)
         lo, hi = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
         end = hi.copy()
         while True:
@@ -112,12 +200,16 @@ class _Mapped:
             if not open_.any():
                 break
             mid = (lo + hi) >> 1
-            less = open_ & (low[np.minimum(mid, len(low) - 1)] < want)
+            less = open_ & ((low[np.minimum(mid, len(low) - 1)] >> 3) < want)
             lo = np.where(less, mid + 1, lo)
             hi = np.where(open_ & ~less, mid, hi)
-        hit = lo < end
-        hit[hit] = low[lo[hit]] == want[hit]
-        out[hit] = values[idx[lo[hit]]]
+        hit = np.flatnonzero(lo < end)
+        got = low[lo[hit]]
+        same = (got >> 3) == want[hit]
+        hit, code = hit[same], (got[same] & 7).astype(np.int64)
+        far = np.flatnonzero(code == _RARE)
+        code[far] = idx[np.searchsorted(rare, lo[hit[far]])]
+        out[hit] = values[code]
         return out
 
 
@@ -148,10 +240,7 @@ class KneserNey:
 
     def __init__(self, folder: str, bits: int, files: dict[str, dict[int, str]], unigram_bits: int, hot: np.ndarray, hot_profile: np.ndarray, d: list[np.ndarray], unigrams: int, words: int):
         self.folder, self.bits, self.files, self.unigram_bits = folder, bits, files, unigram_bits
-        self.hot, self.hot_profile, self.d, self.unigrams, self.words, self._open = hot, hot_profile, d, unigrams, words, {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_open": {}}
+        self.hot, self.hot_profile, self.d, self.unigrams, self.words, self.maps = hot, hot_profile, d, unigrams, words, Maps()
 
     def _lookup(self, kind: str, table: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((len(keys), width), np.int64)
@@ -162,10 +251,8 @@ class KneserNey:
             name = self.files[kind].get(int(s))
             if name is None:
                 continue
-            if name not in self._open:
-                self._open[name] = _Mapped(f"{self.folder}/{name}")
             at = order[edges[s] : edges[s + 1]]
-            out[at] = self._open[name].find(table, keys[at])
+            out[at] = _Mapped(f"{self.folder}/{name}", self.maps).find(table, keys[at])
         return out
 
     def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -221,23 +308,37 @@ def _blobs(kind: str, shard: np.ndarray, bits: int, make) -> list[tuple]:
     return [(kind, int(s), None, make(order[edges[s] : edges[s + 1]]), None) for s in np.flatnonzero(np.diff(edges))]
 
 
+def _kept(folder: str, blobs: list[tuple]) -> list[tuple]:
+    """The blobs' rows with a place in one file of the shared folder instead of the bytes."""
+    if not blobs:
+        return []
+    size = np.array([len(b[3]) for b in blobs])
+    name = save_arrays(folder, {"blobs": np.frombuffer(b"".join(b[3] for b in blobs), np.uint8)})
+    return [(kind, shard, name, None, [int(at), int(n)]) for (kind, shard, *_), at, n in zip(blobs, np.cumsum(size) - size, size, strict=True)]
+
+
+def _read(folder: str, table: pa.Table) -> list[bytes]:
+    """The bytes of rows of _kept."""
+    return [np.load(f"{folder}/{f}.blobs.npy", mmap_mode="r")[at : at + n].tobytes() for f, (at, n) in zip(table["file"].to_pylist(), table["stats"].to_pylist(), strict=True)]
+
+
 def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES) -> KneserNey:
     """Counts all trigrams of all documents and stores the model in scratch; see score_documents."""
     spark = docs.sparkSession
     rows = pick(docs, "text")
     size, n_docs = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = shard_bits((size or 0) // 7, shard_entries)
-    folder = f"{scratch.path}/model"
+    folder, parts_folder = f"{scratch.path}/model", f"{scratch.path}/parts"
 
     def each(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(0))
             for i, j in slices(offsets):
-                yield trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     def drawn_words(batches):
-        for _, v, _, _ in each(batches):
-            word, n = np.unique(v, return_counts=True)
+        for w, first in each(batches):
+            word, n = np.unique(two_before(w, first, _START)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
     one_in = max(1, n_docs // HOT_SAMPLE)
@@ -250,22 +351,28 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
         held, n = [], 0
 
         def flush():
-            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-            shard = _shard(u, v, hot, bits)
-            key = triple_key(pair_key(u, v), w)
-            order = np.lexsort((key, shard))
-            head = _runs(key[order])
-            count = np.diff(np.append(head, len(key)))
-            at = order[head]
-            u, v, w, shard = u[at], v[at], w[at], shard[at]
-            return _rows(_blobs("count", shard, bits, lambda x: _encode(u[x], v[x], w[x], count[x])))
-
-        for u, v, w, _ in each(batches):
-            held.append((u, v, w))
+            words = np.concatenate([*(w for w, _ in held), np.array([_START], U64)])
+            first = np.cumsum(np.concatenate([[0], *(np.diff(f) for _, f in held)]))
+            held.clear()
+            names, w = np.unique(words, return_inverse=True)
+            start, w = w[-1], w[:-1]
+            u, v = two_before(w, first, start)
+            order = _order(v, u, w, len(names))
+            u, v, w = u[order], v[order], w[order]
+            new = np.ones(len(u), dtype=bool)
+            new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+            head = np.flatnonzero(new)
+            count = np.diff(np.append(head, len(u)))
+            u, v, w = u[head], v[head], w[head]
+            shard = _shard(names[u], names[v], hot, bits)
+            return _rows(_blobs("count", shard, bits, lambda x: _encode_part(names, u[x], v[x], w[x], count[x])))
+
+        for w, first in each(batches):
+            held.append((w, first))
             n += len(w)
             if n >= FLUSH:
                 yield from flush().to_batches()
-                held, n = [], 0
+                n = 0
         if n:
             yield from flush().to_batches()
 
@@ -274,55 +381,47 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
         word, profile = _profile(v, n)
         ones, times = summed(mix(w), np.ones(len(w), np.int64))
         out = _blobs("one", shard_of(ones, unigram_bits), unigram_bits, lambda x: pack_sorted(ones[x] >> U64(16), times[x]))
-        return (word, profile), [*out, ("pairs", 0, None, None, _tally(n))]
+        return (word, profile), [*_kept(parts_folder, out), ("pairs", 0, None, None, _tally(n))]
 
     unigram_bits = max(0, bits - 2)
 
     def merge(key, table):
-        parts = [_decode(x) for x in table["blob"].to_pylist()]
-        u, v, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        uv = pair_key(u, v)
-        triple = triple_key(uv, w)
-        order = np.argsort(triple, kind="stable")
-        head = _runs(triple[order])
-        c = np.add.reduceat(c[order], head)
-        at = order[head]
-        triple, uv, v, w = triple[at], uv[at], v[at], w[at]
-        del u, order, head, at
+        names, (u, v, w, c) = _gathered([_decode(x) for x in table["blob"].to_pylist()])
+        # contexts and pairs by their ids: entries are sorted by (v, u, w)
+        head = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]))
+        part = np.diff(np.append(head, len(v)))
+        uv = pair_key(names[u[head]], names[v[head]])
+        triple = triple_key(np.repeat(uv, part), names[w])
         arrays = _table("triple", triple, c[:, None])
         rows = [("triples", 0, None, None, _tally(c))]
-        context, profile = _profile(uv, c)
-        arrays |= _table("context", context, profile)
-        del triple, uv, context, profile, c
+        profile = np.stack([np.add.reduceat(x.astype(np.int64), head) for x in (c, c == 1, c == 2, c > 2)], axis=1)
+        arrays |= _table("context", uv, profile)
+        del triple, uv, profile, c
+        order = _order(np.zeros_like(v), v, w, len(names))
+        v, w = v[order], w[order]
+        at = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+        n = np.diff(np.append(at, len(v)))
+        v, w = names[v[at]], names[w[at]]
         vw = pair_key(v, w)
-        order = np.argsort(vw, kind="stable")
-        head = _runs(vw[order])
-        n, at = np.diff(np.append(head, len(vw))), order[head]
-        vw, v, w = vw[at], v[at], w[at]
         is_hot = np.isin(v, hot)
         cold = ~is_hot
         (word, profile), more = after_pairs(v[cold], w[cold], n[cold])
         arrays |= _table("pair", vw[cold], n[cold][:, None]) | _table("word", mix(word), profile)
         rows += more
         v, w, n, vw = v[is_hot], w[is_hot], n[is_hot], vw[is_hot]
-        rows += _blobs("hot", shard_of(vw, bits), bits, lambda x: _encode(v[x], v[x], w[x], n[x]))
+        rows += _kept(parts_folder, _blobs("hot", shard_of(vw, bits), bits, lambda x: _encode_words(v[x], w[x], n[x])))
         return _rows([("main", key[0].as_py(), save_arrays(folder, arrays), None, None), *rows])
 
     def merge_hot(key, table):
-        parts = [_decode(x) for x in table["blob"].to_pylist()]
-        _, v, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names, (_, v, w, n) = _gathered([_decode(x) for x in _read(parts_folder, table)])
+        v, w = names[v], names[w]
         vw = pair_key(v, w)
-        order = np.argsort(vw, kind="stable")
-        head = _runs(vw[order])
-        n, at = np.add.reduceat(n[order], head), order[head]
-        v, w, vw = v[at], w[at], vw[at]
         (word, profile), rows = after_pairs(v, w, n)
         rows += [("word", 0, None, None, [x, *p]) for x, p in zip(word.view(np.int64).tolist(), profile.tolist(), strict=True)]
         return _rows([("hot", key[0].as_py(), save_arrays(folder, _table("pair", vw, n[:, None])), None, None), *rows])
 
     def merge_ones(key, table):
-        parts = [unpack_sorted(x) for x in table["blob"].to_pylist()]
+        parts = [unpack_sorted(x) for x in _read(parts_folder, table)]
         keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
         file = save_arrays(folder, _table("one", keys << U64(16), n[:, None]))
         return _rows([("one", key[0].as_py(), file, None, [*_tally(n), int((n > 2).sum()), int(n.sum()), len(n)])])
@@ -333,8 +432,8 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
     ones = counted.where("kind = 'one'").unionByName(hot_rows.where("kind = 'one'")).groupBy("shard").applyInArrow(merge_ones, _SCHEMA).drop("blob").collect()
     small = counted.where("kind in ('main', 'triples', 'pairs')").drop("blob").collect() + hot_rows.where("kind in ('hot', 'pairs')").drop("blob").collect()
     profile = {r.stats[0]: r.stats[1:] for r in hot_rows.where("kind = 'word'").groupBy(F.col("stats")[0].alias("w")).agg(F.array("w", *[F.sum(F.col("stats")[k]) for k in range(1, 5)]).alias("stats")).collect()}
-    scratch.drop("counted")
-    scratch.drop("hot")
+    for done in ("counted", "hot", "parts"):
+        scratch.drop(done)
     tally = lambda kind: [sum(r.stats[k] for r in small if r.kind == kind) for k in range(4)]
     unigram = [sum(r.stats[k] for r in ones) for k in range(7)] if ones else [0] * 7
     files = {"main": {r.shard: r.file for r in small if r.kind == "main"}, "hot": {r.shard: r.file for r in small if r.kind == "hot"}, "one": {r.shard: r.file for r in ones}}
@@ -352,8 +451,9 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-            for i, j in slices(offsets):
-                u, v, w, first = trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j in slices(offsets, 1 << 21):
+                w, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                u, v = two_before(w, first, _START)
                 p = model.log_probabilities(u, v, w)
                 count[i:j] = np.diff(first)
                 full = np.flatnonzero(count[i:j])

@@ -86,7 +86,7 @@ def save_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
 class Maps:
     """Mapped arrays by path, the latest OPEN of them; those not used for longest are let go."""
 
-    OPEN = 1024
+    OPEN = 20_000
 
     def __init__(self):
         self._open: OrderedDict[str, np.ndarray] = OrderedDict()

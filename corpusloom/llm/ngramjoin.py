@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from .components import components
 from .kernels import doc_of, inside, mix, slices, span_hash, text_bytes, tokens, window_hash
-from .shared import U64, HashTable, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
+from .shared import U64, HashTable, Maps, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: Words per n-gram and the least Jaccard similarity of a pair.
 N, SIMILARITY = 3, 0.5
 #: n-gram entries that one task counts or indexes.
 SHARD_ENTRIES = 4_000_000
-#: Entries that a map task gathers before it sorts and sends them.
-FLUSH = 4_000_000
+#: Entries that a map task gathers before it sorts and sends them, or writes them.
+FLUSH = 1_500_000
 _LOW = U64((1 << 48) - 1)
 _NO_DOC = np.iinfo(np.int64).min
 
@@ -83,9 +83,13 @@ def count_repeated(rows: DataFrame, scratch: Scratch, n: int, bits: int) -> Hash
         size = 0
 
         def flush():
-            keys = np.concatenate(held) << U64(16)
+            keys = np.concatenate(held)
+            held.clear()
+            keys <<= U64(16)
             keys.sort()
-            keys, counts = summed(keys, np.ones(len(keys), np.int64))
+            head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts = np.diff(np.append(head, len(keys)))
+            keys = keys[head]
             edges = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
             full = np.flatnonzero(np.diff(edges))
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack_sorted(keys[edges[s] : edges[s + 1]] >> U64(16), counts[edges[s] : edges[s + 1]]) for s in full], pa.binary())], ["shard", "blob"])
@@ -97,7 +101,7 @@ def count_repeated(rows: DataFrame, scratch: Scratch, n: int, bits: int) -> Hash
                     size += len(grams)
                 if size >= FLUSH:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
@@ -116,15 +120,10 @@ class _Sets:
     """Ordered n-gram arrays of documents in mapped files of the shared folder."""
 
     def __init__(self, folder: str, files: list[str]):
-        self.folder, self.files, self._open = folder, files, {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_open": {}}
+        self.folder, self.files, self.maps = folder, files, Maps()
 
     def get(self, file: int, offset: int, n: int) -> np.ndarray:
-        if file not in self._open:
-            self._open[file] = np.load(f"{self.folder}/{self.files[file]}.order.npy", mmap_mode="r")
-        return self._open[file][offset : offset + n]
+        return self.maps.get(f"{self.folder}/{self.files[file]}.order.npy")[offset : offset + n]
 
 
 def _ordered_sets(rows: DataFrame, frequency: HashTable, scratch: Scratch, n: int, similarity: float) -> tuple[DataFrame, _Sets]:
@@ -137,6 +136,12 @@ def _ordered_sets(rows: DataFrame, frequency: HashTable, scratch: Scratch, n: in
 
     def order_sets(batches):
         arrays, out, at = [], [], 0
+
+        def flush():
+            name = save_arrays(folder, {"order": np.concatenate(arrays)})
+            for id_, h, size, k, offset in out:
+                yield pa.RecordBatch.from_arrays([id_, pa.array(h), pa.array(size.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array([name] * len(h), pa.string()), pa.array(offset)], ["doc_id", "set_hash", "size", "kept", "name", "offset"])
+
         for b in batches:
             ids = b.column(0)
             for i, doc, grams, n_docs in gram_sets(b.column(1), n):
@@ -155,14 +160,15 @@ def _ordered_sets(rows: DataFrame, frequency: HashTable, scratch: Scratch, n: in
                 h = np.add.reduceat(mix(key), heads).view(np.int64) if len(k) else np.zeros(0, np.int64)
                 out.append((ids.take(pa.array(i + np.flatnonzero(able))), h, size[able], k, at + heads))
                 at += len(key)
+                if at >= FLUSH:
+                    yield from flush()
+                    arrays, out, at = [], [], 0
         if at:
-            name = save_arrays(folder, {"order": np.concatenate(arrays)})
-            for id_, h, size, k, offset in out:
-                yield pa.RecordBatch.from_arrays([id_, pa.array(h), pa.array(size.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array([name] * len(h), pa.string()), pa.array(offset)], ["doc_id", "set_hash", "size", "kept", "name", "offset"])
+            yield from flush()
 
     kind = dict(rows.dtypes)["doc_id"]
     found = scratch.table(rows.select("doc_id", "text").mapInArrow(order_sets, f"doc_id {kind}, set_hash bigint, size int, kept int, name string, offset bigint"), "found")
-    names = sorted(r.name for r in found.select("name").distinct().collect())  # one for each task
+    names = sorted(r.name for r in found.select("name").distinct().collect())  # one for each FLUSH entries
     known = found.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, file int")
     numbered = found.join(F.broadcast(known) if len(names) < 100_000 else known, "name").drop("name")
     return numbered.withColumn("rid", F.shiftleft(F.col("file").cast("bigint"), 40) + F.col("offset")), _Sets(folder, names)
@@ -215,16 +221,11 @@ class _Probe:
     """Finds and verifies the partners of one set after another."""
 
     def __init__(self, sets: _Sets, folder: str, files: dict[int, str], bits: int, similarity: float):
-        self.sets, self.folder, self.files, self.bits, self.t, self._open = sets, folder, files, bits, similarity, {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_open": {}}
+        self.sets, self.folder, self.files, self.bits, self.t, self.maps = sets, folder, files, bits, similarity, Maps()
 
     def _shard(self, s: int):
-        if s not in self._open:
-            name = self.files.get(s)
-            self._open[s] = name and {c: np.load(f"{self.folder}/{name}.{c}.npy", mmap_mode="r") for c in ("gram", "start", "count", "rid", "size", "kept", "pos")}
-        return self._open[s]
+        name = self.files.get(s)
+        return name and {c: self.maps.get(f"{self.folder}/{name}.{c}.npy") for c in ("gram", "start", "count", "rid", "size", "kept", "pos")}
 
     def _postings(self, grams: np.ndarray):
         """(index into grams, rid, size, kept, pos) of all postings of the grams."""
@@ -354,6 +355,34 @@ def ngram_jaccard_pairs(docs: DataFrame, n: int = N, similarity: float = SIMILAR
     )
 
 
+def similar_documents(docs: DataFrame, n: int = N, similarity: float = SIMILARITY) -> DataFrame:
+    """The similarity join of ngram_jaccard_pairs by document: (doc_id, class_id, n_links, best), one row per row of docs that is similar to another.
+
+    n_links counts the rows similar to it, equal texts among them; best is the greatest of their Jaccard similarities, to six
+    decimals. Documents linked directly or through others share class_id, the least doc_id of them. A document that is similar
+    to no other has no row.
+
+    Defined results: as for ngram_jaccard_pairs; class_id is null only where all doc_ids of a class are.
+
+    At scale: links are counted from pairs of different sets and the numbers of their copies, so a group of equal texts costs
+    its size, and no pair of copies is ever made.
+    """
+    scratch = Scratch(docs.sparkSession, "ngramclasses")
+    members, pairs = _similar_sets(docs, scratch, n, similarity)
+    sizes = members.groupBy("root").agg(F.count("*").alias("c"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    links = both.join(sizes.withColumnRenamed("root", "b"), "b").groupBy("a").agg(F.sum("c").alias("other"), F.max("similarity").alias("near"))
+    known = components(pairs.select("a", "b"), scratch, "classes")
+    roots = sizes.join(links.withColumnRenamed("a", "root"), "root", "left").join(known.select(F.col("node").alias("root"), F.col("root").alias("class")), "root", "left")
+    roots = roots.select("root", F.coalesce("class", "root").alias("class"), (F.col("c") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"), "near", "c").where("n_links > 0")
+    rows = members.join(roots, "root").withColumn("best", F.round(F.greatest("near", F.when(F.col("c") > 1, F.col("alike"))), 6))
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    out = scratch.table(rows.join(least, "class").select("doc_id", "class_id", "n_links", "best"), "linked")
+    for done in ("members", "pairs"):
+        scratch.drop(done)
+    return out
+
+
 def _hashed_ids(batches):
     for b in batches:
         key = mix(b.column(0).to_numpy().view(U64)).view(np.int64)

@@ -11,7 +11,7 @@ from .kneserney import score_documents
 from .linededup import dedup_lines
 from .linerules import clean_lines
 from .mixing import mix_sources
-from .ngramjoin import ngram_jaccard_pairs
+from .ngramjoin import similar_documents
 from .packing import pack_documents
 from .suffixes import repeated_passages
 from .topk import exact_top_k
@@ -47,7 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_documents": lambda s, d: pack_documents(_read(s, d, "documents")),
     "op3_kneser_ney": lambda s, d: score_documents(_read(s, d, "documents")),
     "op4_repeated_passages": lambda s, d: repeated_passages(_read(s, d, "documents")),
-    "op5_ngram_jaccard": lambda s, d: ngram_jaccard_pairs(_read(s, d, "documents")),
+    "op5_ngram_jaccard": lambda s, d: similar_documents(_read(s, d, "documents")),
     "op6_url_rules": lambda s, d: apply_url_rules(_read(s, d, "pages"), url_rules(s)),
     "op7_clean_lines": lambda s, d: clean_lines(_read(s, d, "documents")),
     "op8_line_dedup": lambda s, d: dedup_lines(_read(s, d, "documents")),

@@ -13,6 +13,8 @@ from .shared import pick
 
 #: Pieces packed together; a shard's waste is about one bin, so a few hundred thousand pieces make it negligible.
 SHARD_PIECES = 250_000
+#: Copies of one row that are written out at once.
+COPIES = 4096
 
 
 class TightestFit:
@@ -102,7 +104,9 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_pieces: int = SH
     sized = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size(word).alias("n"))
     # rows with the same id and length are interchangeable: one row with their number
     sized = sized.where("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("c")).withColumn("full", F.floor(F.col("n") / capacity).cast("int")).withColumn("rest", F.col("n") % capacity)
-    full = sized.where("full > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
+    # copies in two steps, so that no array grows with them
+    full = sized.where("full > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / COPIES))))
+    full = full.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least("c", (F.col("block") + 1) * COPIES)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
     full = full.select(
         F.concat_ws(".", F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), F.col("n").cast("string"), F.col("copy").cast("string"), F.col("k").cast("string")).alias("bin_id"),
         F.lit(capacity).alias("used"),

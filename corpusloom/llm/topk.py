@@ -134,8 +134,11 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = EVERY, block: int
         return pa.table({"vec_id": pa.array(np.repeat(ids, n), pa.int64()), "neighbor_id": pa.array(np.concatenate(found.neighbor), pa.int64()), "rank": pa.array(rank.astype(np.int32)), "distance": pa.array(np.concatenate(found.distance).round(6))})
 
     cores = spark.sparkContext.defaultParallelism
-    per = by_length(lambda _, q: -(-q // min(QUERIES[1], max(QUERIES[0], -(-q // (4 * cores))))) or 1)
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), per))
+    parts_of = lambda q: max(1, -(-q // min(QUERIES[1], max(QUERIES[0], -(-q // (4 * cores))))))
+    per = by_length(lambda _, q: parts_of(q))
+    # as many tasks as parts: a part is little to send but much to search
+    tasks = sum(parts_of(q) for _, q in n_of.values())
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), per)).repartition(max(1, tasks), "d", "part")
     out = scratch.table(asked.groupBy("d", "part").applyInArrow(search, "vec_id bigint, neighbor_id bigint, rank int, distance double"), "found")
     for done in ("blocks", "vectors"):
         scratch.drop(done)

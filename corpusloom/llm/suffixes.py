@@ -15,7 +15,8 @@ from .shared import U64, HashTable, Maps, Scratch, pick, save_arrays, shard_bits
 MIN_WORDS = 50
 #: Entries that one task sorts.
 SHARD_ENTRIES = 4_000_000
-_NO_DOC = np.iinfo(np.int64).min
+#: Suffixes that one task of the last pass sorts and scans, copies counted.
+TREE_ENTRIES = 100_000
 _EDGE = U64(0)  # the left neighbour of a document's first word
 
 
@@ -420,7 +421,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     suffixes = classes.mapInArrow(entries, "part bigint, region bigint, n int, at int, copies bigint, left bigint, varied boolean, file string, words_at bigint, doc_id bigint, start int")
-    suffixes = suffixes.repartition("part").sortWithinPartitions("part", "region", "n", "at")
+    # by work, not by bytes: a small row can stand for a long comparison
+    begun = places.agg(F.sum("begins")).first()[0] or 0
+    suffixes = suffixes.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-begun // TREE_ENTRIES)), "part").sortWithinPartitions("part", "region", "n", "at")
     found = scratch.table(suffixes.mapInArrow(tree, "group_id bigint, repeat boolean, first int, last int, words int, n bigint, region bigint, size int, at int, doc_id bigint, start int"), "tree")
     for done in ("anchors", "begins", "regions"):
         scratch.drop(done)

@@ -12,7 +12,7 @@ from .ngramjoin import pack_sorted, summed, unpack_sorted
 from .shared import U64, Maps, Scratch, pick, save_arrays, shard_bits, shard_of
 
 #: Trigram entries that one task merges, and that a map task gathers before it sends them.
-SHARD_ENTRIES, FLUSH = 1_500_000, 3_000_000
+SHARD_ENTRIES, FLUSH = 1_500_000, 5_000_000
 #: About so many documents, drawn by hash, tell which words are so frequent that their trigrams are spread over several tasks. This only places work.
 HOT_SAMPLE = 4000
 _WORD = U64((1 << 48) - 1)
@@ -134,7 +134,11 @@ def _order(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> np.ndarray:
     """The order by (a, b, c), all below top; one sort of packed keys where they fit 64 bits."""
     bits = max(1, int(top - 1).bit_length()) if top > 1 else 1
     if 3 * bits <= 63:
-        return np.argsort((a << (2 * bits)) | (b << bits) | c, kind="stable")
+        key = a.astype(np.int64) << bits
+        key |= b
+        key <<= bits
+        key |= c
+        return np.argsort(key)
     return np.lexsort((c, b, a))
 
 
@@ -157,10 +161,11 @@ _LOW_BITS, _RARE = 29, 7
 
 
 def _table(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of one table: sorted keys as 16 bits of index and 29 stored bits, 3 bits of code for the commonest values (n, k), and the places of the others."""
+    """Arrays of one table: sorted keys as some bits of index, about 16 keys each, and 29 stored bits, 3 bits of code for the commonest values (n, k), and the places of the others."""
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    index = np.searchsorted(keys >> U64(48), np.arange((1 << 16) + 1, dtype=U64)).astype(np.uint32)
+    bits = min(16, max(0, len(keys).bit_length() - 5))
+    index = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64)).astype(np.uint32) if bits else np.array([0, len(keys)], np.uint32)
     small = (values < 1 << (60 // values.shape[1])).all(axis=1)
     code = np.zeros(len(keys), np.int64)
     for k in range(values.shape[1]):
@@ -173,7 +178,7 @@ def _table(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndar
     idx, at = rank[idx], at[turn]
     rare = np.flatnonzero(idx >= _RARE)
     kind = np.uint8 if len(at) <= 1 << 8 else np.uint16 if len(at) <= 1 << 16 else np.uint32
-    low = (((keys >> U64(48 - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)) << U64(3)) | np.minimum(idx, _RARE).astype(U64)
+    low = (((keys >> U64(64 - bits - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)) << U64(3)) | np.minimum(idx, _RARE).astype(U64)
     return {f"{name}.index": index, f"{name}.low": low.astype(np.uint32), f"{name}.rare": rare.astype(np.uint32), f"{name}.idx": idx[rare].astype(kind), f"{name}.dict": values[at]}
 
 
@@ -192,7 +197,9 @@ class _Mapped:
         out = np.zeros((len(keys), values.shape[1]), np.int64)
         if not len(low):
             return out
-        bucket, want = (keys >> U64(48)).astype(np.int64), ((keys >> U64(48 - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)).astype(np.uint32)
+        bits = (len(index) - 1).bit_length() - 1
+        bucket = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        want = ((keys >> U64(64 - bits - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)).astype(np.uint32)
         lo, hi = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
         end = hi.copy()
         while True:
@@ -258,8 +265,9 @@ class KneserNey:
     def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Natural logarithm of p(w | u v) for each position."""
         d3, d2, d1 = self.d
+        # where the shard is named by the first bits of a key, the key is looked up without these
         one = mix(w)
-        c1 = self._lookup("one", "one", shard_of(one, self.unigram_bits), one, 1)[:, 0]
+        c1 = self._lookup("one", "one", shard_of(one, self.unigram_bits), (one & ~U64(0xFFFF)) << U64(self.unigram_bits), 1)[:, 0]
         total = max(1, self.unigrams)
         weight = (d1[1:] * np.array(self.n_unigram)).sum() / total if self.unigrams else 1.0
         p = np.maximum(c1 - d1[np.minimum(c1, 3)], 0) / total + weight / (self.words + 1)
@@ -268,12 +276,12 @@ class KneserNey:
         uv, vw = pair_key(u, v), pair_key(v, w)
         profile, c2 = np.zeros((len(w), 4), np.int64), np.zeros(len(w), np.int64)
         cold = np.flatnonzero(~hot)
-        profile[cold] = self._lookup("main", "word", home[cold], mix(v[cold]), 4)
+        profile[cold] = self._lookup("main", "word", home[cold], mix(v[cold]) << U64(self.bits), 4)
         c2[cold] = self._lookup("main", "pair", home[cold], vw[cold], 1)[:, 0]
         warm = np.flatnonzero(hot)
         if len(warm):
             profile[warm] = self.hot_profile[np.searchsorted(self.hot, v[warm])]
-            c2[warm] = self._lookup("hot", "pair", shard_of(vw[warm], self.bits), vw[warm], 1)[:, 0]
+            c2[warm] = self._lookup("hot", "pair", shard_of(vw[warm], self.bits), vw[warm] << U64(self.bits), 1)[:, 0]
         p = _interpolate(c2, profile, d2, p)
         context = self._lookup("main", "context", home, uv, 4)
         c3 = self._lookup("main", "triple", home, triple_key(uv, w), 1)[:, 0]
@@ -354,7 +362,13 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
             words = np.concatenate([*(w for w, _ in held), np.array([_START], U64)])
             first = np.cumsum(np.concatenate([[0], *(np.diff(f) for _, f in held)]))
             held.clear()
-            names, w = np.unique(words, return_inverse=True)
+            order = np.argsort(words)
+            words = words[order]
+            new = np.concatenate([[True], words[1:] != words[:-1]])
+            names, w = words[new], np.empty(len(words), np.int32)
+            del words
+            w[order] = np.cumsum(new, dtype=np.int32) - 1
+            del order, new
             start, w = w[-1], w[:-1]
             u, v = two_before(w, first, start)
             order = _order(v, u, w, len(names))
@@ -364,7 +378,10 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
             head = np.flatnonzero(new)
             count = np.diff(np.append(head, len(u)))
             u, v, w = u[head], v[head], w[head]
-            shard = _shard(names[u], names[v], hot, bits)
+            del order, new, head
+            # _shard, word by word
+            shard, spread = shard_of(mix(names), bits)[v], np.flatnonzero(np.isin(names, hot)[v])
+            shard[spread] = shard_of(pair_key(names[u[spread]], names[v[spread]]), bits)
             return _rows(_blobs("count", shard, bits, lambda x: _encode_part(names, u[x], v[x], w[x], count[x])))
 
         for w, first in each(batches):
@@ -406,7 +423,7 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
         is_hot = np.isin(v, hot)
         cold = ~is_hot
         (word, profile), more = after_pairs(v[cold], w[cold], n[cold])
-        arrays |= _table("pair", vw[cold], n[cold][:, None]) | _table("word", mix(word), profile)
+        arrays |= _table("pair", vw[cold], n[cold][:, None]) | _table("word", mix(word) << U64(bits), profile)
         rows += more
         v, w, n, vw = v[is_hot], w[is_hot], n[is_hot], vw[is_hot]
         rows += _kept(parts_folder, _blobs("hot", shard_of(vw, bits), bits, lambda x: _encode_words(v[x], w[x], n[x])))
@@ -418,12 +435,12 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
         vw = pair_key(v, w)
         (word, profile), rows = after_pairs(v, w, n)
         rows += [("word", 0, None, None, [x, *p]) for x, p in zip(word.view(np.int64).tolist(), profile.tolist(), strict=True)]
-        return _rows([("hot", key[0].as_py(), save_arrays(folder, _table("pair", vw, n[:, None])), None, None), *rows])
+        return _rows([("hot", key[0].as_py(), save_arrays(folder, _table("pair", vw << U64(bits), n[:, None])), None, None), *rows])
 
     def merge_ones(key, table):
         parts = [unpack_sorted(x) for x in _read(parts_folder, table)]
         keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        file = save_arrays(folder, _table("one", keys << U64(16), n[:, None]))
+        file = save_arrays(folder, _table("one", (keys << U64(16)) << U64(unigram_bits), n[:, None]))
         return _rows([("one", key[0].as_py(), file, None, [*_tally(n), int((n > 2).sum()), int(n.sum()), len(n)])])
 
     counted = rows.mapInArrow(send, _SCHEMA).groupBy("shard").applyInArrow(merge, _SCHEMA)

@@ -445,8 +445,10 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
 
     counted = rows.mapInArrow(send, _SCHEMA).groupBy("shard").applyInArrow(merge, _SCHEMA)
     counted = scratch.table(counted, "counted")
-    hot_rows = scratch.table(counted.where("kind = 'hot'").groupBy("shard").applyInArrow(merge_hot, _SCHEMA), "hot")
-    ones = counted.where("kind = 'one'").unionByName(hot_rows.where("kind = 'one'")).groupBy("shard").applyInArrow(merge_ones, _SCHEMA).drop("blob").collect()
+    # rows that only name bytes in the shared folder are spread by number, as their size says nothing of the work
+    spread = lambda rows, n: rows.repartition(min(1 << n, 4096), "shard").groupBy("shard")
+    hot_rows = scratch.table(spread(counted.where("kind = 'hot'"), bits).applyInArrow(merge_hot, _SCHEMA), "hot")
+    ones = spread(counted.where("kind = 'one'").unionByName(hot_rows.where("kind = 'one'")), unigram_bits).applyInArrow(merge_ones, _SCHEMA).drop("blob").collect()
     small = counted.where("kind in ('main', 'triples', 'pairs')").drop("blob").collect() + hot_rows.where("kind in ('hot', 'pairs')").drop("blob").collect()
     profile = {r.stats[0]: r.stats[1:] for r in hot_rows.where("kind = 'word'").groupBy(F.col("stats")[0].alias("w")).agg(F.array("w", *[F.sum(F.col("stats")[k]) for k in range(1, 5)]).alias("stats")).collect()}
     for done in ("counted", "hot", "parts"):

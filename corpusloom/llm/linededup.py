@@ -28,6 +28,9 @@ _PROBES = np.random.default_rng(7).integers(0, BANDS * ROWS, (64, BANDS * ROWS))
 
 _MASK = U64((1 << 8 * SHINGLE) - 1)
 _K = BANDS * ROWS
+#: Bits of a sketch; the other 7 hold the number of filled bins.
+SKETCH = 57
+_BITS = U64((1 << SKETCH) - 1)
 
 
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +47,11 @@ def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return line, words
 
 
-def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """((lines, BANDS) keys, sketches, filled). One-permutation MinHash: each shingle's hash falls into one of BANDS * ROWS bins, a bin keeps its least; empty bins copy the bin that a fixed probe sequence finds first.
+def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((lines, BANDS) keys, sketches). One-permutation MinHash: each shingle's hash falls into one of BANDS * ROWS bins, a bin keeps its least; empty bins copy the bin that a fixed probe sequence finds first.
 
-    The sketch has the last bit of 64 bins: of two lines, (1 + Jaccard) / 2 of these bits agree on average. filled: the bins that were not empty.
+    The sketch has the last bit of SKETCH bins: of two lines, (1 + Jaccard) / 2 of these bits agree on average. Above them stands
+    the number of bins that were not empty.
     """
     line, words = _shingles(data, starts, ends)
     h = words * U64(0x9E3779B97F4A7C15)
@@ -71,13 +75,15 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         rows, cols = rows[~ok], cols[~ok]
     if len(rows):
         sig[rows, cols] = source[rows].min(axis=1)
-    sketch = np.packbits((sig[:, :64] & U64(1)).astype(np.uint8), axis=1).view("<u8").ravel()
+    bits = np.zeros((len(starts), 64), np.uint8)
+    bits[:, :SKETCH] = sig[:, :SKETCH] & U64(1)
+    sketch = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel() | (filled.astype(U64) << U64(SKETCH))
     bands = sig.reshape(-1, BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15), bands.shape[:2])
     for r in range(ROWS):
         key = (key ^ bands[:, :, r]) * U64(0xA24BAED4963EE407)
         key ^= key >> U64(29)
-    return mix(key), sketch, filled
+    return mix(key), sketch
 
 
 def _least_agreement(similarity: float) -> np.ndarray:
@@ -87,22 +93,23 @@ def _least_agreement(similarity: float) -> np.ndarray:
     not seen in a band. Copies of bins make the bits of short lines depend on one another, which widens the deviation.
     """
     p, filled = (1 + similarity) / 2, np.maximum(np.arange(_K + 1), 1)
-    own, copied = 64 * filled / _K, 64 * (1 - filled / _K) / filled
+    own, copied = SKETCH * filled / _K, SKETCH * (1 - filled / _K) / filled
     spread = own * (1 + 3 * copied + copied**2) + (filled - own) * (copied + copied**2)
-    return np.floor(64 * p - 3.7 * np.sqrt(p * (1 - p) * spread)).astype(np.int64)
+    return np.floor(SKETCH * p - 3.7 * np.sqrt(p * (1 - p) * spread)).astype(np.int64)
 
 
 #: Buckets of up to so many lines have all their pairs compared by sketch; lines of larger ones all go on.
 SMALL_BUCKET = 1024
 
 
-def _comparable(s: np.ndarray, t: np.ndarray, e: np.ndarray, f: np.ndarray, similarity: float, agree: np.ndarray) -> np.ndarray:
-    """Which pairs of sketches, and of filled bins, can belong to similar lines."""
-    low, high = np.minimum(e, f).astype(np.int64), np.maximum(e, f)
-    return (64 - np.bitwise_count(s ^ t).astype(np.int64) >= agree[low]) & (low + 6 >= similarity * high)
+def _comparable(s: np.ndarray, t: np.ndarray, similarity: float, agree: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches can belong to similar lines."""
+    e, f = (s >> U64(SKETCH)).astype(np.int64), (t >> U64(SKETCH)).astype(np.int64)
+    low, high = np.minimum(e, f), np.maximum(e, f)
+    return (SKETCH - np.bitwise_count((s ^ t) & _BITS).astype(np.int64) >= agree[low]) & (low + 6 >= similarity * high)
 
 
-def _grouped(key: np.ndarray, sketch: np.ndarray, filled: np.ndarray, similarity: float) -> np.ndarray:
+def _grouped(key: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
     """For each entry the first of its group: entries of one key, linked by comparable pairs. key is sorted."""
     n, agree = len(key), _least_agreement(similarity)
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -116,7 +123,7 @@ def _grouped(key: np.ndarray, sketch: np.ndarray, filled: np.ndarray, similarity
         at = at[at + d < ends[at]]
         if not len(at):
             break
-        good = at[_comparable(sketch[at], sketch[at + d], filled[at], filled[at + d], similarity, agree)]
+        good = at[_comparable(sketch[at], sketch[at + d], similarity, agree)]
         _unite(label, good, good + d)
         d += 1
     return _roots(label, np.arange(n))
@@ -175,26 +182,30 @@ def _is_first(first: HashTable, h: np.ndarray, doc: np.ndarray, number: np.ndarr
     return (at["doc"] == doc) & (at["line"] == number)
 
 
-#: One entry of the banding: a bucket, a line, its sketch and filled bins.
-_ENTRY = (("key", "<u4"), ("owner", "<u8"), ("sketch", "<u8"), ("filled", "u1"))
-
-
 def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float) -> DataFrame:
-    """(band, a, b, sketch, filled): in each group of a bucket every line b but the least, with the least as a."""
+    """(band, a, b, sketch): in each group of a bucket every line b but the least, with the least as a."""
 
     def send(parts):
-        key, owner, sketch, filled = (np.concatenate(x) for x in zip(*parts, strict=True))
-        shard = shard_of(key, bits)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+        """For each shard its entries by bucket: gaps of 32 bits of the key, compressed, then lines and sketches."""
+        key, owner, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, owner, sketch = key[order], owner[order], sketch[order]
+        edges = np.searchsorted(shard_of(key, bits), np.arange((1 << bits) + 1))
         low = (key << U64(bits)) >> U64(32)
         full = np.flatnonzero(np.diff(edges))
         blobs = []
         for s in full:
-            at = order[edges[s] : edges[s + 1]]
-            blobs.append(b"".join(x[at].astype(kind).tobytes() for x, (_, kind) in zip((low, owner, sketch, filled), _ENTRY, strict=True)))
+            at = slice(edges[s], edges[s + 1])
+            gaps = pa.compress(np.ascontiguousarray(np.diff(low[at], prepend=U64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+            blobs.append(np.array([edges[s + 1] - edges[s], len(gaps)], np.int64).tobytes() + gaps + owner[at].tobytes() + sketch[at].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
+    def received(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, size = np.frombuffer(blob[:16], np.int64).tolist()
+        gaps = np.frombuffer(pa.decompress(blob[16 : 16 + size], decompressed_size=4 * n, codec="zstd"), np.uint8)
+        key = np.cumsum(np.ascontiguousarray(gaps.reshape(4, n).T).view("<u4").ravel(), dtype=U64)
+        return key, np.frombuffer(blob, U64, n, 16 + size), np.frombuffer(blob, U64, n, 16 + size + 8 * n)
+
     def keyed(batches):
         held, n = [], 0
         for b in batches:
@@ -202,8 +213,8 @@ def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float)
                 mine = np.flatnonzero(_is_first(first, h, doc, number))
                 if not len(mine):
                     continue
-                k, sketch, filled = signatures(data, starts[mine], ends[mine])
-                held.append((k.ravel(), np.repeat(h[mine], BANDS), np.repeat(sketch, BANDS), np.repeat(filled, BANDS)))
+                k, sketch = signatures(data, starts[mine], ends[mine])
+                held.append((k.ravel(), np.repeat(h[mine], BANDS), np.repeat(sketch, BANDS)))
                 n += k.size
                 if n >= BAND_ENTRIES:
                     yield send(held)
@@ -212,15 +223,8 @@ def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float)
             yield send(held)
 
     def bucketed(table):
-        parts = []
-        for x in table["blob"].to_pylist():
-            n, at, cols = len(x) // 21, 0, []
-            for _, kind in _ENTRY:
-                cols.append(np.frombuffer(x, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            parts.append(cols)
-        key, owner, sketch, filled = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort((key.astype(U64) << U64(32)) | (owner >> U64(32)))
+        key, owner, sketch = (np.concatenate(x) for x in zip(*map(received, table["blob"].to_pylist()), strict=True))
+        order = np.argsort((key << U64(32)) | (owner >> U64(32)))
         key, owner = key[order], owner[order]
         # rows that share a doc_id can send the same entry twice
         once = np.ones(len(key), dtype=bool)
@@ -228,14 +232,14 @@ def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float)
         same = key[1:] == key[:-1]
         once &= np.concatenate([same, [False]]) | np.concatenate([[False], same])
         key, owner, order = key[once], owner[once], order[once]
-        sketch, filled = sketch[order], filled[order]
-        label = _grouped(key, sketch, filled, similarity)
+        sketch = sketch[order]
+        label = _grouped(key, sketch, similarity)
         rest = np.flatnonzero(label != np.arange(len(label)))
-        band = mix((key[rest].astype(U64) << U64(32)) ^ mix(owner[label[rest]]) ^ U64(int(table["shard"][0].as_py())))
-        return pa.table({"band": pa.array(band.view(np.int64)), "a": pa.array(owner[label[rest]].view(np.int64)), "b": pa.array(owner[rest].view(np.int64)), "sketch": pa.array(sketch[rest].view(np.int64)), "filled": pa.array(filled[rest].astype(np.int32))})
+        band = mix((key[rest] << U64(32)) ^ mix(owner[label[rest]]) ^ U64(int(table["shard"][0].as_py())))
+        return pa.table({"band": pa.array(band.view(np.int64)), "a": pa.array(owner[label[rest]].view(np.int64)), "b": pa.array(owner[rest].view(np.int64)), "sketch": pa.array(sketch[rest].view(np.int64))})
 
     shuffled = rows.mapInArrow(keyed, "shard int, blob binary")
-    return shuffled.groupBy("shard").applyInArrow(bucketed, "band bigint, a bigint, b bigint, sketch bigint, filled int")
+    return shuffled.groupBy("shard").applyInArrow(bucketed, "band bigint, a bigint, b bigint, sketch bigint")
 
 
 class _Lines:
@@ -337,11 +341,12 @@ def find_keepers(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARI
     # Buckets that the stars have not joined up: test the pairs across their components too.
     labelled = lambda d, c: d.join(known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     apart = labelled(labelled(star, "a"), "b")
-    members = apart.select("band", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("sketch").alias("s"), F.col("filled").alias("e"))
+    members = apart.select("band", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("sketch").alias("s"))
     open_bands = apart.groupBy("band").agg(F.max(F.col("ra") != F.col("rb")).alias("open"), F.count("*").alias("n")).where("open and n > 1").select("band")
     members = members.join(open_bands, "band")
-    low, high = F.least("l.e", "r.e"), F.greatest("l.e", "r.e")
-    agree = F.lit(64) - F.bit_count(F.col("l.s").bitwiseXOR(F.col("r.s"))) >= F.element_at(F.array(*[F.lit(int(x)) for x in _least_agreement(similarity)]), low + 1)
+    filled = [F.shiftrightunsigned(F.col(c), SKETCH).cast("int") for c in ("l.s", "r.s")]
+    low, high = F.least(*filled), F.greatest(*filled)
+    agree = F.lit(SKETCH) - F.bit_count(F.col("l.s").bitwiseXOR(F.col("r.s")).bitwiseAND(F.lit(int(_BITS)))) >= F.element_at(F.array(*[F.lit(int(x)) for x in _least_agreement(similarity)]), low + 1)
     across = members.alias("l").join(members.alias("r"), "band").where("l.x < r.x and l.rx != r.rx").where((low + 6 >= similarity * high) & agree)
     across = scratch.table(across.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct(), "across")
     more = scratch.table(_verified(across, store, similarity), "more")
@@ -393,7 +398,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Jaccard similarity of their sets of 5-byte shingles (UTF-8) is at least similarity; a line shorter than that is
     similar to its equals only, and one of less than 33 bytes stays similar through changes near its ends only. Similar lines form components; of each component the first line stays, by doc_id and
     then by line number. Candidates come from MinHash banding, with a recall of 0.99 at the default threshold, and are
-    verified exactly; of the pairs that meet in a band, those whose sketches of 64 bits differ too much are not (one similar pair in
+    verified exactly; of the pairs that meet in a band, those whose sketches of 57 bits differ too much are not (one similar pair in
     10,000 is lost by that). n_lines counts the lines that are not blank.
 
     Defined results: blank lines are kept, except in a text that loses all its other lines: that text becomes "". Null

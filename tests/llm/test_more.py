@@ -171,14 +171,14 @@ def test_grouping_of_buckets():
         sketch = rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, n)]
         for _ in range(8):
             sketch = sketch ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
-        filled = rng.integers(60, 126, n).astype(np.uint8)
+        sketch = (sketch & linededup._BITS) | (rng.integers(60, 126, n).astype(np.uint64) << np.uint64(linededup.SKETCH))
         root = list(range(n))
         for i in range(n):
             for j in range(i):
-                if key[i] == key[j] and linededup._comparable(sketch[i : i + 1], sketch[j : j + 1], filled[i : i + 1], filled[j : j + 1], 0.7, agree)[0]:
+                if key[i] == key[j] and linededup._comparable(sketch[i : i + 1], sketch[j : j + 1], 0.7, agree)[0]:
                     a, b = root[i], root[j]
                     root = [min(a, b) if r in (a, b) else r for r in root]
-        assert linededup._grouped(key, sketch, filled, 0.7).tolist() == root
+        assert linededup._grouped(key, sketch, 0.7).tolist() == root
 
 
 def test_line_components_by_brute_force(spark, monkeypatch):

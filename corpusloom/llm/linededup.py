@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .kernels import doc_of, line_hash, lines, mix, slices, text_bytes, trim
+from .kernels import doc_of, line_hash, lines, mix, slices, small_batches, text_bytes, trim
 from .shared import U64, HashTable, Maps, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: A shingle is a run of so many UTF-8 bytes: one character each in ASCII text.
@@ -18,8 +18,8 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: One substituted byte changes SHINGLE shingles: lines of 33 bytes or more stay similar.
 SIMILARITY = 0.7
-#: Entries that one task of the banding sorts.
-BAND_ENTRIES = 600_000
+#: Entries that one task of the banding sorts, and that a map task gathers before it sends them.
+BAND_ENTRIES = 1_200_000
 #: Pairs that a task verifies, and pairs verified at once.
 CHECK_PAIRS, CHECKED = 200_000, 1000
 _NO_DOC = np.iinfo(np.int64).min
@@ -31,6 +31,8 @@ _K = BANDS * ROWS
 #: Bits of a sketch; the other 7 hold the number of filled bins.
 SKETCH = 57
 _BITS = U64((1 << SKETCH) - 1)
+#: Columns of a fine sketch.
+_FINE = ["f0", "f1", "f2", "f3"]
 
 
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +49,12 @@ def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return line, words
 
 
-def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((lines, BANDS) keys, sketches). One-permutation MinHash: each shingle's hash falls into one of BANDS * ROWS bins, a bin keeps its least; empty bins copy the bin that a fixed probe sequence finds first.
+def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """((lines, BANDS) keys, sketches, fine sketches). One-permutation MinHash: each shingle's hash falls into one of BANDS * ROWS bins, a bin keeps its least; empty bins copy the bin that a fixed probe sequence finds first.
 
     The sketch has the last bit of SKETCH bins: of two lines, (1 + Jaccard) / 2 of these bits agree on average. Above them stands
-    the number of bins that were not empty.
+    the number of bins that were not empty. The fine sketch has the last two bits of all bins, as two words each: in (1 + 3 Jaccard) / 4
+    of the bins both agree on average.
     """
     line, words = _shingles(data, starts, ends)
     h = words * U64(0x9E3779B97F4A7C15)
@@ -75,15 +78,25 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         rows, cols = rows[~ok], cols[~ok]
     if len(rows):
         sig[rows, cols] = source[rows].min(axis=1)
-    bits = np.zeros((len(starts), 64), np.uint8)
-    bits[:, :SKETCH] = sig[:, :SKETCH] & U64(1)
-    sketch = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel() | (filled.astype(U64) << U64(SKETCH))
+    bits = np.zeros((len(starts), 2, 128), np.uint8)
+    bits[:, 0, :_K] = sig & U64(1)
+    bits[:, 1, :_K] = (sig >> U64(1)) & U64(1)
+    fine = np.packbits(bits.reshape(-1, 256), axis=1, bitorder="little").view("<u8")
+    sketch = (fine[:, 0] & _BITS) | (filled.astype(U64) << U64(SKETCH))
     bands = sig.reshape(-1, BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15), bands.shape[:2])
     for r in range(ROWS):
         key = (key ^ bands[:, :, r]) * U64(0xA24BAED4963EE407)
         key ^= key >> U64(29)
-    return mix(key), sketch
+    return mix(key), sketch, fine
+
+
+def _least(bins: int, p: float) -> np.ndarray:
+    """By the number of filled bins, 3.7 standard deviations less than the mean of so many bins that each agree with probability p."""
+    filled = np.maximum(np.arange(_K + 1), 1)
+    own, copied = bins * filled / _K, bins * (1 - filled / _K) / filled
+    spread = own * (1 + 3 * copied + copied**2) + (filled - own) * (copied + copied**2)
+    return np.floor(bins * p - 3.7 * np.sqrt(p * (1 - p) * spread)).astype(np.int64)
 
 
 def _least_agreement(similarity: float) -> np.ndarray:
@@ -92,13 +105,15 @@ def _least_agreement(similarity: float) -> np.ndarray:
     At the threshold similarity the agreement lies 3.7 standard deviations above this, so about one similar pair in 10,000 is
     not seen in a band. Copies of bins make the bits of short lines depend on one another, which widens the deviation.
     """
-    p, filled = (1 + similarity) / 2, np.maximum(np.arange(_K + 1), 1)
-    own, copied = SKETCH * filled / _K, SKETCH * (1 - filled / _K) / filled
-    spread = own * (1 + 3 * copied + copied**2) + (filled - own) * (copied + copied**2)
-    return np.floor(SKETCH * p - 3.7 * np.sqrt(p * (1 - p) * spread)).astype(np.int64)
+    return _least(SKETCH, (1 + similarity) / 2)
+
+
+def _least_fine(similarity: float) -> np.ndarray:
+    """_least_agreement of fine sketches, in bins."""
+    return _least(_K, (1 + 3 * similarity) / 4)
 
 
-#: Buckets of up to so many lines have all their pairs compared by sketch; lines of larger ones all go on.
+#: Buckets of up to so many lines have their pairs compared distance by distance, larger ones line by line.
 SMALL_BUCKET = 1024
 
 
@@ -109,21 +124,50 @@ def _comparable(s: np.ndarray, t: np.ndarray, similarity: float, agree: np.ndarr
     return (SKETCH - np.bitwise_count((s ^ t) & _BITS).astype(np.int64) >= agree[low]) & (low + 6 >= similarity * high)
 
 
-def _grouped(key: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
-    """For each entry the first of its group: entries of one key, linked by comparable pairs. key is sorted."""
-    n, agree = len(key), _least_agreement(similarity)
+def _finely(s: np.ndarray, t: np.ndarray, fine: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which pairs i, j have fine sketches of similar lines; s, t: their sketches."""
+    if not len(i):
+        return np.zeros(0, dtype=bool)
+    x, y = fine[i], fine[j]
+    differ = np.bitwise_count((x[:, :2] ^ y[:, :2]) | (x[:, 2:] ^ y[:, 2:])).sum(axis=1, dtype=np.int64)
+    return _K - differ >= least[(np.minimum(s, t) >> U64(SKETCH)).astype(np.int64)]
+
+
+def _grouped(key: np.ndarray, sketch: np.ndarray, similarity: float, fine: np.ndarray | None = None) -> np.ndarray:
+    """For each entry the first of its group: entries of one key, linked by pairs that are comparable by sketch, and by fine sketch if there is one. key is sorted.
+
+    In a bucket of more than SMALL_BUCKET entries each entry is compared with those that no group has yet: a large bucket of
+    lines that are alike costs its size, not its square.
+    """
+    n, agree, finely = len(key), _least_agreement(similarity), _least_fine(similarity)
+
+    def linked(i, j):
+        good = np.flatnonzero(_comparable(sketch[i], sketch[j], similarity, agree))
+        if fine is None:
+            return good
+        i, j = (x[good] if np.ndim(x) else np.full(len(good), x) for x in (i, j))
+        return good[_finely(sketch[i], sketch[j], fine, i, j, finely)]
+
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(head, n))
     label = np.arange(n)
     large = np.repeat(size > SMALL_BUCKET, size)
-    label[large] = np.repeat(head, size)[large]
+    for h, m in zip(head[size > SMALL_BUCKET].tolist(), size[size > SMALL_BUCKET].tolist(), strict=True):
+        free = np.arange(h, h + m)
+        while len(free):
+            root, reached, free = free[0], [free[0]], free[1:]
+            while reached and len(free):
+                good = linked(reached.pop(), free)
+                label[free[good]] = root
+                reached.extend(free[good].tolist())
+                free = np.delete(free, good)
     ends = np.repeat(head + size, size)
     at, d = np.flatnonzero(~large), 1
     while True:
         at = at[at + d < ends[at]]
         if not len(at):
             break
-        good = at[_comparable(sketch[at], sketch[at + d], similarity, agree)]
+        good = at[linked(at, at + d)]
         _unite(label, good, good + d)
         d += 1
     return _roots(label, np.arange(n))
@@ -182,29 +226,34 @@ def _is_first(first: HashTable, h: np.ndarray, doc: np.ndarray, number: np.ndarr
     return (at["doc"] == doc) & (at["line"] == number)
 
 
-def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float) -> DataFrame:
-    """(band, a, b, sketch): in each group of a bucket every line b but the least, with the least as a."""
+def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(band, a, b, sketch, f0 .. f3): in each group of a bucket every line b but the least, with the least as a.
+
+    Hashes and sketches of lines are written once to the shared folder; what is shuffled are keys of bands with places there.
+    """
+    folder = f"{scratch.path}/sketches"
 
     def send(parts):
-        """For each shard its entries by bucket: gaps of 32 bits of the key, compressed, then lines and sketches."""
-        key, owner, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key)
-        key, owner, sketch = key[order], owner[order], sketch[order]
+        """For each shard its entries by bucket: gaps of 32 bits of the key, compressed, then places of lines in the file."""
+        key, facts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        name = bytes.fromhex(save_arrays(folder, {"facts": facts}))
+        order = np.argsort(key.ravel())
+        at, key = (order // BANDS).astype("<u2" if len(facts) <= 1 << 16 else "<u4"), key.ravel()[order]
         edges = np.searchsorted(shard_of(key, bits), np.arange((1 << bits) + 1))
         low = (key << U64(bits)) >> U64(32)
         full = np.flatnonzero(np.diff(edges))
         blobs = []
         for s in full:
-            at = slice(edges[s], edges[s + 1])
-            gaps = pa.compress(np.ascontiguousarray(np.diff(low[at], prepend=U64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-            blobs.append(np.array([edges[s + 1] - edges[s], len(gaps)], np.int64).tobytes() + gaps + owner[at].tobytes() + sketch[at].tobytes())
+            mine = slice(edges[s], edges[s + 1])
+            gaps = pa.compress(np.ascontiguousarray(np.diff(low[mine], prepend=U64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+            blobs.append(np.array([edges[s + 1] - edges[s], len(gaps), at.itemsize], np.int64).tobytes() + name + gaps + at[mine].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-    def received(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, size = np.frombuffer(blob[:16], np.int64).tolist()
-        gaps = np.frombuffer(pa.decompress(blob[16 : 16 + size], decompressed_size=4 * n, codec="zstd"), np.uint8)
+    def received(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n, size, width = np.frombuffer(blob[:24], np.int64).tolist()
+        gaps = np.frombuffer(pa.decompress(blob[40 : 40 + size], decompressed_size=4 * n, codec="zstd"), np.uint8)
         key = np.cumsum(np.ascontiguousarray(gaps.reshape(4, n).T).view("<u4").ravel(), dtype=U64)
-        return key, np.frombuffer(blob, U64, n, 16 + size), np.frombuffer(blob, U64, n, 16 + size + 8 * n)
+        return key.astype(np.uint32), np.frombuffer(blob, f"<u{width}", n, 40 + size).astype(np.uint32)
 
     def keyed(batches):
         held, n = [], 0
@@ -213,8 +262,8 @@ def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float)
                 mine = np.flatnonzero(_is_first(first, h, doc, number))
                 if not len(mine):
                     continue
-                k, sketch = signatures(data, starts[mine], ends[mine])
-                held.append((k.ravel(), np.repeat(h[mine], BANDS), np.repeat(sketch, BANDS)))
+                k, sketch, fine = signatures(data, starts[mine], ends[mine])
+                held.append((k, np.column_stack([h[mine], sketch, fine])))
                 n += k.size
                 if n >= BAND_ENTRIES:
                     yield send(held)
@@ -222,24 +271,40 @@ def _candidates(rows: DataFrame, first: HashTable, bits: int, similarity: float)
         if held:
             yield send(held)
 
+    maps = Maps()
+
     def bucketed(table):
-        key, owner, sketch = (np.concatenate(x) for x in zip(*map(received, table["blob"].to_pylist()), strict=True))
-        order = np.argsort((key << U64(32)) | (owner >> U64(32)))
-        key, owner = key[order], owner[order]
+        blobs = table["blob"].to_pylist()
+        key, at = (np.concatenate(x) for x in zip(*map(received, blobs), strict=True))
+        file = np.repeat(np.arange(len(blobs), dtype=np.uint32), [int.from_bytes(x[:8], "little") for x in blobs])
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        key, order = key[shared], order[shared]
+        at, file = at[order], file[order]
+        facts = np.empty((len(key), 6), U64)
+        by_file = np.argsort(file, kind="stable")
+        edges = np.searchsorted(file[by_file], np.arange(len(blobs) + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            mine = by_file[edges[k] : edges[k + 1]]
+            facts[mine] = maps.get(f"{folder}/{blobs[k][24:40].hex()}.facts.npy")[at[mine]]
+        del at, file, by_file, order
         # rows that share a doc_id can send the same entry twice
+        order = np.lexsort((facts[:, 0], key))
+        key, facts = key[order], facts[order]
         once = np.ones(len(key), dtype=bool)
-        once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        same = key[1:] == key[:-1]
-        once &= np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        key, owner, order = key[once], owner[once], order[once]
-        sketch = sketch[order]
-        label = _grouped(key, sketch, similarity)
+        once[1:] = (key[1:] != key[:-1]) | (facts[1:, 0] != facts[:-1, 0])
+        key, facts = key[once], facts[once]
+        owner, sketch, fine = facts[:, 0], np.ascontiguousarray(facts[:, 1]), facts[:, 2:]
+        label = _grouped(key, sketch, similarity, fine)
         rest = np.flatnonzero(label != np.arange(len(label)))
-        band = mix((key[rest] << U64(32)) ^ mix(owner[label[rest]]) ^ U64(int(table["shard"][0].as_py())))
-        return pa.table({"band": pa.array(band.view(np.int64)), "a": pa.array(owner[label[rest]].view(np.int64)), "b": pa.array(owner[rest].view(np.int64)), "sketch": pa.array(sketch[rest].view(np.int64))})
+        band = mix((key[rest].astype(U64) << U64(32)) ^ mix(owner[label[rest]]) ^ U64(int(table["shard"][0].as_py())))
+        cols = [band, owner[label[rest]], owner[rest], sketch[rest], *fine[rest].T]
+        return pa.table({c: pa.array(np.ascontiguousarray(x).view(np.int64)) for c, x in zip(["band", "a", "b", "sketch", *_FINE], cols, strict=True)})
 
     shuffled = rows.mapInArrow(keyed, "shard int, blob binary")
-    return shuffled.groupBy("shard").applyInArrow(bucketed, "band bigint, a bigint, b bigint, sketch bigint")
+    return shuffled.groupBy("shard").applyInArrow(bucketed, ", ".join(f"{c} bigint" for c in ("band", "a", "b", "sketch", *_FINE)))
 
 
 class _Lines:
@@ -333,7 +398,8 @@ def find_keepers(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARI
     firsts = scratch.table(_firsts(rows), "firsts")
     n = firsts.count()
     first = build_table(firsts, scratch, "first", shard_bits(n), ["doc", "line"])
-    star = scratch.table(_candidates(rows, first, shard_bits(n * BANDS, BAND_ENTRIES), similarity), "star")
+    star = scratch.table(_candidates(rows, first, shard_bits(n * BANDS, BAND_ENTRIES), similarity, scratch), "star")
+    scratch.drop("sketches")
     touched = star.select(F.col("a").alias("key")).unionByName(star.select(F.col("b").alias("key"))).distinct()
     store = _store(rows, first, build_table(touched, scratch, "touched", shard_bits(n), []), scratch)
     edges = scratch.table(_verified(scratch.table(star.select("a", "b").distinct(), "pairs"), store, similarity), "edges")
@@ -341,13 +407,15 @@ def find_keepers(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARI
     # Buckets that the stars have not joined up: test the pairs across their components too.
     labelled = lambda d, c: d.join(known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     apart = labelled(labelled(star, "a"), "b")
-    members = apart.select("band", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("sketch").alias("s"))
+    members = apart.select("band", F.col("b").alias("x"), F.col("rb").alias("rx"), F.col("sketch").alias("s"), *_FINE)
     open_bands = apart.groupBy("band").agg(F.max(F.col("ra") != F.col("rb")).alias("open"), F.count("*").alias("n")).where("open and n > 1").select("band")
     members = members.join(open_bands, "band")
     filled = [F.shiftrightunsigned(F.col(c), SKETCH).cast("int") for c in ("l.s", "r.s")]
     low, high = F.least(*filled), F.greatest(*filled)
     agree = F.lit(SKETCH) - F.bit_count(F.col("l.s").bitwiseXOR(F.col("r.s")).bitwiseAND(F.lit(int(_BITS)))) >= F.element_at(F.array(*[F.lit(int(x)) for x in _least_agreement(similarity)]), low + 1)
-    across = members.alias("l").join(members.alias("r"), "band").where("l.x < r.x and l.rx != r.rx").where((low + 6 >= similarity * high) & agree)
+    differ = sum(F.bit_count(F.expr(f"(l.f{k} ^ r.f{k}) | (l.f{k + 2} ^ r.f{k + 2})")) for k in (0, 1))
+    finely = F.lit(_K) - differ >= F.element_at(F.array(*[F.lit(int(x)) for x in _least_fine(similarity)]), low + 1)
+    across = members.alias("l").join(members.alias("r"), "band").where("l.x < r.x and l.rx != r.rx").where((low + 6 >= similarity * high) & agree & finely)
     across = scratch.table(across.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct(), "across")
     more = scratch.table(_verified(across, store, similarity), "more")
     if more.limit(1).count():
@@ -398,16 +466,16 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Jaccard similarity of their sets of 5-byte shingles (UTF-8) is at least similarity; a line shorter than that is
     similar to its equals only, and one of less than 33 bytes stays similar through changes near its ends only. Similar lines form components; of each component the first line stays, by doc_id and
     then by line number. Candidates come from MinHash banding, with a recall of 0.99 at the default threshold, and are
-    verified exactly; of the pairs that meet in a band, those whose sketches of 57 bits differ too much are not (one similar pair in
-    10,000 is lost by that). n_lines counts the lines that are not blank.
+    verified exactly; of the pairs that meet in a band, those whose sketches of 57 or of 250 bits differ too much are not (one similar pair in
+    10,000 is lost by either). n_lines counts the lines that are not blank.
 
     Defined results: blank lines are kept, except in a text that loses all its other lines: that text becomes "". Null
     texts stay null. Rows that share a doc_id count as one document with interchangeable rows (null is an id of its own,
     the least): equal lines at equal places in them stay or go together. An empty table gives an empty result.
 
     At scale: text itself is never shuffled. Line hashes are aggregated to first occurrences and stored as sorted hash
-    arrays in the shared folder, which workers map; band keys of distinct lines are shuffled as binary blocks; only
-    candidate lines have their bytes stored, for verification. In a bucket lines are grouped by their sketches, so lines that met
+    arrays in the shared folder, which workers map; band keys of distinct lines are shuffled as binary blocks, with places of their
+    sketches, which are written once for each line; only candidate lines have their bytes stored, for verification. In a bucket lines are grouped by their sketches, so lines that met
     by chance go no further. In a group each line is tested against the least one, and then only pairs across components
     are, so hot buckets cost their size, not its square, where their lines are alike.
     """
@@ -416,7 +484,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = pick(docs, "doc_id", "text")
 
     def rewrite(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             text, removed, solid = _rewrite(b.column(0), b.column(1), keepers)
             yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(solid), pa.array(removed)], ["doc_id", "text", "n_lines", "removed"])
 
@@ -431,7 +499,7 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> D
     safe = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
 
     def rewrite(batches):
-        for b in batches:
+        for b in small_batches(batches, at["text"]):
             text, removed, solid = _rewrite(b.column(at["doc_id"]), b.column(at["text"]), keepers)
             b = b.set_column(at["text"], f"__c{at['text']}", text)
             yield b.append_column("__gone", pa.array(removed)).filter(pa.array((removed == 0) | (removed < solid)))

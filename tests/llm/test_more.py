@@ -5,10 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import classifier, kneserney, linededup, linerules, ngramjoin, urlrules
+from corpusloom.llm import classifier, kernels, kneserney, linededup, linerules, ngramjoin, urlrules
 from corpusloom.llm.mixing import mix_sources, mixed_documents
 from corpusloom.llm.packing import best_fit_decreasing, pack_documents
 from corpusloom.llm.shared import Scratch
@@ -181,6 +182,30 @@ def test_grouping_of_buckets():
         assert linededup._grouped(key, sketch, 0.7).tolist() == root
 
 
+def test_large_buckets_are_told_apart():
+    rng = np.random.default_rng(2)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    many = linededup.SMALL_BUCKET + 200
+    texts = [bytearray(letters[rng.integers(0, 26, 120)].tobytes()) for _ in range(many)]
+    for k in range(0, many, 4):  # the next two are one byte away from it, or from one another
+        texts[k + 1] = bytearray(texts[k])
+        texts[k + 1][60] = ord("#")
+        texts[k + 2] = bytearray(texts[k + 1])
+        texts[k + 2][20] = ord("%")
+    ends = np.cumsum([len(x) for x in texts])
+    _, sketch, fine = linededup.signatures(np.frombuffer(b"".join(texts), np.uint8), ends - 120, ends)
+    got = linededup._grouped(np.zeros(many, np.uint32), sketch, 0.7, fine)
+    assert got.tolist() == [k - k % 4 if k % 4 < 3 else k for k in range(many)]
+
+
+def test_small_batches():
+    rows = [(k, None if k % 7 == 3 else "x" * (k * 37 % 900)) for k in range(500)]
+    whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    parts = list(kernels.small_batches([whole, whole.slice(0, 0)], 1, 4000))
+    assert [tuple(r.values()) for b in parts for r in b.to_pylist()] == rows
+    assert len(parts) > 40 and max(sum(len(t or "") for t in b.column(1).to_pylist()) for b in parts) <= 4000
+
+
 def test_line_components_by_brute_force(spark, monkeypatch):
     rnd = random.Random(31)
     letters = "abcdefghijklmnopqrstuvwxyz     "

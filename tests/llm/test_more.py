@@ -198,6 +198,10 @@ def test_large_buckets_are_told_apart():
     assert got.tolist() == [k - k % 4 if k % 4 < 3 else k for k in range(many)]
 
 
+def test_arrow_gives_memory_back():
+    assert pa.default_memory_pool().backend_name == "system"
+
+
 def test_small_batches():
     rows = [(k, None if k % 7 == 3 else "x" * (k * 37 % 900)) for k in range(500)]
     whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from .kernels import mix, slices, span_hash, text_bytes, tokens
 from .ngramjoin import pack_sorted, summed, unpack_sorted
-from .shared import U64, Maps, Scratch, pick, save_arrays, shard_bits, shard_of
+from .shared import U64, Maps, Scratch, pick, save_arrays, save_packed, shard_bits, shard_of, unpacked
 
 #: Trigram entries that one task merges, and that a map task gathers before it sends them.
 SHARD_ENTRIES, FLUSH = 1_500_000, 5_000_000
 #: About so many documents, drawn by hash, tell which words are so frequent that their trigrams are spread over several tasks. This only places work.
 HOT_SAMPLE = 4000
+#: Bytes of text that are scored at once, at most.
+SLICE = 1 << 23
 _WORD = U64((1 << 48) - 1)
 _START = U64(3)  # the two words before a document
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -183,13 +185,13 @@ def _table(name: str, keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndar
 
 
 class _Mapped:
-    """Tables of one shard in mapped files."""
+    """Tables of one shard in a mapped file."""
 
     def __init__(self, path: str, maps: Maps):
         self.path, self.maps = path, maps
 
     def get(self, name: str) -> np.ndarray:
-        return self.maps.get(f"{self.path}.{name}.npy")
+        return self.maps.get(f"{self.path}.packed")[name]
 
     def find(self, table: str, keys: np.ndarray) -> np.ndarray:
         """(n, k) values; a row of zeros where the key is not there."""
@@ -243,11 +245,11 @@ def _profile(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class KneserNey:
-    """A trained model; find its arrays in folder, one set of files per shard."""
+    """A trained model; find its arrays in folder, one file for each kind of table and shard."""
 
     def __init__(self, folder: str, bits: int, files: dict[str, dict[int, str]], unigram_bits: int, hot: np.ndarray, hot_profile: np.ndarray, d: list[np.ndarray], unigrams: int, words: int):
         self.folder, self.bits, self.files, self.unigram_bits = folder, bits, files, unigram_bits
-        self.hot, self.hot_profile, self.d, self.unigrams, self.words, self.maps = hot, hot_profile, d, unigrams, words, Maps()
+        self.hot, self.hot_profile, self.d, self.unigrams, self.words, self.maps = hot, hot_profile, d, unigrams, words, Maps(unpacked)
 
     def _lookup(self, kind: str, table: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((len(keys), width), np.int64)
@@ -427,7 +429,7 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
         rows += more
         v, w, n, vw = v[is_hot], w[is_hot], n[is_hot], vw[is_hot]
         rows += _kept(parts_folder, _blobs("hot", shard_of(vw, bits), bits, lambda x: _encode_words(v[x], w[x], n[x])))
-        return _rows([("main", key[0].as_py(), save_arrays(folder, arrays), None, None), *rows])
+        return _rows([("main", key[0].as_py(), save_packed(folder, arrays), None, None), *rows])
 
     def merge_hot(key, table):
         names, (_, v, w, n) = _gathered([_decode(x) for x in _read(parts_folder, table)])
@@ -435,12 +437,12 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
         vw = pair_key(v, w)
         (word, profile), rows = after_pairs(v, w, n)
         rows += [("word", 0, None, None, [x, *p]) for x, p in zip(word.view(np.int64).tolist(), profile.tolist(), strict=True)]
-        return _rows([("hot", key[0].as_py(), save_arrays(folder, _table("pair", vw << U64(bits), n[:, None])), None, None), *rows])
+        return _rows([("hot", key[0].as_py(), save_packed(folder, _table("pair", vw << U64(bits), n[:, None])), None, None), *rows])
 
     def merge_ones(key, table):
         parts = [unpack_sorted(x) for x in _read(parts_folder, table)]
         keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        file = save_arrays(folder, _table("one", (keys << U64(16)) << U64(unigram_bits), n[:, None]))
+        file = save_packed(folder, _table("one", (keys << U64(16)) << U64(unigram_bits), n[:, None]))
         return _rows([("one", key[0].as_py(), file, None, [*_tally(n), int((n > 2).sum()), int(n.sum()), len(n)])])
 
     counted = rows.mapInArrow(send, _SCHEMA).groupBy("shard").applyInArrow(merge, _SCHEMA)
@@ -465,12 +467,14 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) for each row of docs under a trained model; one scan, no shuffle."""
     rows = pick(docs, "doc_id", "text")
+    # a slice asks every shard, so it grows with their number
+    step = min(SLICE, max(1 << 21, 1 << (14 + model.bits)))
 
     def run(batches):
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-            for i, j in slices(offsets, 1 << 21):
+            for i, j in slices(offsets, step):
                 w, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 u, v = two_before(w, first, _START)
                 p = model.log_probabilities(u, v, w)

@@ -7,8 +7,12 @@ count only once the attempt's row is back, so retries and lost executors leave n
 
 from __future__ import annotations
 
+import json
+import math
+import mmap
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -83,24 +87,64 @@ def save_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
+def _map(f) -> mmap.mmap:
+    """The bytes of a file, mapped until the last array over them is gone."""
+    return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+
+
+def mapped(path: str) -> np.ndarray:
+    """A saved array, mapped; unlike np.load's, it keeps no file open, of which a process may have some thousands only."""
+    with open(path, "rb") as f:
+        major, _ = np.lib.format.read_magic(f)
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(f)
+        if not math.prod(shape):
+            return np.zeros(shape, kind)
+        return np.frombuffer(_map(f), kind, math.prod(shape), f.tell()).reshape(shape, order="F" if fortran else "C")
+
+
+def save_packed(folder: str, arrays: dict[str, np.ndarray]) -> str:
+    """Writes one-dimensional or wider arrays one after another into one file under a new name and returns it."""
+    os.makedirs(folder, exist_ok=True)
+    name = uuid.uuid4().hex
+    at, kinds = 0, {}
+    for k, a in arrays.items():
+        kinds[k] = (a.dtype.str, a.shape, at)
+        at += -(-a.nbytes // 8) * 8
+    head = json.dumps(kinds).encode()
+    head += b" " * (-len(head) % 8)
+    with open(f"{folder}/{name}.packed", "wb") as f:
+        f.write(np.int64(len(head)).tobytes() + head)
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
+    return name
+
+
+def unpacked(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file of save_packed, by one map."""
+    with open(path, "rb") as f:
+        data = _map(f)
+    n = 8 + int.from_bytes(data[:8], "little")
+    return {k: np.frombuffer(data, kind, math.prod(shape), n + at).reshape(shape) for k, (kind, shape, at) in json.loads(data[8:n]).items()}
+
+
 class Maps:
     """Mapped arrays by path, the latest OPEN of them; those not used for longest are let go."""
 
     OPEN = 20_000
 
-    def __init__(self):
-        self._open: OrderedDict[str, np.ndarray] = OrderedDict()
+    def __init__(self, load=None):
+        self._open, self._load = OrderedDict(), load or mapped
 
     def __getstate__(self):
-        return {}
+        return self._load
 
-    def __setstate__(self, _):
-        self._open = OrderedDict()
+    def __setstate__(self, load):
+        self.__init__(load)
 
-    def get(self, path: str) -> np.ndarray:
+    def get(self, path: str):
         a = self._open.pop(path, None)
         if a is None:
-            a = np.load(path, mmap_mode="r")
+            a = self._load(path)
             if len(self._open) >= self.OPEN:
                 self._open.popitem(last=False)
         self._open[path] = a

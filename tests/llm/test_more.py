@@ -1,7 +1,9 @@
 """Cases of shards, repeats, nulls and clashing names, each against a brute-force version."""
 
+import os
 import random
 import re
+import resource
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import classifier, kernels, kneserney, linededup, linerules, ngramjoin, urlrules
+from corpusloom.llm import classifier, kernels, kneserney, linededup, linerules, ngramjoin, shared, urlrules
 from corpusloom.llm.mixing import mix_sources, mixed_documents
 from corpusloom.llm.packing import best_fit_decreasing, pack_documents
 from corpusloom.llm.shared import Scratch
@@ -72,6 +74,26 @@ def test_kneser_ney_in_shards(spark):
     assert results[0] == results[1]
 
 
+def test_mapped_files_are_not_kept_open(tmp_path):
+    rng = np.random.default_rng(4)
+    arrays = [{"a": rng.integers(0, 9, k, dtype=np.uint8), "b": rng.integers(0, 2**40, (k % 3, 2)), "c": np.arange(k, dtype=np.uint16)} for k in range(60)]
+    plain = [f"{tmp_path}/{shared.save_arrays(str(tmp_path), x)}" for x in arrays]
+    packed = [f"{tmp_path}/{shared.save_packed(str(tmp_path), x)}.packed" for x in arrays]
+    assert len(list(tmp_path.iterdir())) == 4 * len(arrays)
+    limit, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    maps, one = shared.Maps(), shared.Maps(shared.unpacked)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 20, hard))
+    try:
+        got = [({k: maps.get(f"{p}.{k}.npy") for k in x}, one.get(q)) for x, p, q in zip(arrays, plain, packed, strict=True)]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (limit, hard))
+    for x, both in zip(arrays, got, strict=True):
+        for y in both:
+            assert y.keys() == x.keys()
+            for k in x:
+                assert y[k].dtype == x[k].dtype and np.array_equal(y[k], x[k])
+
+
 def test_kneser_ney_blobs():
     rng = np.random.default_rng(5)
     names = np.unique(rng.integers(0, 1 << 48, 400, dtype=np.uint64))

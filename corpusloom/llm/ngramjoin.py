@@ -20,6 +20,8 @@ N, SIMILARITY = 3, 0.5
 SHARD_ENTRIES = 4_000_000
 #: Entries that a map task gathers before it sorts and sends them, or writes them.
 FLUSH = 1_500_000
+#: n-grams of partners of one set that are compared at once.
+CHECKED = 1_000_000
 _LOW = U64((1 << 48) - 1)
 _NO_DOC = np.iinfo(np.int64).min
 
@@ -180,14 +182,17 @@ def _prefix(size: np.ndarray, kept: np.ndarray, similarity: float) -> np.ndarray
 
 
 def _index(reps: DataFrame, sets: _Sets, scratch: Scratch, bits: int, similarity: float) -> tuple[str, dict[int, str]]:
-    """Postings (rid, size, kept, position) of each prefix n-gram that at least two sets hold, sorted by n-gram in mapped files."""
+    """Postings (rid, size, kept, position) of each n-gram of the sets' indexed prefixes, sorted by n-gram in mapped files.
+
+    A set is found by sets of its size or larger only, which share 2t / (1 + t) of it at least: its prefix is that of this share.
+    """
     folder = f"{scratch.path}/index"
     kinds = np.dtype([("gram", "<u8"), ("rid", "<i8"), ("size", "<i4"), ("kept", "<i4"), ("pos", "<i4")])
 
     def post(batches):
         for b in batches:
             rid, size, kept, file, offset = (b.column(i).to_numpy() for i in range(5))
-            p = _prefix(size, kept, similarity)
+            p = np.maximum(_prefix(size, kept, 2 * similarity / (1 + similarity)), 0)
             total = int(p.sum())
             rows = np.empty(total, kinds)
             at = 0
@@ -206,11 +211,8 @@ def _index(reps: DataFrame, sets: _Sets, scratch: Scratch, bits: int, similarity
     def build(key, table):
         rows = np.concatenate([np.frombuffer(x, kinds) for x in table["blob"].to_pylist()])
         rows = rows[np.argsort(rows["gram"], kind="stable")]
-        grams, start, count = np.unique(rows["gram"], return_index=True, return_counts=True)
-        many = count > 1
-        rows = rows[np.repeat(many, count)]
-        count = count[many]
-        name = save_arrays(folder, {"gram": grams[many], "start": np.cumsum(count) - count, "count": count, **{c: np.ascontiguousarray(rows[c]) for c in ("rid", "size", "kept", "pos")}})
+        grams, count = np.unique(rows["gram"], return_counts=True)
+        name = save_arrays(folder, {"gram": grams, "start": np.cumsum(count) - count, "count": count, **{c: np.ascontiguousarray(rows[c]) for c in ("rid", "size", "kept", "pos")}})
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [name]})
 
     found = reps.select("rid", "size", "kept", "file", "offset").mapInArrow(post, "shard int, blob binary").groupBy("shard").applyInArrow(build, "shard int, file string")
@@ -227,8 +229,8 @@ class _Probe:
         name = self.files.get(s)
         return name and {c: self.maps.get(f"{self.folder}/{name}.{c}.npy") for c in ("gram", "start", "count", "rid", "size", "kept", "pos")}
 
-    def _postings(self, grams: np.ndarray):
-        """(index into grams, rid, size, kept, pos) of all postings of the grams."""
+    def _postings(self, grams: np.ndarray, rid: int, size: int):
+        """(index into grams, rid, size, kept, pos) of the grams' postings of sets before (size, rid) that are not too small."""
         shard = shard_of(mix(grams), self.bits)
         out = []
         for s in np.unique(shard):
@@ -244,22 +246,25 @@ class _Probe:
             n = int(count.sum())
             if n:
                 where = np.arange(n) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-                out.append((np.repeat(mine, count), part["rid"][where], part["size"][where], part["kept"][where], part["pos"][where]))
+                other, osize = part["rid"][where], part["size"][where]
+                ok = np.flatnonzero(((osize < size) | ((osize == size) & (other < rid))) & (osize >= self.t * size - 1e-9))
+                where = where[ok]
+                out.append((np.repeat(mine, count)[ok], other[ok], *(x.astype(np.int64) for x in (osize[ok], part["kept"][where], part["pos"][where]))))
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
     def partners(self, rid: int, size: int, kept: int, file: int, offset: int) -> list[tuple[int, float]]:
         """The sets (rid, similarity) that come before this one in the order of (size, rid) and are similar to it."""
         t, mine = self.t, self.sets.get(file, offset, kept)
         mine = np.array(mine)
-        got = self._postings(mine[: int(_prefix(np.int64(size), np.int64(kept), t))])
+        got = self._postings(mine[: int(_prefix(np.int64(size), np.int64(kept), t))], rid, size)
         if got is None:
             return []
         i, other, osize, okept, j = got
-        # length filter, and each pair from its later side only
-        ok = ((osize < size) | ((osize == size) & (other < rid))) & (osize >= t * size - 1e-9)
-        i, other, osize, okept, j = i[ok], other[ok], osize[ok].astype(np.int64), okept[ok].astype(np.int64), j[ok].astype(np.int64)
         # the first common n-gram of each pair; verified once
-        order = np.lexsort((i, other))
+        if not len(i):
+            return []
+        order = np.argsort(i.astype(np.uint16) if kept < 1 << 16 else i, kind="stable")
+        order = order[np.argsort(other[order], kind="stable")]
         other = other[order]
         new = np.ones(len(other), dtype=bool)
         new[1:] = other[1:] != other[:-1]
@@ -269,23 +274,35 @@ class _Probe:
         # positional filter: what can still match from the first common n-gram on
         pos = i + size - kept
         ok = 1 + np.minimum(size - pos - 1, osize - j - 1) >= need
+        other, i, osize, okept, j, need = (x[ok] for x in (other, i, osize, okept, j, need))
+        # what of each partner is left from there on: its file's part, read at once for CHECKED n-grams
+        skip = j - (osize - okept)
+        rest = okept - skip
         out = []
-        for r, a, s, k, q, n in zip(other[ok].tolist(), i[ok].tolist(), osize[ok].tolist(), okept[ok].tolist(), j[ok].tolist(), need[ok].tolist(), strict=True):
-            theirs = self.sets.get(r >> 40, r & ((1 << 40) - 1), k)
-            b = q - (s - k)
-            left, right = mine[a:], theirs[b:]
+        edges = np.searchsorted(np.cumsum(rest) - rest, np.arange(0, int(rest.sum()) + CHECKED, CHECKED))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if lo == hi:
+                continue
+            o, m, at = other[lo:hi], rest[lo:hi], (other[lo:hi] & ((1 << 40) - 1)) + skip[lo:hi]
+            right = np.concatenate([self.sets.get(f, x, k) for f, x, k in zip((o >> 40).tolist(), at.tolist(), m.tolist(), strict=True)])
+            start = np.cumsum(m) - m
             # suffix filter: pivots cut both suffixes; pieces of unequal length cannot match in full
-            if len(right) >= 8:
-                cuts = np.array([len(right) // 4, len(right) // 2, 3 * len(right) // 4])
-                lc = np.searchsorted(left, right[cuts])
-                edges_l, edges_r = (np.diff(np.concatenate([[0], c, [m]])) for c, m in ((lc, len(left)), (cuts, len(right))))
-                if int(np.minimum(edges_l, edges_r).sum()) < n:
-                    continue
-            at = np.searchsorted(left, right)
-            at[at == len(left)] = 0
-            common = int((left[at] == right).sum())
-            if common >= n:
-                out.append((r, common / (size + s - common)))
+            cuts = np.stack([np.zeros_like(m), m // 4, m // 2, 3 * m // 4, m], axis=1)
+            theirs = np.diff(cuts, axis=1)
+            mids = np.searchsorted(mine, right[start[:, None] + cuts[:, 1:4]])
+            ours = np.diff(np.column_stack([i[lo:hi], mids, np.full(len(m), len(mine))]), axis=1)
+            able = (m < 8) | (np.minimum(theirs, ours).sum(axis=1) >= need[lo:hi])
+            if not able.all():
+                right, m = right[np.repeat(able, m)], m[able]
+                start = np.cumsum(m) - m
+            if not len(m):
+                continue
+            found = np.searchsorted(mine, right)
+            found[found == len(mine)] = 0
+            common = np.add.reduceat((mine[found] == right).astype(np.int64), start)
+            good = common >= need[lo:hi][able]
+            total = size + osize[lo:hi][able][good] - common[good]
+            out.extend(zip(o[able][good].tolist(), (common[good] / total).tolist(), strict=True))
         return out
 
 

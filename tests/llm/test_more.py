@@ -74,6 +74,34 @@ def test_kneser_ney_in_shards(spark):
     assert results[0] == results[1]
 
 
+def test_partners_are_verified_at_once(tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    whole = [np.sort(rng.choice(90, int(rng.integers(5, 60)), replace=False)).astype(np.uint64) for _ in range(12)]
+    whole += [np.sort(rng.permutation(w)[: int(len(w) * rng.uniform(0.5, 1)) + 1]) for w in whole for _ in range(4)]
+    name = shared.save_arrays(str(tmp_path), {"order": np.concatenate(whole)})
+    rid = np.cumsum([0, *(len(w) for w in whole[:-1])])
+    t = 0.5
+    rows = [(g, r, len(w), k) for w, r in zip(whole, rid.tolist(), strict=True) for k, g in enumerate(w.tolist()[: int(ngramjoin._prefix(np.int64(len(w)), np.int64(len(w)), 2 * t / (1 + t)))])]
+    rows.sort()
+    gram, r, size, pos = (np.array(x) for x in zip(*rows, strict=True))
+    grams, start, count = np.unique(gram.astype(np.uint64), return_index=True, return_counts=True)
+    index = shared.save_arrays(str(tmp_path), {"gram": grams, "start": start, "count": count, "rid": r, "size": size, "kept": size, "pos": pos})
+    order = sorted(range(len(whole)), key=lambda k: (len(whole[k]), rid[k]))
+    want = {}
+    for at, x in enumerate(order):
+        for y in order[:at]:
+            both = len({*whole[x].tolist()} & {*whole[y].tolist()})
+            if both >= t * (len(whole[x]) + len(whole[y]) - both):
+                want[int(rid[x]), int(rid[y])] = both / (len(whole[x]) + len(whole[y]) - both)
+    assert len(want) > 30
+    sets = ngramjoin._Sets(str(tmp_path), [name])
+    for checked in (1_000_000, 70):
+        monkeypatch.setattr(ngramjoin, "CHECKED", checked)
+        probe = ngramjoin._Probe(sets, str(tmp_path), {0: index}, 0, t)
+        got = {(int(a), b): x for a, w in zip(rid, whole, strict=True) for b, x in probe.partners(int(a), len(w), len(w), 0, int(a))}
+        assert got == pytest.approx(want)
+
+
 def test_mapped_files_are_not_kept_open(tmp_path):
     rng = np.random.default_rng(4)
     arrays = [{"a": rng.integers(0, 9, k, dtype=np.uint8), "b": rng.integers(0, 2**40, (k % 3, 2)), "c": np.arange(k, dtype=np.uint16)} for k in range(60)]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .kernels import doc_of, inside, mix, slices, span_hash, text_bytes, tokens, window_hash
-from .shared import U64, HashTable, Maps, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
+from .shared import U64, HashTable, Maps, Scratch, build_table, load_blobs, pick, plus, position, save_arrays, save_blobs, shard_bits, shard_of
 
 #: Words per n-gram and the least Jaccard similarity of a pair.
 N, SIMILARITY = 3, 0.5
@@ -20,6 +20,8 @@ N, SIMILARITY = 3, 0.5
 SHARD_ENTRIES = 4_000_000
 #: Entries that a map task gathers before it sorts and sends them, or writes them.
 FLUSH = 1_500_000
+#: Ranges of keys that a task counts one after another.
+RANGES = 16
 #: n-grams of partners of one set that are compared at once.
 CHECKED = 1_000_000
 _LOW = U64((1 << 48) - 1)
@@ -76,9 +78,37 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[head], np.add.reduceat(counts[order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
 
 
+#: Rows that name bytes in the shared folder.
+_PLACES = "shard int, file string, at bigint, size bigint"
+
+
+def _placed(folder: str, shards: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    """Rows of _PLACES for the blobs of some shards. The bytes are written to the folder: in a shuffle, the JVM would hold them several times."""
+    name, at, size = save_blobs(folder, blobs)
+    return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array([name] * len(blobs), pa.string()), pa.array(at), pa.array(size)], ["shard", "file", "at", "size"])
+
+
+def _by_shard(places: DataFrame, bits: int):
+    """Rows of _PLACES in groups, spread by number, as their size says nothing of the work."""
+    return places.repartition(min(1 << bits, 4096), "shard").groupBy("shard")
+
+
+def _repeated(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the keys that several parts of one shard count twice or more; each part has sorted keys with counts. Only one of RANGES ranges of keys is merged at once."""
+    low, high = min(int(k[0]) for k, _ in parts), max(int(k[-1]) for k, _ in parts)
+    edges = np.array([low + (high - low) * i // RANGES for i in range(1, RANGES)], U64)
+    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k, _ in parts]
+    out = []
+    for r in range(RANGES):
+        keys, counts = summed(*(np.concatenate([p[i][c[r] : c[r + 1]] for p, c in zip(parts, cuts, strict=True)]) for i in (0, 1)))
+        many = counts > 1
+        out.append((keys[many], counts[many]))
+    return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
+
+
 def count_repeated(rows: DataFrame, scratch: Scratch, n: int, bits: int) -> HashTable:
     """Document frequency of each n-gram that at least two rows hold: counted over all rows, by hash, and stored as sorted arrays."""
-    folder = f"{scratch.path}/frequency"
+    folder, counted = f"{scratch.path}/frequency", f"{scratch.path}/counted"
 
     def count(batches):
         held: list[np.ndarray] = []
@@ -94,7 +124,7 @@ def count_repeated(rows: DataFrame, scratch: Scratch, n: int, bits: int) -> Hash
             keys = keys[head]
             edges = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
             full = np.flatnonzero(np.diff(edges))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack_sorted(keys[edges[s] : edges[s + 1]] >> U64(16), counts[edges[s] : edges[s + 1]]) for s in full], pa.binary())], ["shard", "blob"])
+            return _placed(counted, full, [pack_sorted(keys[edges[s] : edges[s + 1]] >> U64(16), counts[edges[s] : edges[s + 1]]) for s in full])
 
         for b in batches:
             for _, _, grams, _ in gram_sets(b.column(0), n):
@@ -108,13 +138,13 @@ def count_repeated(rows: DataFrame, scratch: Scratch, n: int, bits: int) -> Hash
             yield flush()
 
     def total(key, table):
-        parts = [unpack_sorted(x) for x in table["blob"].to_pylist()]
-        keys, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        many = counts > 1
-        name = save_arrays(folder, {"key": keys[many] << U64(16), "df": np.minimum(counts[many], 65535).astype(np.uint16)})
+        # counts are copied, so that no unpacked blob stays
+        keys, counts = _repeated([(k, c.copy()) for k, c in map(unpack_sorted, load_blobs(counted, table))])
+        name = save_arrays(folder, {"key": keys << U64(16), "df": np.minimum(counts, 65535).astype(np.uint16)})
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [name]})
 
-    files = rows.select("text").mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInArrow(total, "shard int, file string").collect()
+    files = _by_shard(rows.select("text").mapInArrow(count, _PLACES), bits).applyInArrow(total, "shard int, file string").collect()
+    scratch.drop("counted")
     return HashTable(folder, bits, {r.shard: r.file for r in files}, ["df"])
 
 
@@ -186,7 +216,7 @@ def _index(reps: DataFrame, sets: _Sets, scratch: Scratch, bits: int, similarity
 
     A set is found by sets of its size or larger only, which share 2t / (1 + t) of it at least: its prefix is that of this share.
     """
-    folder = f"{scratch.path}/index"
+    folder, posted = f"{scratch.path}/index", f"{scratch.path}/posted"
     kinds = np.dtype([("gram", "<u8"), ("rid", "<i8"), ("size", "<i4"), ("kept", "<i4"), ("pos", "<i4")])
 
     def post(batches):
@@ -206,17 +236,25 @@ def _index(reps: DataFrame, sets: _Sets, scratch: Scratch, bits: int, similarity
             order = np.argsort(shard, kind="stable")
             rows, edges = rows[order], np.searchsorted(shard[order], np.arange((1 << bits) + 1))
             full = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[edges[s] : edges[s + 1]].tobytes() for s in full], pa.binary())], ["shard", "blob"])
+            if len(full):
+                yield _placed(posted, full, [_squeezed(rows[edges[s] : edges[s + 1]]) for s in full])
 
     def build(key, table):
-        rows = np.concatenate([np.frombuffer(x, kinds) for x in table["blob"].to_pylist()])
-        rows = rows[np.argsort(rows["gram"], kind="stable")]
+        rows = np.concatenate([np.frombuffer(pa.decompress(memoryview(x)[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd"), kinds) for x in load_blobs(posted, table)])
+        order = np.argsort(rows["gram"], kind="stable")
         grams, count = np.unique(rows["gram"], return_counts=True)
-        name = save_arrays(folder, {"gram": grams, "start": np.cumsum(count) - count, "count": count, **{c: np.ascontiguousarray(rows[c]) for c in ("rid", "size", "kept", "pos")}})
+        name = save_arrays(folder, {"gram": grams, "start": np.cumsum(count) - count, "count": count, **{c: rows[c][order] for c in ("rid", "size", "kept", "pos")}})
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [name]})
 
-    found = reps.select("rid", "size", "kept", "file", "offset").mapInArrow(post, "shard int, blob binary").groupBy("shard").applyInArrow(build, "shard int, file string")
-    return folder, {r.shard: r.file for r in found.collect()}
+    found = _by_shard(reps.select("rid", "size", "kept", "file", "offset").mapInArrow(post, _PLACES), bits).applyInArrow(build, "shard int, file string")
+    files = {r.shard: r.file for r in found.collect()}
+    scratch.drop("posted")
+    return folder, files
+
+
+def _squeezed(rows: np.ndarray) -> bytes:
+    raw = rows.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 class _Probe:

@@ -87,6 +87,23 @@ def save_arrays(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
+def save_blobs(folder: str, blobs: list[bytes]) -> tuple[str, np.ndarray, np.ndarray]:
+    """Writes blobs one after another into one file under a new name: (name, places, sizes)."""
+    os.makedirs(folder, exist_ok=True)
+    name = uuid.uuid4().hex
+    with open(f"{folder}/{name}.blobs", "wb") as f:
+        f.writelines(blobs)
+    size = np.array([len(b) for b in blobs], np.int64)
+    return name, np.cumsum(size) - size, size
+
+
+def load_blobs(folder: str, table: pa.Table):
+    """The bytes of each row (file, at, size) of a table, one after another, so that only one is held."""
+    for name, at, size in zip(*(table[c].to_pylist() for c in ("file", "at", "size")), strict=True):
+        with open(f"{folder}/{name}.blobs", "rb", buffering=0) as f:
+            yield os.pread(f.fileno(), size, at)
+
+
 def _map(f) -> mmap.mmap:
     """The bytes of a file, mapped until the last array over them is gone."""
     return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))

@@ -4,6 +4,7 @@ import os
 import random
 import re
 import resource
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,6 +103,27 @@ def test_partners_are_verified_at_once(tmp_path, monkeypatch):
         assert got == pytest.approx(want)
 
 
+def test_ngrams_are_counted_in_ranges(tmp_path):
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 43, 300_000, dtype=np.uint64)
+    parts = [np.unique(rng.choice(pool, 10_000), return_counts=True) for _ in range(40)]
+    blobs = [ngramjoin.pack_sorted(*p) for p in parts]
+    rows = ngramjoin._placed(str(tmp_path), np.zeros(len(blobs), np.int64), blobs)
+    assert rows.get_total_buffer_size() < 6000 < sum(map(len, blobs)) // 50  # the bytes stay out of the shuffle
+    back = [(k, c.copy()) for k, c in map(ngramjoin.unpack_sorted, shared.load_blobs(str(tmp_path), pa.Table.from_batches([rows])))]
+    tracemalloc.start()
+    keys, counts = ngramjoin._repeated(back)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(len(k) for k, _ in parts)  # 41 bytes for each entry if all are merged at once
+    want = Counter()
+    for k, c in parts:
+        want.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {k: c for k, c in want.items() if c > 1}
+    same = [(np.array([7], np.uint64), np.array([1])), (np.array([7], np.uint64), np.array([2]))]
+    assert [x.tolist() for x in ngramjoin._repeated(same)] == [[7], [3]] and not len(ngramjoin._repeated(same[:1])[0])
+
+
 def test_mapped_files_are_not_kept_open(tmp_path):
     rng = np.random.default_rng(4)
     arrays = [{"a": rng.integers(0, 9, k, dtype=np.uint8), "b": rng.integers(0, 2**40, (k % 3, 2)), "c": np.arange(k, dtype=np.uint16)} for k in range(60)]

@@ -201,23 +201,22 @@ class _Mapped:
             return out
         bits = (len(index) - 1).bit_length() - 1
         bucket = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        want = ((keys >> U64(64 - bits - _LOW_BITS)) & U64((1 << _LOW_BITS) - 1)).astype(np.uint32)
-        lo, hi = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
-        end = hi.copy()
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            less = open_ & ((low[np.minimum(mid, len(low) - 1)] >> 3) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        hit = np.flatnonzero(lo < end)
-        got = low[lo[hit]]
-        same = (got >> 3) == want[hit]
-        hit, code = hit[same], (got[same] & 7).astype(np.int64)
+        # the stored bits of each key in their place, with a code of 0
+        want = (keys >> U64(61 - bits - _LOW_BITS)).astype(np.uint32) & ~np.uint32(_RARE)
+        at, end = index.take(bucket).astype(np.int64), index.take(bucket + 1).astype(np.int64)
+        # how many of the bucket are less, power of two by power of two, for all keys at once
+        step = 1 << int((end - at).max(initial=0)).bit_length() >> 1
+        while step:
+            probe = at + (step - 1)
+            less = low.take(probe, mode="clip") < want
+            less &= probe < end
+            at += np.multiply(less, step, dtype=np.int64)
+            step >>= 1
+        got = low.take(at, mode="clip")
+        hit = np.flatnonzero(((got ^ want) <= _RARE) & (at < end))
+        code = (got[hit] & _RARE).astype(np.int64)
         far = np.flatnonzero(code == _RARE)
-        code[far] = idx[np.searchsorted(rare, lo[hit[far]])]
+        code[far] = idx[np.searchsorted(rare, at[hit[far]])]
         out[hit] = values[code]
         return out
 
@@ -253,9 +252,10 @@ class KneserNey:
 
     def _lookup(self, kind: str, table: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         out = np.zeros((len(keys), width), np.int64)
-        # by shard, then by key, so that a batch walks each mapped array once
-        order = np.lexsort((keys, shard))
-        edges = np.searchsorted(shard[order], np.arange(max(1, 1 << (self.unigram_bits if kind == "one" else self.bits)) + 1))
+        # by shard only: a radix sort, if there are at most 1 << 16
+        bits = self.unigram_bits if kind == "one" else self.bits
+        order = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
+        edges = np.cumsum(np.bincount(shard + 1, minlength=(1 << bits) + 1))
         for s in np.flatnonzero(np.diff(edges)):
             name = self.files[kind].get(int(s))
             if name is None:
@@ -264,44 +264,43 @@ class KneserNey:
             out[at] = _Mapped(f"{self.folder}/{name}", self.maps).find(table, keys[at])
         return out
 
-    def log_probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural logarithm of p(w | u v) for each position."""
+    def log_probabilities(self, names: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural logarithm of p(w | u v) for each position; u, v and w are ids into names, the different words. What belongs to a word is looked up once for all its positions."""
         d3, d2, d1 = self.d
         # where the shard is named by the first bits of a key, the key is looked up without these
-        one = mix(w)
+        one = mix(names)
         c1 = self._lookup("one", "one", shard_of(one, self.unigram_bits), (one & ~U64(0xFFFF)) << U64(self.unigram_bits), 1)[:, 0]
         total = max(1, self.unigrams)
         weight = (d1[1:] * np.array(self.n_unigram)).sum() / total if self.unigrams else 1.0
-        p = np.maximum(c1 - d1[np.minimum(c1, 3)], 0) / total + weight / (self.words + 1)
-        hot = np.isin(v, self.hot)
-        home = _shard(u, v, self.hot, self.bits)
-        uv, vw = pair_key(u, v), pair_key(v, w)
-        profile, c2 = np.zeros((len(w), 4), np.int64), np.zeros(len(w), np.int64)
-        cold = np.flatnonzero(~hot)
-        profile[cold] = self._lookup("main", "word", home[cold], mix(v[cold]) << U64(self.bits), 4)
+        p = (np.maximum(c1 - d1[np.minimum(c1, 3)], 0) / total + weight / (self.words + 1))[w]
+        hot, home = np.isin(names, self.hot), shard_of(one, self.bits)
+        profile = np.zeros((len(names), 4), np.int64)
+        profile[~hot] = self._lookup("main", "word", home[~hot], one[~hot] << U64(self.bits), 4)
+        profile[hot] = self.hot_profile[np.searchsorted(self.hot, names[hot])]
+        uv, vw = pair_key(names[u], names[v]), pair_key(names[v], names[w])
+        # trigrams with the same middle word are in one shard; those of frequent ones in one for each context
+        hot, home = hot[v], home[v]
+        cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+        c2 = np.zeros(len(w), np.int64)
         c2[cold] = self._lookup("main", "pair", home[cold], vw[cold], 1)[:, 0]
-        warm = np.flatnonzero(hot)
-        if len(warm):
-            profile[warm] = self.hot_profile[np.searchsorted(self.hot, v[warm])]
-            c2[warm] = self._lookup("hot", "pair", shard_of(vw[warm], self.bits), vw[warm] << U64(self.bits), 1)[:, 0]
-        p = _interpolate(c2, profile, d2, p)
+        c2[warm] = self._lookup("hot", "pair", shard_of(vw[warm], self.bits), vw[warm] << U64(self.bits), 1)[:, 0]
+        home[warm] = shard_of(uv[warm], self.bits)
+        p = _interpolate(c2, *(x[v] for x in _left(profile, d2)), d2, p)
         context = self._lookup("main", "context", home, uv, 4)
-        c3 = self._lookup("main", "triple", home, triple_key(uv, w), 1)[:, 0]
-        return np.log(_interpolate(c3, context, d3, p))
+        c3 = self._lookup("main", "triple", home, triple_key(uv, names[w]), 1)[:, 0]
+        return np.log(_interpolate(c3, *_left(context, d3), d3, p))
 
 
-def _interpolate(count: np.ndarray, profile: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Discounted share of the count, plus what was discounted in the context times the lower order. A context never seen is skipped."""
+def _left(profile: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the counts, share of it that is discounted) of each context."""
     total = profile[:, 0]
-    seen = np.maximum(total, 1)
-    share = np.maximum(count - d[np.minimum(count, 3)], 0) / seen
-    rest = (profile[:, 1] * d[1] + profile[:, 2] * d[2] + profile[:, 3] * d[3]) / seen
-    return np.where(total > 0, share + rest * lower, lower)
+    return total, (profile[:, 1] * d[1] + profile[:, 2] * d[2] + profile[:, 3] * d[3]) / np.maximum(total, 1)
 
 
-def _shard(u: np.ndarray, v: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """Trigrams with the same middle word meet in one task; those of frequent ones in one for each context."""
-    return shard_of(np.where(np.isin(v, hot), pair_key(u, v), mix(v)), bits)
+def _interpolate(count: np.ndarray, total: np.ndarray, rest: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted share of the count, plus what was discounted in the context times the lower order. A context never seen is skipped."""
+    share = np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(total, 1)
+    return np.where(total > 0, share + rest * lower, lower)
 
 
 _SCHEMA = "kind string, shard int, file string, blob binary, stats array<bigint>"
@@ -381,7 +380,7 @@ def train(docs: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES)
             count = np.diff(np.append(head, len(u)))
             u, v, w = u[head], v[head], w[head]
             del order, new, head
-            # _shard, word by word
+            # trigrams with the same middle word meet in one task; those of frequent ones in one for each context
             shard, spread = shard_of(mix(names), bits)[v], np.flatnonzero(np.isin(names, hot)[v])
             shard[spread] = shard_of(pair_key(names[u[spread]], names[v[spread]]), bits)
             return _rows(_blobs("count", shard, bits, lambda x: _encode_part(names, u[x], v[x], w[x], count[x])))
@@ -476,8 +475,8 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
             total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
             for i, j in slices(offsets, step):
                 w, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                u, v = two_before(w, first, _START)
-                p = model.log_probabilities(u, v, w)
+                names, w = np.unique(np.append(w, _START), return_inverse=True)
+                p = model.log_probabilities(names, *two_before(w[:-1], first, w[-1]), w[:-1])
                 count[i:j] = np.diff(first)
                 full = np.flatnonzero(count[i:j])
                 if len(full):

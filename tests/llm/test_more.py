@@ -144,6 +144,29 @@ def test_mapped_files_are_not_kept_open(tmp_path):
                 assert y[k].dtype == x[k].dtype and np.array_equal(y[k], x[k])
 
 
+def test_kneser_ney_lookups(tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 5, 40, 3000):
+        # whole hashes, and some that crowd in one bucket
+        keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1), np.arange(n // 4, dtype=np.uint64) << np.uint64(36)]))
+        values = rng.integers(1, 30, (len(keys), 4))
+        path = f"{tmp_path}/{shared.save_packed(str(tmp_path), kneserney._table('t', keys, values))}"
+        asked = np.concatenate([keys, rng.integers(0, 1 << 63, 2000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        found = kneserney._Mapped(path, shared.Maps(shared.unpacked)).find("t", asked)
+        # a table keeps the first bits of a key only
+        bits = min(16, max(0, len(keys).bit_length() - 5)) + 29
+        want = {k >> 64 - bits: tuple(v) for k, v in zip(keys.tolist(), values.tolist(), strict=True)}
+        assert [tuple(x) for x in found.tolist()] == [want.get(k >> 64 - bits, (0,) * 4) for k in asked.tolist()]
+    # a word is looked up once for all its positions
+    model = kneserney.KneserNey("", 2, {}, 1, np.array([7], np.uint64), np.array([[3, 1, 1, 1]]), [np.array([0, 0.5, 1, 1.5])] * 3, 9, 3)
+    model.n_unigram = [1, 1, 1]
+    asked = []
+    monkeypatch.setattr(kneserney.KneserNey, "_lookup", lambda self, kind, table, shard, keys, width: asked.append((kind, table, len(keys))) or np.ones((len(keys), width), np.int64))
+    names, u, v, w = np.array([3, 5, 7], np.uint64), np.array([0, 0, 1] * 50), np.array([0, 1, 2] * 50), np.array([1, 2, 1] * 50)
+    assert len(model.log_probabilities(names, u, v, w)) == 150
+    assert asked == [("one", "one", 3), ("main", "word", 2), ("main", "pair", 100), ("hot", "pair", 50), ("main", "context", 150), ("main", "triple", 150)]
+
+
 def test_kneser_ney_blobs():
     rng = np.random.default_rng(5)
     names = np.unique(rng.integers(0, 1 << 48, 400, dtype=np.uint64))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import doc_of, lines, slices, span_hash, text_bytes, tokens, trim
+from .kernels import NARROW, doc_of, lines, slices, span_hash, text_bytes, tokens, trim
 from .shared import pick, position
 
 #: Most labelled rows that a fit uses; they are drawn by a hash of doc_id. The fit's time and memory depend on it alone.
@@ -37,7 +37,7 @@ def statistics(text: pa.Array) -> np.ndarray:
     """Statistics of each text, float64 (documents, len(FEATURES)), from its whole bytes. Empty and null texts give a row of zeros."""
     data, offsets = text_bytes(text)
     out = np.zeros((len(offsets) - 1, len(FEATURES)))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, NARROW):
         out[i:j] = _statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
     return out
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .kernels import doc_of, line_hash, lines, mix, slices, small_batches, text_bytes, trim
-from .shared import U64, HashTable, Maps, Scratch, build_table, pick, plus, position, save_arrays, shard_bits, shard_of
+from .kernels import NARROW, doc_of, line_hash, lines, mix, slices, small_batches, text_bytes, trim
+from .shared import U64, HashTable, Maps, Scratch, build_table, name_numbers, pick, plus, position, save_arrays, shard_bits, shard_of
 
 #: A shingle is a run of so many UTF-8 bytes: one character each in ASCII text.
 SHINGLE = 5
@@ -194,7 +194,7 @@ def _each_slice(batch: pa.RecordBatch):
     """(data, line starts, line ends, line hash, line number, doc_id) of the lines that are not blank, for each slice of a (doc_id, text) batch."""
     ids = batch.column(0).cast(pa.int64()).fill_null(_NO_DOC).to_numpy(zero_copy_only=False)
     data, offsets = text_bytes(batch.column(1))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, NARROW):
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = lines(part, off)
         number = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
@@ -347,7 +347,7 @@ def _store(rows: DataFrame, first: HashTable, wanted: HashTable, scratch: Scratc
 
     found = scratch.table(rows.mapInArrow(save, "key bigint, name string, offset bigint, length bigint"), "places")
     names = sorted(r.name for r in found.select("name").distinct().collect())  # one for each task
-    known = found.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, file bigint")
+    known = name_numbers(found.sparkSession, names, pa.int64())
     places = found.join(known, "name").groupBy("key").agg(F.min(F.struct("file", "offset", "length")).alias("p")).select("key", "p.*")
     return _Lines(build_table(places, scratch, "place", shard_bits(found.count()), ["file", "offset", "length"]), folder, names)
 
@@ -436,7 +436,7 @@ def _rewrite(ids: pa.Array, texts: pa.Array, keepers: LineKeepers) -> tuple[pa.A
     data, offsets = text_bytes(texts)
     removed, solid = np.zeros(len(doc_ids), np.int64), np.zeros(len(doc_ids), np.int64)
     changed: dict[int, str] = {}
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, NARROW):
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         ls, le, first = lines(part, off)
         doc = doc_of(first)

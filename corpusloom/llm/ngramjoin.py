@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .kernels import doc_of, inside, mix, slices, span_hash, text_bytes, tokens, window_hash
-from .shared import U64, HashTable, Maps, Scratch, build_table, load_blobs, pick, plus, position, save_arrays, save_blobs, shard_bits, shard_of
+from .shared import U64, HashTable, Maps, Scratch, build_table, load_blobs, name_numbers, pick, plus, position, save_arrays, save_blobs, shard_bits, shard_of
 
 #: Words per n-gram and the least Jaccard similarity of a pair.
 N, SIMILARITY = 3, 0.5
@@ -201,7 +201,7 @@ def _ordered_sets(rows: DataFrame, frequency: HashTable, scratch: Scratch, n: in
     kind = dict(rows.dtypes)["doc_id"]
     found = scratch.table(rows.select("doc_id", "text").mapInArrow(order_sets, f"doc_id {kind}, set_hash bigint, size int, kept int, name string, offset bigint"), "found")
     names = sorted(r.name for r in found.select("name").distinct().collect())  # one for each FLUSH entries
-    known = found.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, file int")
+    known = name_numbers(found.sparkSession, names, pa.int32())
     numbered = found.join(F.broadcast(known) if len(names) < 100_000 else known, "name").drop("name")
     return numbered.withColumn("rid", F.shiftleft(F.col("file").cast("bigint"), 40) + F.col("offset")), _Sets(folder, names)
 

@@ -228,6 +228,11 @@ def build_table(df: DataFrame, scratch: Scratch, name: str, bits: int, values: l
     return HashTable(folder, bits, files, values)
 
 
+def name_numbers(spark: SparkSession, names: list[str], kind: pa.DataType) -> DataFrame:
+    """(name, file): each name with its place, handed over as Arrow data: a list of tuples would pass through Python workers of another pool."""
+    return spark.createDataFrame(pa.table({"name": pa.array(names, pa.string()), "file": pa.array(range(len(names)), kind)}))
+
+
 def plus(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, kind)])
 

@@ -4,6 +4,8 @@ import os
 import random
 import re
 import resource
+import subprocess
+import sys
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -297,6 +299,51 @@ def test_arrow_gives_memory_back():
     assert pa.default_memory_pool().backend_name == "system"
 
 
+def test_collection_gives_memory_back():
+    """Memory that is free between arrays still in use goes back to the system when a worker collects its garbage, as it does after each task."""
+    code = """
+import gc, re
+import numpy as np
+from corpusloom.llm import kernels
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+arrays = [np.ones(8000) for _ in range(2000)]
+arrays = arrays[::40]
+before = held()
+gc.collect()
+print(before - held())
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=60, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert float(got.stdout) > 80
+
+
+def test_temporaries_of_statistics_and_signatures_stay_small(monkeypatch):
+    rnd = random.Random(47)
+    texts = ["\n".join(" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) + str(rnd.randrange(99)) for _ in range(12)) for _ in range(rnd.randint(1, 60))) for _ in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], ["doc_id", "text"])
+
+    def signed():
+        return [x for data, s, e, h, n, d in linededup._each_slice(batch) for x in zip(d.tolist(), n.tolist(), h.tolist(), linededup.signatures(data, s, e)[1].tolist(), strict=True)]
+
+    classifier.statistics(batch.column(1))  # powers that the worker keeps
+    for work, most in ((lambda: classifier.statistics(batch.column(1)), 20 << 20), (lambda: sum(len(linededup.signatures(x[0], x[1], x[2])[1]) for x in linededup._each_slice(batch)), 40 << 20)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    small = classifier.statistics(batch.column(1)), signed()
+    for module in (classifier, linededup):
+        monkeypatch.setattr(module, "NARROW", 1 << 30)
+    assert (classifier.statistics(batch.column(1)) == small[0]).all() and signed() == small[1]
+
+
+def test_file_names_are_numbered_without_python_workers(spark):
+    known = shared.name_numbers(spark, ["x", "y"], pa.int64())
+    assert known.dtypes == [("name", "string"), ("file", "bigint")] and sorted(map(tuple, known.collect())) == [("x", 0), ("y", 1)]
+    assert "LocalTableScan" in known._jdf.queryExecution().executedPlan().toString()
+    assert shared.name_numbers(spark, [], pa.int32()).collect() == []
+
+
 def test_small_batches():
     rows = [(k, None if k % 7 == 3 else "x" * (k * 37 % 900)) for k in range(500)]
     whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])

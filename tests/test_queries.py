@@ -140,3 +140,42 @@ def test_manifest_diff_judges_all_documents(spark):
     rows = QUERIES["manifest_diff_all"](spark, SF).collect()
     assert {r.path for r in rows if r.status != "deleted"} == ids
     assert {r.path for r in rows if r.status == "deleted"} == {f"old-{i}" for i in ids if int(i) % 7 == 2}
+
+
+def test_tree_groups_by_rounds(spark, monkeypatch):
+    """Rounds of a few rows, with equal and zero vectors whose lists run out: the same groups as by all products."""
+    import numpy as np
+
+    from corpusloom.operators import tree
+
+    monkeypatch.setattr(tree, "LOCAL", 100)
+    monkeypatch.setattr(tree, "HEAD", 300)
+    monkeypatch.setattr(tree, "NEAREST", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[rng.choice(900, 300)] = x[0]
+    x[rng.choice(900, 100)] = 0
+    x[::9] = np.eye(8)[rng.integers(0, 8, len(x[::9]))]
+    ids = [f"{i:05d}" for i in range(len(x))]
+    nodes = spark.createDataFrame([(i, f"t{i}", v.tolist()) for i, v in zip(ids, x, strict=True)], "doc_id string, content string, vector array<float>")
+    rows = tree.summary_tree(nodes, " ".join, lambda t: np.ones(8), levels=1).where("level = 1").collect()
+    want: dict[int, list[str]] = {}
+    for i, g in zip(ids, tree.greedy_groups(x, 4), strict=True):
+        want.setdefault(g, []).append(i)
+    assert {r.node_id: r.child_ids for r in rows} == {f"L1-{g}": c for g, c in want.items()}
+
+
+def test_hash_lists_sums_each_list_alone():
+    import hashlib
+
+    import numpy as np
+
+    from corpusloom.functions.vectors import hash_lists
+
+    lists = [["a", "b", "a"], [], ["é"], ["x"] * 50]
+    for terms, got in zip(lists, hash_lists(lists, 16), strict=True):
+        v = np.zeros(16, np.float32)
+        for t in [*terms, *(f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False))]:
+            d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            v[int.from_bytes(d[:4], "little") % 16] += -1.0 if d[4] & 1 else 1.0
+        assert (got == (v / np.linalg.norm(v) if v.any() else v)).all()

@@ -43,3 +43,16 @@ def test_bm25_of_repeated_ids_and_of_nothing(texts, monkeypatch):
     want = search.bm25(docs, queries).collect()
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
     assert sorted(map(str, search.bm25(docs, queries).collect())) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.4])
+def test_hybrid_makes_no_row_for_each_pair(texts, alpha):
+    """Both scores of a document are made together; the result is that of the joined frames, with and without a filter."""
+    from corpusloom.plans.engine import embed_frame, hybrid_retriever
+
+    docs, queries = texts[0].where("doc_id is not null"), texts[1].where("query_id < 6")
+    dense = search.dense_scores(embed_frame(docs, "text", "vector", 32).select("doc_id", "vector"), embed_frame(queries, "query", "query_vector", 32))
+    for keep in (None, docs.where("doc_id % 3 = 0").select("doc_id")):
+        got = hybrid_retriever(docs, alpha, 32, keep)(queries, 6)
+        assert "SortMergeJoin [query_id" not in plan(got)
+        same(got, search.hybrid_top_k(dense, search.bm25(docs, queries), 6, alpha, keep).select(*got.columns))

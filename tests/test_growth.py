@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import search
+from corpusloom.operators import nearest, search
 
 
 def plan(df) -> str:
@@ -56,3 +56,23 @@ def test_hybrid_makes_no_row_for_each_pair(texts, alpha):
         got = hybrid_retriever(docs, alpha, 32, keep)(queries, 6)
         assert "SortMergeJoin [query_id" not in plan(got)
         same(got, search.hybrid_top_k(dense, search.bm25(docs, queries), 6, alpha, keep).select(*got.columns))
+
+
+def test_dense_top_k_shuffles_no_vectors(spark):
+    """The vectors are in no plan, ties go by doc_id, and the scores are all products."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, size=(500, 6)).astype(float)
+    v = spark.createDataFrame([(f"d{i:03d}", r.tolist()) for i, r in enumerate(x)], "doc_id string, vector array<double>")
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:40] / 3)], "query_id int, query_vector array<double>")
+    got = search.dense_top_k(v, q, 9)
+    assert "CoGroup" not in plan(got)
+    same(got, search.top_k(search.dense_scores(v, q), 9))
+    assert search.dense_top_k(v.limit(0), q, 3).isEmpty()
+    same(search.dense_top_k(v, q, 600), search.top_k(search.dense_scores(v, q), 600))
+
+
+def test_nearest_keeps_rows_that_single_precision_confuses(spark):
+    x = np.ones((300, 4)) + np.arange(300)[:, None] * 1e-9
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row bigint, vector array<double>")
+    near, _ = nearest.nearest(nearest.stored(v, ["row"], "row"), np.ones((1, 4)), np.array([5]), np.packbits(np.ones(300, bool)))
+    assert near[0].tolist() == [299, 298, 297, 296, 295]

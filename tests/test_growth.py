@@ -76,3 +76,21 @@ def test_nearest_keeps_rows_that_single_precision_confuses(spark):
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row bigint, vector array<double>")
     near, _ = nearest.nearest(nearest.stored(v, ["row"], "row"), np.ones((1, 4)), np.array([5]), np.packbits(np.ones(300, bool)))
     assert near[0].tolist() == [299, 298, 297, 296, 295]
+
+
+def test_multi_hop_searches_once_for_each_hop(spark):
+    from corpusloom.plans.engine import multi_hop
+
+    runs = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id int, text string")
+
+    @F.udf("double")
+    def counted(i):
+        runs.add(1)
+        return 1.0
+
+    def search_all(q, k):
+        return q.crossJoin(docs).select("query_id", "doc_id", counted.asNondeterministic()("doc_id").alias("score"), (F.col("doc_id") + 1).alias("rank")).where(F.col("rank") <= k)
+
+    rows = multi_hop(docs, spark.createDataFrame([(1, "what")], "query_id int, query string"), search_all, hops=3).collect()
+    assert len(rows) == 12 and runs.value == 12

@@ -1,10 +1,12 @@
 """Steps that must not grow faster than their input, against the plain way to do the same."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import nearest, search
+from corpusloom.operators import graph, nearest, search
 
 
 def plan(df) -> str:
@@ -78,6 +80,16 @@ def test_nearest_keeps_rows_that_single_precision_confuses(spark):
     assert near[0].tolist() == [299, 298, 297, 296, 295]
 
 
+def test_names_of_a_long_text_are_made_once(spark):
+    """4,000 names: their work grew with the square of their number."""
+    names = [f"Ab{i % 2000:04d}x" for i in range(4000)]
+    docs = spark.createDataFrame([(i, ", ".join(names)) for i in range(8)], "doc_id int, text string")
+    began = time.time()
+    rows = graph.entity_documents(docs).collect()
+    assert time.time() - began < 20
+    assert {r.entity for r in rows} == {n.lower() for n in names[:20]} and len(rows) == 160
+
+
 def test_multi_hop_searches_once_for_each_hop(spark):
     from corpusloom.plans.engine import multi_hop
 

@@ -90,6 +90,22 @@ def test_names_of_a_long_text_are_made_once(spark):
     assert {r.entity for r in rows} == {n.lower() for n in names[:20]} and len(rows) == 160
 
 
+def test_graph_hits_makes_triples_once(spark):
+    docs = spark.createDataFrame([(1, "Ann works with Bob. Carl likes Dora and Emil")], "doc_id int, text string")
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(i):
+        reads.add(1)
+        return i
+
+    triples = graph.triples(docs).withColumn("doc_id", counted.asNondeterministic()("doc_id"))
+    n = graph.triples(docs).count()
+    seeds = spark.createDataFrame([(7, "bob")], "query_id int, entity string")
+    assert [r.doc_id for r in graph.graph_hits(triples, graph.entity_documents(docs), seeds).collect()] == [1]
+    assert reads.value == n
+
+
 def test_multi_hop_searches_once_for_each_hop(spark):
     from corpusloom.plans.engine import multi_hop
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, nearest, search
+from corpusloom.operators import evaluate, graph, nearest, search
 
 
 def plan(df) -> str:
@@ -106,6 +106,20 @@ def test_graph_hits_makes_triples_once(spark):
     assert reads.value == n
 
 
+def test_labels_read_each_text_once(spark):
+    """No join of all documents with all queries; passages at both ends, over several texts, in part only, short ones and none."""
+    long = "Éa passage of words that is longer than forty characters, really"
+    asked = [(1, long), (2, "short"), (3, None), (4, "é" * 8), (5, long[:40] + " but not so"), (6, "the end of one and start")]
+    texts = ["xx" + long, long, long[:45], "a short one", None, "", "é" * 9, "é" * 7, "the end of one", " and start", "the end of one and start" * 2]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id int, text string").coalesce(1)
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    want = queries.join(docs, F.col("text").contains(F.substring("query", 1, 40))).select("query_id", "doc_id", F.when(F.col("text").contains(F.col("query")), 2.0).otherwise(1.0).alias("gain"))
+    got = evaluate.labels_by_passage(docs, queries)
+    same(got, want)
+    assert "NestedLoop" not in plan(evaluate.labels_by_passage(docs, queries.where("query_id in (1, 5, 6)")))
+    same(evaluate.labels_by_passage(docs, queries.where("query_id = 2")), want.where("query_id = 2"))
+
+
 def test_multi_hop_searches_once_for_each_hop(spark):
     from corpusloom.plans.engine import multi_hop
 
